@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, simhash
+from tessel.llm import bpe, fingerprint, packing, sharding, simhash
 from tessel.sources.tables import table
 
 
@@ -18,9 +18,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 8 shards of near-equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiset fingerprint of every document, and its likeness to an edit and to the next one."""
+    return fingerprint.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, placed in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_byte_bpe, op2_simhash)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_sharding, op4_fingerprint, op5_packing)}
 
 
 def oracle_sql() -> dict:
