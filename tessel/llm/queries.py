@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, fingerprint, packing, sharding, simhash
+from tessel.llm import bpe, fingerprint, packing, quality, sharding, simhash, toxicity
 from tessel.sources.tables import table
 
 
@@ -33,9 +33,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
 def queries() -> dict:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_sharding, op4_fingerprint, op5_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_sharding, op4_fingerprint, op5_packing, op6_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
