@@ -182,6 +182,8 @@ def train(rows: list[tuple[str, int]], hidden: int = 32, epochs: int = 30, seed:
     if len(held):
         z, t = model.logits(x[held]), y[held]
         trials = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
+        n1, n0 = t.sum(), (1 - t).sum()
+        t = np.where(t > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))  # smoothed, so that a perfect split isn't certain
         losses = [float(np.mean(np.logaddexp(0, z / a) - t * z / a)) for a in trials]
         model.temperature = float(trials[int(np.argmin(losses))])
     return model

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, fingerprint, packing, quality, sharding, simhash, toxicity
+from tessel.llm import bpe, embdedup, fingerprint, packing, quality, sharding, simhash, toxicity, urlfilter, warc
 from tessel.sources.tables import table
 
 
@@ -40,6 +40,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, stated rule and verdict of every page's URL."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every page, written and read back."""
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -49,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_sharding, op4_fingerprint, op5_packing, op6_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_sharding, op4_fingerprint, op5_packing, op6_quality, op7_url_filter, op8_warc, op9_embedding_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
