@@ -31,7 +31,7 @@ from tessel.llm.common import remainder, slices, training_rows
 
 BUCKETS, WIDTH, WINDOW = 1 << 19, 4, 6
 MODULUS, HELD_OUT = 5, 0
-MAX_ROWS, MAX_CHARS = 6000, 20_000
+MAX_ROWS, MAX_CHARS = 4000, 20_000
 REMEMBERED = 400_000
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -100,20 +100,29 @@ class _Trainer:
     and those of a single word hardly move.
     """
 
-    def __init__(self, vocabulary: list[str], buckets: int, width: int, seed: int):
+    def __init__(self, vocabulary: list[str], counts: np.ndarray, buckets: int, width: int, seed: int, least: int = 3):
         bags = [subwords(w, buckets) for w in vocabulary]
         self.size = np.array([len(b) for b in bags], np.float64)
-        self.flat = np.fromiter(chain.from_iterable(bags), np.int64, int(self.size.sum()))
-        self.word = np.repeat(np.arange(len(bags)), self.size.astype(np.int64))
+        flat = np.fromiter(chain.from_iterable(bags), np.int32, int(self.size.sum()))
+        word = np.repeat(np.arange(len(bags), dtype=np.int32), self.size.astype(np.int64))
+        seen = np.bincount(flat, counts[word], buckets) >= least  # a rarer bucket stays at zero
+        self.used, self.all = np.flatnonzero(seen), buckets
+        self.flat, self.word = np.searchsorted(self.used, flat[seen[flat]]), word[seen[flat]]
         rng = np.random.default_rng(seed)
-        self.params = [rng.normal(0, 0.01, (buckets, width)), rng.normal(0, 0.5, (width, 2)), np.zeros(2)]
+        self.buckets = len(self.used)
+        self.params = [rng.normal(0, 0.01, (self.buckets, width)).astype(np.float32), rng.normal(0, 0.5, (width, 2)), np.zeros(2)]
         self.moments = [np.zeros_like(p) for p in self.params]
-        self.buckets = buckets
 
     def weights(self) -> tuple[np.ndarray, float]:
         embed, soft, bias = self.params
         return embed @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
+    def model(self) -> SubwordModel:
+        weights, bias = self.weights()
+        out = np.zeros(self.all)
+        out[self.used] = weights
+        return SubwordModel(out, bias)
+
     def windows(self, value: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(value)])
         return sums[starts + lengths] - sums[starts]
@@ -137,14 +146,14 @@ class _Trainer:
             pull = np.bincount(used, (slope / bag)[of], len(self.size))
             pull = np.bincount(self.flat, pull[self.word], self.buckets)
             along = embed.T @ pull
-            grads = [np.outer(pull, soft[:, 1] - soft[:, 0]) + decay * embed, np.stack([-along, along], 1), np.array([-slope.sum(), slope.sum()])]
+            grads = [np.outer(pull, soft[:, 1] - soft[:, 0]).astype(np.float32) + np.float32(decay) * embed, np.stack([-along, along], 1), np.array([-slope.sum(), slope.sum()])]
             for p, g, m, r in zip(self.params, grads, self.moments, (rate, rate / 20, rate / 20), strict=True):
                 m *= 0.8
                 m += 0.2 * g
-                p -= r / (np.abs(m).max() + 1e-12) * m
+                p -= p.dtype.type(r / (max(float(m.max()), -float(m.min())) + 1e-12)) * m
 
 
-def train(rows: list[tuple[str, int]], buckets: int = BUCKETS, width: int = WIDTH, seed: int = 7, steps: tuple[int, int, int] = (60, 40, 3), max_windows: int = 60_000) -> SubwordModel:
+def train(rows: list[tuple[str, int]], buckets: int = BUCKETS, width: int = WIDTH, seed: int = 7, steps: tuple[int, int, int] = (60, 40, 3), max_windows: int = 40_000) -> SubwordModel:
     """The model of labelled texts.
 
     ``steps``: of the first pass, of each later pass, and the number of later passes.
@@ -164,7 +173,7 @@ def train(rows: list[tuple[str, int]], buckets: int = BUCKETS, width: int = WIDT
     toxic = np.array([y for _, y in docs], bool)
     mark = toxic[doc]
     rng = np.random.default_rng(seed)
-    trainer = _Trainer(list(vocabulary), buckets, width, seed)
+    trainer = _Trainer(list(vocabulary), np.bincount(tokens), buckets, width, seed)
 
     def run(keep: np.ndarray, n: int, rate: float) -> None:
         y = mark[keep].astype(float)
@@ -182,10 +191,9 @@ def train(rows: list[tuple[str, int]], buckets: int = BUCKETS, width: int = WIDT
         rank = np.empty(len(doc), np.int64)
         first = np.searchsorted(doc[order], np.arange(len(docs)))
         rank[order] = np.arange(len(doc)) - first[doc[order]]
-        keep = np.flatnonzero(rank < np.where(mark, 2, 2))
+        keep = np.flatnonzero(rank < 2)
         run(np.concatenate([keep, draw(clean, max_windows // 3)]), steps[1], 0.5)
-    weights, bias = trainer.weights()
-    model = SubwordModel(weights, bias)
+    model = trainer.model()
     logit = trainer.logits(tokens, starts, lengths)
     top = np.full(len(docs), -np.inf)
     np.maximum.at(top, doc, logit)
