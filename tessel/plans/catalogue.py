@@ -1,6 +1,6 @@
 """All graph queries by name, with their SQL twins."""
 
-from tessel.plans import structure_queries  # noqa: F401
+from tessel.plans import numeric_queries, structure_queries  # noqa: F401
 from tessel.plans.registry import ORACLES, QUERIES
 
 

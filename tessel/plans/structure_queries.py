@@ -167,9 +167,9 @@ def bidirected(spark, sf):
     return rewrite.to_bidirected(g.copart(spark, sf))
 
 
-@query("undirected_copyfeat", views("copart", more="""lone AS (SELECT arg_min(w, e_id) AS w, min(e_id) AS at, src, dst FROM copart a
+@query("undirected_copyfeat", views("copart", more="""lone AS (SELECT arg_min(w, e_id) AS w, min(e_id) AS first_id, src, dst FROM copart a
  WHERE NOT EXISTS (SELECT 1 FROM copart b WHERE b.src = a.dst AND b.dst = a.src) GROUP BY src, dst)""") + """SELECT e_id, src, dst, w FROM copart UNION ALL
-SELECT (SELECT max(e_id) FROM copart) + row_number() OVER (ORDER BY at), dst, src, w FROM lone""")
+SELECT (SELECT max(e_id) FROM copart) + row_number() OVER (ORDER BY first_id), dst, src, w FROM lone""")
 def undirected_copyfeat(spark, sf):
     return rewrite.to_bidirected(g.copart(spark, sf), copy=True)
 
