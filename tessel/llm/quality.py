@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessel.llm.common import remainder, slices, training_rows
 
@@ -194,22 +195,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     return train(training_rows(docs, labels, label, modulus, held_out, max_rows, max_chars, id_col, text_col))
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``(id, held_out, score, predicted)`` of every whole text, and the columns in ``keep``."""
+def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, held_out, score, predicted)`` of every whole text."""
+    scored = with_score(docs.select(id_col, text_col), model, text_col, "__score")
+    return scored.select(id_col, (remainder(F.col(id_col), MODULUS) == HELD_OUT).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
+def with_score(docs: DataFrame, model, text_col: str, name: str) -> DataFrame:
+    """All columns and the score under a name that none of them has."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY vectors of WIDTH
 
     def run(batches):
         scored = sent.value
         for part in (p for batch in batches for p in slices(batch)):
-            values = pa.array(scored.score([t or "" for t in part.column("__text").to_pylist()]), pa.float64())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], [*part.schema.names[:-1], "__score"])
+            values = pa.array(scored.score([t or "" for t in part.column(at).to_pylist()]), pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, name])
 
-    kept = keep if keep is not None else [id_col]
-    rows = docs.select(*kept, F.col(text_col).alias("__text"))
-    scored = rows.mapInArrow(run, rows.drop("__text").schema.add("__score", "double"))
-    return scored.select(*kept, (remainder(F.col(id_col), MODULUS) == HELD_OUT).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
-def keep_good(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """The documents with a score of at least one half, all columns kept."""
-    return score(docs, model, id_col, text_col, keep=docs.columns).where("predicted = 1").select(*docs.columns)
+    name = next(n for n in ("score", "__score", "___score") if n not in docs.columns)
+    return with_score(docs, model, text_col, name).where(F.col(name) >= 0.5).drop(name)

@@ -55,19 +55,23 @@ def sampled_splitters(rows: DataFrame, ranges: int, sample: int, rounds: int = 6
         kept = part.where(_uniform("key", "tie") < weight).select("key", F.greatest(weight, F.lit(1.0)).alias("w"))
         return [(r["key"], r["w"]) for r in kept.collect()]
 
+    def count() -> list:
+        index = range_index(F.col("key"), bounds)
+        return rows.groupBy(index.alias("r")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+
     bounds = _quantiles(draw(rows, total / sample), ranges - 1)
+    counts = count()
     for _ in range(rounds):
-        index = range_index(F.col("key"), bounds)
-        counts = rows.groupBy(index.alias("r")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
         over = [c for c in counts if c["size"] > 2 * share and c["low"] < c["high"]]
         if not over:
             break
         # the sample of an overfull range is as dense as twice its cuts times 32
-        inside = rows.where(index.isin([c["r"] for c in over]))
+        inside = rows.where(range_index(F.col("key"), bounds).isin([c["r"] for c in over]))
         drawn = sorted(draw(inside, share / 32))
         for c in over:
             mine = [x for x in drawn if c["low"] <= x[0] <= c["high"]]
             bounds = sorted({*bounds, *_quantiles(mine, max(1, int(c["size"] / share))), c["low"] + 1})
+        counts = count()
     pieces = [1] * (len(bounds) + 1)
     for c in counts:
         if c["size"] > 2 * share and c["n"] > 1:

@@ -123,7 +123,11 @@ def hex_digits(bits) -> object:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of their near-duplicate group; all columns stay.
 
-    A row without an id is kept only if it is alone in having none.
+    A row that repeats another's id and text goes.  Rows without an id stand or fall together:
+    they stay if one of them is in a group in which no row has an id.
     """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    found = near_duplicates(docs, id_col, text_col)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__kept")).agg(F.count(F.lit(1)).alias("__n"))
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    repeated = not found.groupBy(id_col, "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return out.dropDuplicates([id_col, text_col]) if repeated else out
