@@ -33,7 +33,7 @@ VOCABULARY, LEAST = 20_000, 5
 #: averages of a very short text from being those of one or two chance vectors.
 SHRINK = 8
 MODULUS, HELD_OUT = 3, 1
-MAX_ROWS, MAX_CHARS = 6000, 20_000
+MAX_ROWS, MAX_CHARS = 4000, 10_000
 REMEMBERED = 200_000
 _TOKENS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+|\n").findall
 

@@ -20,6 +20,7 @@ Repeated rows are scored alike; other columns are ignored or, in ``drop_toxic``,
 
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -32,7 +33,7 @@ from tessel.llm.common import remainder, slices, training_rows
 
 BUCKETS, WIDTH, WINDOW = 1 << 19, 4, 6
 MODULUS, HELD_OUT = 5, 0
-MAX_ROWS, MAX_CHARS = 4000, 20_000
+MAX_ROWS, MAX_CHARS = 4000, 10_000
 REMEMBERED = 400_000
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -102,13 +103,18 @@ class _Trainer:
     """
 
     def __init__(self, vocabulary: list[str], counts: np.ndarray, buckets: int, width: int, seed: int, least: int = 3):
-        bags = [subwords(w, buckets) for w in vocabulary]
-        self.size = np.array([len(b) for b in bags], np.float64)
-        flat = np.fromiter(chain.from_iterable(bags), np.int32, int(self.size.sum()))
-        word = np.repeat(np.arange(len(bags), dtype=np.int32), self.size.astype(np.int64))
+        bags, sizes = array("i"), array("i")
+        for w in vocabulary:
+            ids = subwords(w, buckets)
+            bags.extend(ids)
+            sizes.append(len(ids))
+        self.size = np.array(sizes, np.float64)
+        flat = np.frombuffer(bags, np.int32)
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), np.array(sizes))
         seen = np.bincount(flat, counts[word], buckets) >= least  # a rarer bucket stays at zero
         self.used, self.all = np.flatnonzero(seen), buckets
-        self.flat, self.word = np.searchsorted(self.used, flat[seen[flat]]), word[seen[flat]]
+        kept = seen[flat]
+        self.flat, self.word = (np.cumsum(seen) - 1).astype(np.int32)[flat[kept]], word[kept]
         rng = np.random.default_rng(seed)
         self.buckets = len(self.used)
         self.params = [rng.normal(0, 0.01, (self.buckets, width)).astype(np.float32), rng.normal(0, 0.5, (width, 2)), np.zeros(2)]
@@ -163,11 +169,15 @@ def train(rows: list[tuple[str, int]], buckets: int = BUCKETS, width: int = WIDT
     if not 0 < ones < len(rows):
         share = (ones + 1) / (len(rows) + 2)
         return SubwordModel(np.zeros(buckets), float(np.log(share / (1 - share))))
-    docs = [(found, y) for found, y in ((words(t), y) for t, y in rows) if found]
     vocabulary: dict[str, int] = {}
-    tokens = np.array([vocabulary.setdefault(w, len(vocabulary)) for found, _ in docs for w in found])
-    begin = np.cumsum([0, *(len(found) for found, _ in docs)])
-    parts = [window_starts(len(found)) for found, _ in docs]
+    numbers, docs = array("i"), []  # words as numbers at once: lists of words would be the largest thing here
+    for text, y in rows:
+        if found := words(text):
+            numbers.extend(vocabulary.setdefault(w, len(vocabulary)) for w in found)
+            docs.append((len(found), y))
+    tokens = np.frombuffer(numbers, np.int32)
+    begin = np.cumsum([0, *(n for n, _ in docs)])
+    parts = [window_starts(n) for n, _ in docs]
     doc = np.repeat(np.arange(len(docs)), [len(p) for p in parts])
     starts = np.concatenate(parts) + begin[doc]
     lengths = np.minimum(WINDOW, begin[doc + 1] - starts)
