@@ -19,10 +19,10 @@ SQL = {
     "handoff": """handoff AS (SELECT * FROM (SELECT event_id AS e_id, user_id AS src,
  lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst, epoch_us(ts) AS t, value FROM events) WHERE dst IS NOT NULL)""",
     "feat": "feat AS (SELECT u.id, " + ", ".join(f"coalesce(CAST(v.embedding[{i + 1}] AS DOUBLE), 0) AS x{i}" for i in range(WIDTH)) + " FROM users u LEFT JOIN embeddings v ON v.vec_id = u.id)",
-    "li": "li AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1 AS e_id, lineitem.* FROM lineitem)",
+    "li": "li AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS e_id, lineitem.* FROM lineitem)",
     "parts": "parts AS (SELECT p_partkey AS id FROM part)",
     "copart": """copart AS (SELECT * FROM (SELECT e_id, l_partkey AS src,
- lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_quantity AS w FROM li) WHERE dst IS NOT NULL)""",
+ lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, e_id) AS dst, l_quantity AS w FROM li) WHERE dst IS NOT NULL)""",
     "scored": """scored AS (SELECT l_orderkey AS q, CASE WHEN e_id % 1000 = 0 THEN 1 ELSE 0 END AS label,
  CAST(l_partkey % 97 AS DOUBLE) AS score, l_suppkey % 5 = 0 AS filtered FROM li)""",
     "preds": """preds AS (SELECT e_id, l_quantity / 10 AS z0, l_discount * 10 AS z1, l_tax * 20 AS z2,
@@ -71,7 +71,7 @@ def feat(spark: SparkSession, sf: str) -> DataFrame:
 
 def li(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines with an id."""
-    order = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")
+    order = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return table(spark, sf, "lineitem").withColumn("e_id", F.col("l_orderkey") * 1000 + F.row_number().over(order) - 1)
 
 
@@ -82,7 +82,7 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def copart(spark: SparkSession, sf: str) -> DataFrame:
     """Parts that follow each other within an order."""
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "e_id")
     rows = li(spark, sf).select("e_id", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.col("l_quantity").alias("w"))
     return rows.where("dst is not null")
 
