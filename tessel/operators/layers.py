@@ -500,3 +500,20 @@ def encoder(nodes, edges, width, query: Matrix, key: Matrix, value: Matrix, up:
     attended = transformer(nodes, edges, width, query, key, value).join(nodes, "id")
     one = attended.select("id", layer_norm(add(F.col("x"), F.col("h"))).alias("x"))
     return _out(one, layer_norm(add(F.col("x"), linear(relu(linear(F.col("x"), *up)), *down))))
+
+
+def by_relation(nodes: dict[str, DataFrame], edges: dict, width: int, chosen: dict) -> dict:
+    """One layer for each relation, not merged: ``chosen[relation](nodes, edges, width)``.
+
+    Both ends' types are put in one table, the destinations' rows are kept.
+    """
+    out = {}
+    for key, layer in chosen.items():
+        src, _, dst = key
+        if src == dst:
+            out[key] = layer(nodes[dst], edges[key], width)
+            continue
+        marked = nodes[dst].select((F.col("id") * 2).alias("id"), "x").unionByName(nodes[src].select((F.col("id") * 2 + 1).alias("id"), "x"))
+        moved = edges[key].withColumns({"src": F.col("src") * 2 + 1, "dst": F.col("dst") * 2})
+        out[key] = layer(marked, moved, width).where("id % 2 = 0").withColumn("id", (F.col("id") / 2).cast("long"))
+    return out

@@ -79,3 +79,11 @@ def replay(events: DataFrame, batches: str = "batch", decay: float = 0.5) -> Dat
             yield pd.DataFrame(rows, columns=["id", "batch", "state"])
 
     return ordered.mapInPandas(stream, "id long, batch long, state double")
+
+
+def event_messages(events: DataFrame, memory: DataFrame, raw: str, frequency: list[float], phase: list[float], unit: float = 1e6) -> DataFrame:
+    """``events`` with ``msg``: both ends' memory, the raw message and the encoded time since the source's last update."""
+    a = memory.select(F.col("id").alias("src"), F.col("x").alias("__a"), F.col("t").alias("__t"))
+    b = memory.select(F.col("id").alias("dst"), F.col("x").alias("__b"))
+    met = events.join(a, "src").join(b, "dst")
+    return met.withColumn("msg", F.concat("__a", "__b", raw, time_encode((F.col("t") - F.col("__t")) / unit, frequency, phase))).drop("__a", "__b", "__t")

@@ -485,3 +485,44 @@ def route_nodes(spark, sf):
 def gather_features(spark, sf):
     asked = g.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pos"), F.col("l_partkey").alias("id"))
     return partition.gather(asked, g.table(spark, sf, "part").withColumnRenamed("p_partkey", "id"), "p_retailprice")
+
+
+_LINKNEG = "pairs AS (SELECT e_id AS id FROM handoff), val AS (SELECT e_id AS q, src, dst FROM handoff JOIN " + _SPLIT.format(u=uniform_sql(15, "id"), t="pairs") + """ s ON s.id = e_id WHERE r < floor(n * 0.02)),
+tot AS (SELECT unnest(range(400)) AS id), s AS (SELECT DISTINCT src FROM val),
+free AS (SELECT s.src, tot.id, row_number() OVER (PARTITION BY s.src ORDER BY tot.id) - 1 AS k, count(*) OVER (PARTITION BY s.src) AS n FROM s, tot WHERE NOT EXISTS (SELECT 1 FROM handoff h WHERE h.src = s.src AND h.dst = tot.id)),
+d AS (SELECT q, src, slot, """ + uniform_sql(15, "q", "slot") + " AS u FROM val, (VALUES (1), (2)) v(slot))"
+
+
+@query("split_link_neg", views("handoff", more=_LINKNEG) + "SELECT q, src, dst, 1 AS label, 0 AS slot FROM val UNION ALL SELECT q, d.src, f.id, 0, slot FROM d JOIN free f ON f.src = d.src AND f.k = d.u % f.n")
+def split_link_neg(spark, sf):
+    from tessel.operators import sampling
+
+    edges = g.handoff(spark, sf).select("e_id", "src", "dst")
+    val = features.split_links(edges, 0.02, 0.1, seed=15).where("part = 'val'").select(F.col("e_id").alias("q"), "src", "dst")
+    return sampling.uniform_negatives(edges, val, 2, 400, seed=15)
+
+
+@query("csv_roundtrip", views("users", "handoff", more="num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM users)") + "SELECT e_id, a.new_id AS src, b.new_id AS dst, round(value, 4) AS value FROM handoff JOIN num a ON a.id = src JOIN num b ON b.id = dst")
+def csv_roundtrip(spark, sf):
+    from tessel.model import PropertyGraph
+    from tessel.plans.staging import scratch_path
+    from tessel.sources.graph_files import read_csv_tables, write_csv_tables
+
+    nodes, edges = scratch_path(spark, "nodes-csv"), scratch_path(spark, "edges-csv")
+    write_csv_tables(PropertyGraph.homogeneous(g.users(spark, sf), g.handoff(spark, sf).select("e_id", "src", "dst", "value")), nodes, edges)
+    return read_csv_tables(spark, nodes, edges).edge_table().select("e_id", "src", "dst", F.round("value", 4).alias("value"))
+
+
+@query("event_messages", views("handoff", "feat") + f"SELECT e_id, {', '.join([f'round(s.x{i}, 5) + 0.0 AS msg{i}, round(d.x{i}, 5) + 0.0 AS msg{i + 3}' for i in D])}, round(value, 5) AS msg6, round(cos((t - 1600000000000000) / 1e6 * 1e-7), 5) + 0.0 AS msg7 FROM handoff JOIN feat s ON s.id = src JOIN feat d ON d.id = dst")
+def event_messages(spark, sf):
+    memory = g.feat(spark, sf).withColumn("t", F.lit(1_600_000_000_000_000))
+    events = g.handoff(spark, sf).withColumn("raw", F.array("value"))
+    return rounded(temporal.event_messages(events, memory, "raw", [1e-7], [0.0]), "msg", 8, keep=("e_id",))
+
+
+@query("by_relation", views("li") + "SELECT p_partkey AS id, round(coalesce(sum(l_orderkey % 7), 0), 5) AS h0 FROM part LEFT JOIN li ON l_partkey = p_partkey GROUP BY 1")
+def by_relation(spark, sf):
+    graph, key = g.commerce(spark, sf), ("orders", "contains", "part")
+    nodes = {"orders": graph.nodes["orders"].withColumn("x", F.array((F.col("id") % 7).cast("double"))), "part": graph.nodes["part"].withColumn("x", F.array(F.lit(0.0)))}
+    out = layers.by_relation(nodes, {key: graph.edges[key].select("src", "dst")}, 1, {key: lambda n, e, w: layers.simple(n, e, w, "sum")})
+    return rounded(out[key], width=1)
