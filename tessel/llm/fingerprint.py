@@ -28,6 +28,8 @@ from tessel.plans.staging import staged
 
 LANES, SIGNS = 8, 512
 STRETCH = 4
+#: Parts of consecutive ids at most; their first ids, a number each, go to the driver and back.
+MOST_PARTS = 100_000
 _PARAGRAPHS = re.compile(r"(?<=[.!?] )|\n").split
 
 
@@ -115,7 +117,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def neighbours(docs: DataFrame, rows_per_part: int = 20_000) -> DataFrame:
+def neighbours(docs: DataFrame, rows_per_part: int = 5_000) -> DataFrame:
     """``(part, tail, id, text)``: parts of consecutive ids, each closed by the next part's first row.
 
     Rows that follow each other by ``(id, text)`` thus meet in one part.  Ids must be integers;
@@ -124,7 +126,7 @@ def neighbours(docs: DataFrame, rows_per_part: int = 20_000) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("at"), "id", "text")
     ids = staged(rows.select("at"), "ids")
     n = ids.count()
-    parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // rows_per_part, 1), 10_000)
+    parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // rows_per_part, 1), MOST_PARTS)
     bounds = split_points(ids, "at", parts)
     firsts = [(r["part"], r["first"]) for r in ids.groupBy(range_index(F.col("at"), bounds).alias("part")).agg(F.min("at").alias("first")).collect()]
     firsts.sort()
