@@ -241,12 +241,45 @@ layer("rel_attention", f"SELECT id, {shown(plus(lin(X, W3), cols('a.m'), cols('b
     lambda n, e: layers.relational_attention(n, _two(e), WIDTH, {"even": {"query": W1, "key": W2, "value": W3}, "odd": {"query": W2, "key": W3, "value": W1}}, W3))
 
 _CELL = {k: weight(3, 3, i) for i, k in enumerate(("ir", "iz", "in", "hr", "hz", "hn"))}
-layer("gated_graph")(lambda n, e: layers.gated_graph(n, e, WIDTH, W1, _CELL, 2))
-layer("pdn")(lambda n, e: layers.pdn(n, e.withColumn("attr", F.array(F.col("value") / 100)), WIDTH, W1, [([[0.5]], [0.1])], 1))
-layer("pointnet")(lambda n, e: layers.pointnet(n.withColumn("pos", F.slice("x", 1, 2)), e, WIDTH, [(weight(3, 5), None)], W1))
-layer("point_transformer")(lambda n, e: layers.point_transformer(n.withColumn("pos", F.slice("x", 1, 2)), e, WIDTH, W1, W2, W3, weight(3, 2)))
-layer("encoder")(lambda n, e: layers.encoder(n, e, WIDTH, W1, W2, W3, (weight(6, 3), None), (weight(3, 6), None)))
-layer("tgat")(lambda n, e: temporal.tgat(n, e, WIDTH, weight(3, 5), weight(3, 5, 1), weight(3, 5, 2), [1e-6, 1e-7], [0.0, 0.5], 1_700_000_000_000_000))
+
+def gru_sql(x: list[str], h: list[str]) -> list[str]:
+    """One step of the gated unit with the fixed cell."""
+    part = {k: lin(x if k[0] == "i" else h, w) for k, w in _CELL.items()}
+    r = [SIGM.format(c) for c in plus(part["ir"], part["hr"])]
+    z = [SIGM.format(c) for c in plus(part["iz"], part["hz"])]
+    n = [f"tanh({a} + {b} * {c})" for a, b, c in zip(part["in"], r, part["hn"], strict=True)]
+    return [f"((1 - {g}) * {v} + {g} * {old})" for g, v, old in zip(z, n, h, strict=True)]
+
+
+def norm_sql(x: list[str]) -> list[str]:
+    """Layer norm of three entries."""
+    mean = f"(({' + '.join(x)}) / 3)"
+    var = f"(({' + '.join(f'power({c} - {mean}, 2)' for c in x)}) / 3)"
+    return [f"(({c} - {mean}) / sqrt({var} + 1e-5))" for c in x]
+
+
+_GATED = "g0 AS (SELECT * FROM feat)"
+for _k in (1, 2):
+    _GATED += f""",
+s{_k} AS (SELECT id, {named(lin(X, W1), 'x')} FROM g{_k - 1}),
+g{_k} AS (SELECT id, {named(gru_sql(M, [f'g{_k - 1}.x{i}' for i in D]), 'x')} FROM g{_k - 1} JOIN ({agg_sql(f's{_k}')}) USING (id))"""
+layer("gated_graph", f"SELECT id, {shown(X)} FROM g2", more=_GATED)(lambda n, e: layers.gated_graph(n, e, WIDTH, W1, _CELL, 2))
+_PADDED = "padded AS (SELECT src, dst, value / 100 AS attr FROM handoff UNION ALL SELECT id, id, 0 FROM users)"
+layer("pdn", f"SELECT id, {shown(M)} " + ONE.format(edgewise(times(lin(XS, W1), SIGM.format("0.5 * e.attr + 0.1")), "mean", "padded")), more=_PADDED)(
+    lambda n, e: layers.pdn(n, e.withColumn("attr", F.array(F.col("value") / 100)), WIDTH, W1, [([[0.5]], [0.1])], 1))
+_SHIFT = ["(s.x0 - d.x0)", "(s.x1 - d.x1)"]
+over_edges("pointnet", lin(XS + _SHIFT, weight(3, 5)), plus(M, lin(X, W1)), lambda n, e: layers.pointnet(n.withColumn("pos", F.slice("x", 1, 2)), e, WIDTH, [(weight(3, 5), None)], W1), "max")
+_DELTA = lin(_SHIFT, weight(3, 2))
+attended("point_transformer", " + ".join(plus(lin(XD, W1), times(lin(XS, W2), -1), _DELTA)), plus(lin(XS, W3), _DELTA), M,
+         lambda n, e: layers.point_transformer(n.withColumn("pos", F.slice("x", 1, 2)), e, WIDTH, W1, W2, W3, weight(3, 2)))
+_FED = plus(X, lin([f"greatest({c}, 0)" for c in lin(X, weight(6, 3))], weight(3, 6)))
+layer("encoder", f"SELECT id, {shown(norm_sql(cols('f')))} FROM fed",
+      more=f"normed AS (SELECT id, {named(norm_sql(plus(X, M)), 'x')} " + ONE.format(attention(_DOT(W1, W2), lin(XS, W3))) + f"), fed AS (SELECT id, {named(_FED, 'f')} FROM normed)")(
+    lambda n, e: layers.encoder(n, e, WIDTH, W1, W2, W3, (weight(6, 3), None), (weight(3, 6), None)))
+_AGE = "((1700000000000000 - e.t) / 1e6)"
+_AGED = XS + [f"cos({_AGE} * 1e-6)", f"cos({_AGE} * 1e-7 + 0.5)"]
+attended("tgat", f"{dotted(lin(XD + ['cos(0.0)', 'cos(0.5)'], weight(3, 5)), lin(_AGED, weight(3, 5, 1)))} / sqrt(3.0)", lin(_AGED, weight(3, 5, 2)), M,
+         lambda n, e: temporal.tgat(n, e, WIDTH, weight(3, 5), weight(3, 5, 1), weight(3, 5, 2), [1e-6, 1e-7], [0.0, 0.5], 1_700_000_000_000_000))
 
 
 # sparse algebra
@@ -446,7 +479,8 @@ query("time_encode", views("handoff") + "SELECT e_id, round(cos((t % 1000000000)
     lambda spark, sf: rounded(g.handoff(spark, sf).select("e_id", temporal.time_encode(F.col("t") % 1_000_000_000, [1e-6], [0.5]).alias("h")), width=1, keep=("e_id",)))
 
 
-@query("memory_step")
+@query("memory_step", views("handoff", "feat", more=_MSG + ", got AS (SELECT id, t, value / 100 AS v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC, pos) AS n FROM msgs) WHERE n = 1)")
+       + f"SELECT id, coalesce(t, 0) AS t, {', '.join(f'round(CASE WHEN v IS NULL THEN x{i} ELSE {c} END, 5) + 0.0 AS x{i}' for i, c in enumerate(gru_sql(['v', 'v', 'v'], X)))} FROM feat LEFT JOIN got USING (id)")
 def memory_step(spark, sf):
     memory = g.feat(spark, sf).withColumn("t", F.lit(0).cast("long"))
     msgs = temporal.both_ends(g.handoff(spark, sf).withColumn("msg", F.transform(F.array("value", "value", "value"), lambda v: v / 100)))

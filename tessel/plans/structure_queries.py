@@ -269,7 +269,12 @@ def walk3(spark, sf):
     return traverse.random_walk([edges] * 3, starts, seed=2)
 
 
-@query("metapath_walk")
+@query("metapath_walk", views("li", more=f"""n1 AS (SELECT o_custkey AS here, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderkey AS too FROM orders),
+n2 AS (SELECT l_orderkey AS here, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, e_id) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey AS too FROM li),
+w0 AS (SELECT c_custkey AS walk, c_custkey AS here FROM customer WHERE c_custkey % 20 = 0),
+w1 AS (SELECT w.walk, coalesce(b.too, -1) AS here FROM w0 w LEFT JOIN n1 a ON a.here = w.here AND a.k = 0 LEFT JOIN n1 b ON b.here = w.here AND b.k = {uniform_sql(3, 'w.walk', '1')} % a.n),
+w2 AS (SELECT w.walk, coalesce(b.too, -1) AS here FROM w1 w LEFT JOIN n2 a ON a.here = w.here AND a.k = 0 LEFT JOIN n2 b ON b.here = w.here AND b.k = {uniform_sql(3, 'w.walk', '2')} % a.n)""")
+       + " UNION ALL ".join(f"SELECT walk, {i} AS step, here AS id FROM w{i}" for i in range(3)))
 def metapath_walk(spark, sf):
     e = {k[1]: v for k, v in g.commerce(spark, sf).edges.items()}
     starts = g.table(spark, sf, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("walk"), F.col("c_custkey").alias("id"))
