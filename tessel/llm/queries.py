@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, embdedup, fingerprint, packing, quality, sharding, simhash, toxicity, urlfilter, warc
+from tessel.llm import bpe, embdedup, fingerprint, oracles, packing, quality, sharding, simhash, toxicity, urlfilter, warc
 from tessel.sources.tables import table
 
 
@@ -69,4 +69,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """SQL twins, where SQL can express the operator and is quick enough on whole tables."""
-    return {}
+    return dict(oracles.ORACLES)
