@@ -126,7 +126,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row that repeats another's id and text goes.  Rows without an id stand or fall together:
     they stay if one of them is in a group in which no row has an id.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    # a table: read twice, and grouped by other keys than the join's, whose large groups can then be split
+    found = staged(near_duplicates(docs, id_col, text_col), "simhash-classes")
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__kept")).agg(F.count(F.lit(1)).alias("__n"))
     out = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
     repeated = not found.groupBy(id_col, "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
