@@ -4,9 +4,10 @@ A word is the bag of its character n-grams (with marks at both ends) and itself,
 buckets; a window of words is the average of the buckets' embeddings, and a linear softmax turns
 it into two probabilities.  Embeddings and softmax are trained together in numpy, so a word that
 was never seen, a misspelling or an inflected form, shares the vectors of its n-grams.  A
-document's score is that of its worst window: a few words count the same in a short text as in a
-very long one.  Training follows suit: after a first pass over all windows, a toxic document is
-represented by its worst windows and a clean one by its own worst ones and a draw of the others.
+document's score is that of its worst window, one starting at every word: a few words count the
+same in a short text as in a very long one, and wherever they stand.  Training follows suit:
+after a first pass over all windows, a toxic document is represented by its two worst windows
+that don't overlap and a clean one by its own and a draw of the others.
 
 The model is linear in the buckets, so scoring needs one number for each bucket; this vector
 (2**19 floats by default) is all that is sent to executors, and every whole text is scored in
@@ -21,7 +22,8 @@ Repeated rows are scored alike; other columns are ignored or, in ``drop_toxic``,
 import re
 import zlib
 from array import array
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +53,8 @@ def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
 
 
 def window_starts(n: int, window: int = WINDOW) -> np.ndarray:
-    """Starts of the windows that cover n words; the last is moved back to be whole."""
-    if n <= window:
-        return np.zeros(min(n, 1), np.int64)
-    return np.minimum(np.arange(0, n, window), n - window)
+    """Starts of all whole windows in n words, one at every word; fewer words are one window."""
+    return np.arange(min(n, 1) if n <= window else n - window + 1)
 
 
 class SubwordModel:
@@ -84,10 +84,9 @@ class SubwordModel:
         if not found:
             return self.bias * self.scale
         value, size = self._of(found)
-        starts = window_starts(len(found))
-        ends = np.minimum(starts + WINDOW, len(found))
         value, size = np.concatenate([[0], np.cumsum(value)]), np.concatenate([[0], np.cumsum(size)])
-        return float(((value[ends] - value[starts]) / (size[ends] - size[starts]) + self.bias).max()) * self.scale
+        wide = min(WINDOW, len(found))
+        return float(((value[wide:] - value[:-wide]) / (size[wide:] - size[:-wide]) + self.bias).max()) * self.scale
 
     def score(self, text: str) -> float:
         """The probability of label 1."""
@@ -130,14 +129,14 @@ class _Trainer:
         out[self.used] = weights
         return SubwordModel(out, bias)
 
-    def windows(self, value: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(value)])
-        return sums[starts + lengths] - sums[starts]
-
-    def logits(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def logits(self, tokens: np.ndarray, begin: np.ndarray, window: int = WINDOW) -> Iterator[np.ndarray]:
+        """For each document in turn, the logits of its windows; no more than one's are held."""
         per_bucket, bias = self.weights()
         per_word = np.bincount(self.word, per_bucket[self.flat], len(self.size))
-        return self.windows(per_word[tokens], starts, lengths) / self.windows(self.size[tokens], starts, lengths) + bias
+        for a, b in pairwise(begin):
+            of, wide = tokens[a:b], min(window, b - a)
+            value, size = np.concatenate([[0], np.cumsum(per_word[of])]), np.concatenate([[0], np.cumsum(self.size[of])])
+            yield (value[wide:] - value[:-wide]) / (size[wide:] - size[:-wide]) + bias
 
     def fit(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weight: np.ndarray, steps: int, rate: float, decay: float = 1e-7) -> None:
         at = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -177,37 +176,42 @@ def train(rows: list[tuple[str, int]], buckets: int = BUCKETS, width: int = WIDT
             docs.append((len(found), y))
     tokens = np.frombuffer(numbers, np.int32)
     begin = np.cumsum([0, *(n for n, _ in docs)])
-    parts = [window_starts(n) for n, _ in docs]
-    doc = np.repeat(np.arange(len(docs)), [len(p) for p in parts])
-    starts = np.concatenate(parts) + begin[doc]
-    lengths = np.minimum(WINDOW, begin[doc + 1] - starts)
+    many = np.array([len(window_starts(n)) for n, _ in docs])
     toxic = np.array([y for _, y in docs], bool)
-    mark = toxic[doc]
     rng = np.random.default_rng(seed)
     trainer = _Trainer(list(vocabulary), np.bincount(tokens), buckets, width, seed)
 
-    def run(keep: np.ndarray, n: int, rate: float) -> None:
-        y = mark[keep].astype(float)
+    def run(doc: np.ndarray, at: np.ndarray, n: int, rate: float) -> None:
+        starts = begin[doc] + at
+        y = toxic[doc].astype(float)
         weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-        trainer.fit(tokens, starts[keep], lengths[keep], y, weight, n, rate)
+        trainer.fit(tokens, starts, np.minimum(WINDOW, begin[doc + 1] - starts), y, weight, n, rate)
+
+    def draw(which: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and places of windows drawn from all of some documents, which are never listed."""
+        ends = np.cumsum(many[which])
+        n = int(ends[-1])
+        at = np.arange(n) if n <= most else rng.choice(n, most, replace=False)
+        of = np.searchsorted(ends, at, side="right")
+        return which[of], at - (ends - many[which])[of]
 
-    def draw(which: np.ndarray, most: int) -> np.ndarray:
-        return which if len(which) <= most else rng.choice(which, most, replace=False)
+    def joined(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([d for d, _ in parts]), np.concatenate([a for _, a in parts])
 
-    clean, bad = np.flatnonzero(~mark), np.flatnonzero(mark)
-    run(np.concatenate([draw(clean, max_windows // 2), draw(bad, max_windows // 2)]), steps[0], 0.5)
+    clean, bad = np.flatnonzero(~toxic), np.flatnonzero(toxic)
+    run(*joined(draw(clean, max_windows // 2), draw(bad, max_windows // 2)), steps[0], 0.5)
     for _ in range(steps[2]):
-        logit = trainer.logits(tokens, starts, lengths)
-        order = np.lexsort((-logit, doc))
-        rank = np.empty(len(doc), np.int64)
-        first = np.searchsorted(doc[order], np.arange(len(docs)))
-        rank[order] = np.arange(len(doc)) - first[doc[order]]
-        keep = np.flatnonzero(rank < 2)
-        run(np.concatenate([keep, draw(clean, max_windows // 3)]), steps[1], 0.5)
+        doc, at = array("i"), array("i")
+        for i, logit in enumerate(trainer.logits(tokens, begin)):
+            best = int(logit.argmax())
+            logit[max(0, best - WINDOW + 1) : best + WINDOW] = -np.inf
+            second = int(logit.argmax())
+            for k in (best, second) if np.isfinite(logit[second]) else (best,):
+                doc.append(i)
+                at.append(k)
+        run(*joined((np.array(doc), np.array(at)), draw(clean, max_windows // 3)), steps[1], 0.5)
     model = trainer.model()
-    logit = trainer.logits(tokens, starts, lengths)
-    top = np.full(len(docs), -np.inf)
-    np.maximum.at(top, doc, logit)
+    top = np.array([logit.max() for logit in trainer.logits(tokens, begin)])
     return _calibrated(model, top, toxic)
 
 
