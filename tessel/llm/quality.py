@@ -68,8 +68,8 @@ def index_vector(token: str) -> np.ndarray:
 class QualityModel:
     """Context vectors, standardisation, network and temperature."""
 
-    def __init__(self, context: dict[str, np.ndarray], layers: list[np.ndarray], centre: np.ndarray, spread: np.ndarray, temperature: float = 1.0):
-        self.context, self.layers, self.centre, self.spread, self.temperature = context, layers, centre, spread, temperature
+    def __init__(self, context: dict[str, np.ndarray], layers: list[np.ndarray], centre: np.ndarray, spread: np.ndarray, temperature: float = 1.0, fitted: bool = True):
+        self.context, self.layers, self.centre, self.spread, self.temperature, self.fitted = context, layers, centre, spread, temperature, fitted
         self._fresh()
 
     def _fresh(self) -> None:
@@ -171,7 +171,7 @@ def train(rows: list[tuple[str, int]], hidden: int = 32, epochs: int = 30, seed:
     if not 0 < ones < len(rows):
         share = (ones + 1) / (len(rows) + 2)
         layers = [np.zeros((size, 1)), np.zeros(1), np.zeros(1), np.array(np.log(share / (1 - share)))]
-        return QualityModel({}, layers, np.zeros(size), np.ones(size))
+        return QualityModel({}, layers, np.zeros(size), np.ones(size), fitted=False)
     rng = np.random.default_rng(seed)
     texts, y = [t for t, _ in rows], np.array([v for _, v in rows], float)
     model = QualityModel(context_vectors(texts), [], np.zeros(size), np.ones(size))
@@ -191,7 +191,7 @@ def train(rows: list[tuple[str, int]], hidden: int = 32, epochs: int = 30, seed:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = MODULUS, held_out: int = HELD_OUT, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Train on at most ``max_rows`` labelled texts of up to ``max_chars`` characters."""
+    """Train on at most ``max_rows`` labelled texts, ``max_chars`` characters of each."""
     return train(training_rows(docs, labels, label, modulus, held_out, max_rows, max_chars, id_col, text_col))
 
 
@@ -216,6 +216,8 @@ def with_score(docs: DataFrame, model, text_col: str, name: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The documents with a score of at least one half, all columns kept."""
+    """The documents with a score of at least one half, all columns kept; all, if no two classes were known."""
+    if not model.fitted:
+        return docs
     name = next(n for n in ("score", "__score", "___score") if n not in docs.columns)
     return with_score(docs, model, text_col, name).where(F.col(name) >= 0.5).drop(name)

@@ -15,7 +15,8 @@ one narrow stage.  The fit uses a bounded sample of labelled rows (``max_rows``
 ``max_chars`` below).
 
 Null and empty texts have no window and get the score of a window without any subword.  Without
-labelled rows of both classes, the score is the smoothed share of label 1 for every document.
+labelled rows of both classes that have words, the score is the smoothed share of label 1 for
+every document, and ``drop_toxic`` keeps all.
 Repeated rows are scored alike; other columns are ignored or, in ``drop_toxic``, kept.
 """
 
@@ -60,12 +61,12 @@ def window_starts(n: int, window: int = WINDOW) -> np.ndarray:
 class SubwordModel:
     """``weights[b]``: what bucket b adds to the logit difference of a window's average."""
 
-    def __init__(self, weights: np.ndarray, bias: float, scale: float = 1.0):
-        self.weights, self.bias, self.scale = weights.astype(np.float32), bias, scale
+    def __init__(self, weights: np.ndarray, bias: float, scale: float = 1.0, fitted: bool = True):
+        self.weights, self.bias, self.scale, self.fitted = weights.astype(np.float32), bias, scale, fitted
         self._known: dict[str, tuple[float, int]] = {}
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "bias": self.bias, "scale": self.scale, "_known": {}}
+        return {"weights": self.weights, "bias": self.bias, "scale": self.scale, "fitted": self.fitted, "_known": {}}
 
     def _of(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self._known
@@ -164,16 +165,15 @@ def train(rows: list[tuple[str, int]], buckets: int = BUCKETS, width: int = WIDT
 
     ``steps``: of the first pass, of each later pass, and the number of later passes.
     """
-    ones = sum(y for _, y in rows)
-    if not 0 < ones < len(rows):
-        share = (ones + 1) / (len(rows) + 2)
-        return SubwordModel(np.zeros(buckets), float(np.log(share / (1 - share))))
     vocabulary: dict[str, int] = {}
     numbers, docs = array("i"), []  # words as numbers at once: lists of words would be the largest thing here
     for text, y in rows:
         if found := words(text):
             numbers.extend(vocabulary.setdefault(w, len(vocabulary)) for w in found)
             docs.append((len(found), y))
+    if len({y for _, y in docs}) < 2:
+        share = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
+        return SubwordModel(np.zeros(buckets), float(np.log(share / (1 - share))), fitted=False)
     tokens = np.frombuffer(numbers, np.int32)
     begin = np.cumsum([0, *(n for n, _ in docs)])
     many = np.array([len(window_starts(n)) for n, _ in docs])
@@ -229,7 +229,7 @@ def _calibrated(model: SubwordModel, top: np.ndarray, toxic: np.ndarray) -> Subw
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = MODULUS, held_out: int = HELD_OUT, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
-    """Train on at most ``max_rows`` labelled texts of up to ``max_chars`` characters."""
+    """Train on at most ``max_rows`` labelled texts, ``max_chars`` characters of each."""
     return train(training_rows(docs, labels, label, modulus, held_out, max_rows, max_chars, id_col, text_col))
 
 
@@ -254,6 +254,8 @@ def with_score(docs: DataFrame, model, text_col: str, name: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> DataFrame:
-    """The documents with a score under one half, all columns kept."""
+    """The documents with a score under one half, all columns kept; all, if no two classes were known."""
+    if not model.fitted:
+        return docs
     name = next(n for n in ("score", "__score", "___score") if n not in docs.columns)
     return with_score(docs, model, text_col, name).where(F.col(name) < 0.5).drop(name)

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tessel.llm import toxicity
+from tessel.llm import quality, toxicity
+from tessel.llm.common import excerpt, training_rows
 
 
 def test_toxic_phrase_scores_the_same_at_each_offset():
@@ -20,3 +21,28 @@ def test_toxic_phrase_scores_the_same_at_each_offset():
 @pytest.mark.parametrize(("n", "want"), [(0, 0), (1, 1), (6, 1), (7, 2), (20, 15)])
 def test_a_window_starts_at_every_word(n, want):
     assert toxicity.window_starts(n).tolist() == list(range(want))
+
+
+@pytest.mark.parametrize(("module", "label", "keep"), [(toxicity, "toxic", "drop_toxic"), (quality, "quality", "keep_good")])
+@pytest.mark.parametrize("classes", [[], [0], [1]])
+def test_labels_without_two_classes_drop_nothing(spark, module, label, keep, classes):
+    docs = spark.createDataFrame([(i, f"some words number {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in range(20) for y in classes], f"doc_id long, {label} int")
+    assert getattr(module, keep)(docs, module.fit(docs, labels)).count() == 20
+
+
+def test_long_labelled_texts_take_part_in_a_fit(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (4000 if i % 2 else 4)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", 5, 0, 100, 1000)
+    assert {y for _, y in rows} == {0, 1} and all(len(t) <= 1000 for t, _ in rows)
+    assert all(len(t) > 500 and len(set(t.split())) == 1 for t, y in rows if y)
+
+
+def test_excerpt_draws_from_the_whole_text():
+    text = " ".join(map(str, range(20_000)))
+    drawn = excerpt(text, 2000)
+    numbers = [int(w) for w in drawn.split()]
+    assert excerpt(text, 2000) == drawn and 1500 < len(drawn) <= 2000
+    assert numbers == sorted(numbers) and numbers[-1] > 10_000 and set(numbers) <= set(range(20_000))
+    assert excerpt("x" * 5000, 100) == "x" * 100 and excerpt("short", 100) == "short"
