@@ -14,12 +14,12 @@ without ``://`` has an empty host and path and no tokens; repeated rows get the
 empty table gives no rows; other columns are ignored.
 """
 
-from itertools import combinations
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.plans.staging import staged
+
 #: (verdict, rule): host and path prefix as one string.
 RULES = (
     ("block", "com/en/"),
@@ -28,7 +28,10 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-SUPPORT, CONFIDENCE, LONGEST, MOST_RULES = 0.01, 0.8, 3, 5000
+SUPPORT, CONFIDENCE, LONGEST = 0.01, 0.8, 3
+#: Only the SQL twin keeps so many rules at most; it differs from the query where more are mined.
+MOST_RULES = 5000
+RULE = "tokens array<string>, verdict string, confidence double, support double"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,38 +77,39 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> list[tuple]:
+def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
     """``(tokens, verdict, confidence, support)`` of the pruned rules, from ``tokens`` and ``verdict``.
 
-    The table of frequent sets has a bounded number of rows for a given support; only rules of up
-    to ``longest`` tokens that conclude a verdict come to the driver, the surest ``MOST_RULES``.
+    Rules of up to ``longest`` tokens that conclude a verdict, however many, stay a table.
     """
     baskets = labelled.select(F.concat(F.col("tokens"), F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
     if baskets.isEmpty():
-        return []
+        return labelled.sparkSession.createDataFrame([], RULE)
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
     found = found.where(F.element_at("consequent", 1).startswith("verdict=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda t: t.startswith("verdict=")))
-    rows = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 9, 99).alias("verdict"), "confidence", "support")
-    rows = rows.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), "tokens", "verdict").limit(MOST_RULES).collect()
-    known = {(tuple(r["tokens"]), r["verdict"]): r["confidence"] for r in rows}
-    kept = []
-    for r in rows:
-        parts = (p for n in range(1, len(r["tokens"])) for p in combinations(r["tokens"], n))
-        if all(known.get((p, r["verdict"]), 0) < r["confidence"] for p in parts):
-            kept.append((list(r["tokens"]), r["verdict"], float(r["confidence"]), float(r["support"])))
-    return kept
-
-
-def match(urls: DataFrame, rules: list[tuple]) -> DataFrame:
+    found = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 9, 99).alias("verdict"), "confidence", "support")
+    found = staged(found, "url-rules")
+    part = F.explode(F.expr("transform(sequence(1, shiftleft(1, size(tokens)) - 2), m -> filter(tokens, (t, i) -> shiftright(m, i) % 2 = 1))")).alias("part")
+    parts = found.where("size(tokens) > 1").select("tokens", "verdict", "confidence", part)
+    known = found.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("sure"))
+    needless = parts.join(known, ["part", "verdict"]).where("sure >= confidence").select("tokens", "verdict").distinct()
+    return found.join(needless, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support")
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> list[tuple]:
+    """The rows of ``mined_rules``, for small tables."""
+    return [tuple(r) for r in mined_rules(labelled, support, confidence, longest).collect()]
+
+
+def match(urls: DataFrame, rules: DataFrame | list[tuple]) -> DataFrame:
     """``(url, mined)``: the verdict of the surest rule for the URLs (with ``tokens``) that one fits."""
-    spark = urls.sparkSession
-    many = {}
-    for tokens, _, _, support in rules:
-        for t in tokens:
-            many[t] = max(many.get(t, 0.0), support)
-    filed = [(min(tokens, key=lambda t: (many[t], t)), tokens, verdict, confidence, support) for tokens, verdict, confidence, support in rules]
-    index = spark.createDataFrame(filed, "token string, needs array<string>, mined string, confidence double, support double")
-    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")  # MOST_RULES rows at most
+    if not isinstance(rules, DataFrame):
+        rules = urls.sparkSession.createDataFrame(rules, RULE)
+    rules = rules.select(F.col("tokens").alias("needs"), F.col("verdict").alias("mined"), "confidence", "support")
+    uses = rules.withColumn("token", F.explode("needs"))
+    many = uses.groupBy("token").agg(F.max("support").alias("many"))
+    index = uses.join(many, "token").groupBy(*rules.columns).agg(F.min_by("token", F.struct("many", "token")).alias("token"))
+    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
     met = met.where(F.size(F.array_except("needs", "tokens")) == 0)
     best = F.max_by("mined", F.struct("confidence", "support", F.size("needs"), F.concat_ws(" ", "needs"), "mined"))
     return met.groupBy("url").agg(best.alias("mined"))
@@ -117,7 +121,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"))
     rule, said = stated(host_of(url), path_of(url), rules)
     labelled = rows.select(tokens_of(url).alias("tokens"), said.alias("verdict")).where("verdict is not null")
-    found = mine(labelled, support, confidence)
+    found = staged(mined_rules(labelled, support, confidence), "url-rules-pruned")
     open_urls = rows.select("url").where("url is not null").where(said.isNull()).distinct().withColumn("tokens", tokens_of(url))
     mined = match(open_urls, found)
     judged = rows.join(mined, "url", "left")

@@ -1,10 +1,14 @@
 """Small cases of what the operators once left out."""
 
+import duckdb
 import numpy as np
 import pytest
 
-from tessel.llm import quality, toxicity
+from tessel.llm import oracles, quality, toxicity, urlfilter
 from tessel.llm.common import excerpt, training_rows
+from tessel.sources.tables import table
+
+SF = "/root/testdata/sf0.01"
 
 
 def test_toxic_phrase_scores_the_same_at_each_offset():
@@ -46,3 +50,24 @@ def test_excerpt_draws_from_the_whole_text():
     assert excerpt(text, 2000) == drawn and 1500 < len(drawn) <= 2000
     assert numbers == sorted(numbers) and numbers[-1] > 10_000 and set(numbers) <= set(range(20_000))
     assert excerpt("x" * 5000, 100) == "x" * 100 and excerpt("short", 100) == "short"
+
+
+def test_no_rule_is_cut_by_a_number_of_rules(spark):
+    rows = [([f"g{g:02d}t{i}" for i in range(10)], "block") for g in range(40) for _ in range(2)]  # 7,000 sure sets of up to three tokens, 400 of them needed
+    rows += [(["weak"], "allow")] * 9 + [(["weak"], "block")]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    rules = urlfilter.mined_rules(labelled, 0.01, 0.8)
+    found = {tuple(r["tokens"]): (r["verdict"], round(r["confidence"], 9)) for r in rules.collect()}
+    assert found == {(f"g{g:02d}t{i}",): ("block", 1.0) for g in range(40) for i in range(10)} | {("weak",): ("allow", 0.9)}
+    urls = spark.createDataFrame([("u1", ["weak", "z"]), ("u2", ["g03t4", "weak"]), ("u3", ["z"])], "url string, tokens array<string>")
+    assert {r["url"]: r["mined"] for r in urlfilter.match(urls, rules).collect()} == {"u1": "allow", "u2": "block"}
+
+
+def test_verdicts_are_those_of_the_sql_twin_without_its_limit(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    limit = f" LIMIT {urlfilter.MOST_RULES}"
+    assert oracles.OP7.count(limit) == 1
+    want = con.sql(oracles.OP7.replace(limit, ""))
+    got = urlfilter.judge(table(spark, SF, "pages")).select(want.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
