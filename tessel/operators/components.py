@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.joins import join_back
 from tessel.plans.staging import cut
 
 
@@ -11,8 +12,9 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
 
     Alternates the large-star and small-star contractions, which converge in a number of rounds
     logarithmic in the component size, long chains included.  Every round is two aggregates and
-    two equi-joins; hub nodes are ordinary skewed join keys, which adaptive execution splits.
-    Self-loops and nulls are ignored; an empty input gives an empty result.
+    two equi-joins, in which adaptive execution can split hub nodes.  Self-loops and nulls are
+    ignored; an empty input gives an empty result.  Contractions that haven't converged after
+    ``max_rounds`` raise an error: no unfinished component is returned.
     """
     a, b = F.col(src), F.col(dst)
     links = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -20,13 +22,15 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_back(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_back(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not finished after {max_rounds} rounds")
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -1,12 +1,15 @@
 """Cutting lineage in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where a session names none (local
-tests) is a temporary one made.  Nothing here is kept on a single executor, so a lost executor
-costs a re-read and no recomputation of what came before.
+The folder is the session's ``spark.checkpoint.dir``.  Only a local session that names none gets
+a temporary one; on a cluster that is an error, as no machine's own folder is shared.  Nothing
+here is kept on a single executor, so a lost executor costs a re-read and no recomputation of
+what came before.
 """
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +20,31 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir() or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessel-checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: For each open ``temporary`` block, the paths written in it.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged within the block when it ends; its last reader must be in the block."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            drop_path(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of small iterative state (graph frontiers, label tables)."""
     shared_dir(df.sparkSession)
@@ -35,14 +57,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     For results that cost much to compute and are read several times.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted at the end of the innermost ``temporary`` block."""
+    path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
