@@ -52,8 +52,9 @@ def training_rows(
 
     The sample is drawn by a hash of the id, so it is the same on any cluster; of a text over
     ``max_chars`` code points, executors draw that much by a hash (it is scored whole).  Both
-    classes get up to half of the places, so that a rare class isn't drowned.  No row exceeds
-    ``max_chars`` characters, whatever the corpus holds.
+    classes get up to half of the places, so that a rare class isn't drowned.  Of rows that share
+    an id, the smallest excerpt takes part.  No row exceeds ``max_chars`` characters, whatever the
+    corpus holds.
     """
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     marks = marks.where(remainder(F.col("__id"), modulus) != held_out).groupBy("__id").agg(F.max("__y").alias("__y"))
@@ -70,6 +71,15 @@ def training_rows(
         for part in (p for batch in batches for p in slices(batch)):
             yield part.set_column(1, "__text", pa.array([excerpt(t, max_chars) for t in part.column(1).to_pylist()], pa.string()))
 
-    rows = chosen.mapInArrow(shortened, chosen.schema).limit(2 * max_rows).collect()
+    # one row an id: about max_rows at most, by the share drawn above
+    rows = chosen.mapInArrow(shortened, chosen.schema).groupBy("__id").agg(F.min("__text").alias("__text"), F.max("__y").alias("__y")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["__id"]).encode()), r["__text"]))
     return [(r["__text"], r["__y"]) for r in rows]
+
+
+def free_name(columns: list[str], name: str = "score") -> str:
+    """A column name that none of the given ones has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name

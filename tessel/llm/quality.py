@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessel.llm.common import remainder, slices, training_rows
+from tessel.llm.common import free_name, remainder, slices, training_rows
 
 WIDTH, NONZERO = 48, 6
 VOCABULARY, LEAST = 20_000, 5
@@ -219,5 +219,5 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
     """The documents with a score of at least one half, all columns kept; all, if no two classes were known."""
     if not model.fitted:
         return docs
-    name = next(n for n in ("score", "__score", "___score") if n not in docs.columns)
+    name = free_name(docs.columns)
     return with_score(docs, model, text_col, name).where(F.col(name) >= 0.5).drop(name)

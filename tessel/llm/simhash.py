@@ -1,60 +1,92 @@
 """SimHash near-duplicates through covering locality-sensitive hashing.
 
-A document's fingerprint has 64 bits: a bit is 1 if it is set in over half of the XXH64 values
-of its word shingles.  Documents whose fingerprints differ in at most ``radius`` bits are linked.
+A document's fingerprint has 64 bits for each of its words: a bit is 1 if it is set in over half
+of the hashes of its word shingles.  Candidates come from a covering family of bit masks, each of
+which gives a table: two fingerprints that agree on a whole mask share a key in that table.
 
-Candidates come from a covering family of bit masks.  Every bit position gets a non-zero vector
-of ``radius + 1`` bits; for each non-zero vector v there is a table, whose mask holds the
-positions with an odd inner product with v.  The vectors of at most ``radius`` positions span
-too little to leave every v out, so two fingerprints within the radius agree on the whole mask
-of some table: no pair is missed.
+* ``covering_masks(radius)``: every bit position gets a non-zero vector of ``radius + 1`` bits,
+  and for each non-zero vector v there is a mask of the positions with an odd inner product with
+  v.  The vectors of at most ``radius`` positions span too little to leave every v out.
+* ``band_masks(bands, intact)``: the 64 bits are cut into bands, and there is a mask for every
+  choice of ``intact`` bands.  Differences in ``bands - intact`` bits leave one choice untouched.
 
-Distinct fingerprints only are compared, so copies cost nothing.  A fingerprint that shares a
-masked value with another lists, within that bucket, the values that differ from it in at most
-``radius / 2`` of the unmasked bits.  For a radius of 2, two fingerprints are linked exactly if
-they list a common value, so all that list a value are joined to the smallest one: the work is
-in proportion to the fingerprints, however large a bucket is, and no pairs are written.
+Either way no pair within the radius is missed.  What shares a key is verified by the number of
+differing bits.  Distinct fingerprints only are compared, so copies cost nothing; a bucket over a
+block is dealt out as pairs of chunks, and a block gives the links that connect its rows, never
+all pairs.  A pair that meets in several tables counts in the first.
+
+``near_duplicates`` links fingerprints within ``radius`` bits.  ``deduplicate`` works at a Jaccard
+similarity of word shingles: the candidates' components are what is compared, text by text, by
+the exact similarity of their shingle sets, again in blocks.
 
 Words are split at ASCII white space after A-Z are lower-cased.  Null and empty texts have the
 fingerprint 0 and are linked like any other; texts shorter than a shingle have one shingle, the
-whole sequence; repeated rows share a class.  Other columns are ignored.
+whole sequence; texts without words are alike.  Repeated rows share a class.  Other columns are
+ignored or, in ``deduplicate``, kept; an empty table gives no rows.
 """
 
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.joins import join_back
 from tessel.llm.common import slices
 from tessel.operators.components import star_components
 from tessel.plans.staging import staged
 
 BITS = 64
 SEED = 42
+#: Distinct fingerprints compared at a time.
+BLOCK = 2048
+#: Words of a shingle and least similarity of ``deduplicate``.
+SHINGLE, SIMILARITY = 5, (4, 5)
+#: Of the 8 bands of each half of a 128-bit fingerprint, any two make a table: every pair within
+#: 6 bits of a half, so within 13 bits in all, meets.  Texts at the least similarity differ in
+#: 19 bits on average, with a deviation of 4, and are compared up to 36.
+BANDS, INTACT, WIDEST = 8, 2, 36
+#: Documents and characters compared exactly at a time.
+TEXTS, CHARACTERS = 512, 2_000_000
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """The 64-bit fingerprint of one text, as an unsigned number."""
+def shingles(text: str, size: int) -> list[bytes]:
+    """The word shingles of a text in their order, repeats included."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
+    if len(words) < size:
+        return [joined]
     ends = list(accumulate((len(w) + 1 for w in words), initial=-1))[1:]
     starts = [0, *(e + 1 for e in ends[:-1])]
-    hashed = xxhash.xxh64_intdigest
-    spans = zip(starts, ends[shingle - 1 :], strict=False) if len(words) >= shingle else [(0, len(joined))]
-    values = np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(values), 8192):
-        part = values[at : at + 8192]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(values), bitorder="little").tobytes(), "little")
+    return [joined[a:b] for a, b in zip(starts, ends[size - 1 :], strict=False)]
 
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+def majority(digests: bytes, width: int) -> bytes:
+    """The bits set in over half of the ``width``-byte digests; zeros where there is none."""
+    rows = np.frombuffer(digests, np.uint8).reshape(-1, width)
+    ones = np.zeros(8 * width, np.int64)
+    for at in range(0, len(rows), 8192):
+        ones += np.unpackbits(rows[at : at + 8192], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(rows)).tobytes()
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """The 64-bit fingerprint of one text, as an unsigned number."""
+    hashed = xxhash.xxh64_digest
+    return int.from_bytes(majority(b"".join([hashed(s, SEED) for s in shingles(text, shingle)]), 8), "big")
+
+
+def wide_fingerprint(text: str, shingle: int = SHINGLE) -> tuple[int, int]:
+    """The 128-bit fingerprint of one text, as two unsigned numbers."""
+    hashed = xxhash.xxh3_128_digest
+    bits = majority(b"".join([hashed(s, SEED) for s in shingles(text, shingle)]), 16)
+    return int.from_bytes(bits[:8], "big"), int.from_bytes(bits[8:], "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -79,39 +111,120 @@ def covering_masks(radius: int = 2, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i in range(bits) if ((i % n + 1) & v).bit_count() & 1) for v in range(1, n + 1)]
 
 
+def band_masks(bands: int = BANDS, intact: int = INTACT, bits: int = BITS) -> list[int]:
+    """The masks of every choice of ``intact`` bands."""
+    cuts = [bits * i // bands for i in range(bands + 1)]
+    each = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(each, intact)]
+
+
 def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """``(src, dst)`` links that connect all ``bits`` values within 2 bits of each other.
-
-    Two values in one link may be linked through a common neighbour value only in so far as they
-    are themselves within 2 bits; the links' components are those of all pairs.
+def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each of n rows is connected to by links between rows a and b."""
+    low = np.arange(n)
+    while True:
+        after = low.copy()
+        np.minimum.at(after, a, low[b])
+        np.minimum.at(after, b, low[a])
+        after = after[after]
+        if (after == low).all():
+            return low
+        low = after
+
+
+def _cut_groups(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups; what a group can hold is bounded by its chunks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        last, n = whole.num_rows - 1, whole.num_rows
+        same = np.ones(n, bool)
+        for c in order:
+            v = whole.column(c).to_numpy()
+            same &= v == v[last]
+        at = n - int(np.argmin(same[::-1])) if not same.all() else 0
+        if at:
+            yield whole.slice(0, at)
+        held = whole.slice(at).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def collisions(distinct: DataFrame, tables: list[tuple[int, int]], within: int, block: int = BLOCK) -> DataFrame:
+    """``(src, dst)`` arrays of words: links that connect all fingerprints of at most ``within``
+    differing bits that share a key in some table.
+
+    ``distinct`` has one or more long columns, the words of a fingerprint; a table is the number
+    of a word and a mask of it.
     """
-    masks = covering_masks(2)
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("bits").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)]))
-    rows = distinct.select("bits", tables.alias("x")).select("bits", "x.t", "x.key")
-    shared = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key")
-    met = rows.join(shared, ["t", "key"]).select("bits", "t")
-    flips = F.array(*[F.array(F.lit(0), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks])
-    around = met.select("bits", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip")).select("bits", F.col("bits").bitwiseXOR(F.col("flip")).alias("value"))
-    around = around.distinct()
-    low = around.groupBy("value").agg(F.min("bits").alias("low"), F.max("bits").alias("high")).where("low <> high").select("value", "low")
-    return around.join(low, "value").where("bits <> low").select(F.col("bits").alias("src"), F.col("low").alias("dst")).distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    words = distinct.columns
+    keys = [F.struct(F.lit(t).alias("t"), F.col(words[w]).bitwiseAND(F.lit(_signed(m))).alias("key")) for t, (w, m) in enumerate(tables)]
+    rows = distinct.select(*words, F.explode(F.array(*keys)).alias("x")).select("x.t", "x.key", *words)
+    full = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    full = staged(full.select("t", "key", F.ceil(F.col("n") / F.lit(block // 2)).cast("int").alias("chunks")), "full-buckets")
+    rows = rows.join(full, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    mine = F.pmod(F.xxhash64(F.lit("chunk"), *words), F.col("chunks").cast("long")).cast("int")
+    # a chunk meets every chunk: the pair is named by its two numbers, and the own chunk meets itself
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("t", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", *words)
+    order = ["t", "key", "a", "b"]
+    rows = rows.repartition(*order).sortWithinPartitions(*order)
+
+    def compare(batches):
+        for whole in _cut_groups(batches, order):
+            n = whole.num_rows
+            t, key, a, b, mine = (whole.column(c).to_numpy() for c in (*order, "mine"))
+            bits = np.stack([whole.column(w).to_numpy() for w in words]).view(np.uint64)
+            fresh = np.ones(n, bool)
+            fresh[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            group = np.cumsum(fresh)
+            left, right = [], []
+            first = np.arange(n)
+            step = 0
+            while len(first):
+                step += 1
+                first = first[first + step < n]
+                first = first[group[first] == group[first + step]]
+                i, j = first, first + step
+                near = np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0) <= within
+                near &= (a[i] == b[i]) | (mine[i] != mine[j])  # between the two chunks of a pair
+                i, j = i[near], j[near]
+                if not len(i):
+                    continue
+                new = np.ones(len(i), bool)
+                for k, (w, m) in enumerate(tables[:-1]):  # met before
+                    new &= (t[i] <= k) | ((bits[w, i] ^ bits[w, j]) & np.uint64(m) != 0)
+                left.append(i[new])
+                right.append(j[new])
+            if left:
+                low = connect(n, np.concatenate(left), np.concatenate(right))
+                moved = np.flatnonzero(low != np.arange(n))
+                ends = bits.view(np.int64)
+                found = [pa.array(ends[w, at]) for at in (moved, low[moved]) for w in range(len(words))]
+                yield pa.RecordBatch.from_arrays(found, [f"{side}{w}" for side in ("src", "dst") for w in range(len(words))])
+
+    return rows.mapInArrow(compare, ", ".join(f"{side}{w} long" for side in ("src", "dst") for w in range(len(words))))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """``(id, bits, component_id)``: every document with the smallest id it is linked to.
 
-    Links join fingerprints that differ in at most 2 bits, and components follow the links.
+    Links join fingerprints that differ in at most ``radius`` bits, and components follow the
+    links.
     """
     marks = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    classes = marks.groupBy("bits").agg(F.min(id_col).alias("low"))
-    roots = star_components(fingerprint_links(classes.select("bits")))
+    classes = staged(marks.groupBy("bits").agg(F.min(id_col).alias("low")), "simhash-bits")
+    links = collisions(classes.select("bits"), [(0, m) for m in covering_masks(radius)], radius)
+    roots = star_components(links.select(F.col("src0").alias("src"), F.col("dst0").alias("dst")))
     classes = classes.join(roots.select(F.col("id").alias("bits"), F.col("component").alias("root")), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lows, "root").select("bits", "component_id")
+    classes = staged(join_back(classes, lows, "root").select("bits", "component_id"), "simhash-classes")
     return marks.join(classes, "bits").select(id_col, "bits", "component_id")
 
 
@@ -120,15 +233,116 @@ def hex_digits(bits) -> object:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their near-duplicate group; all columns stay.
+def alike(texts: list[str], shingle: int = SHINGLE, least: tuple[int, int] = SIMILARITY, step: int = 1 << 22) -> np.ndarray:
+    """Whether each two of some texts have a Jaccard similarity of at least ``least``, exactly.
+
+    Shared shingles are counted by products of incidence matrices of bounded size; a shingle of
+    one text alone adds to no count.
+    """
+    n = len(texts)
+    sets = [np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles(t, shingle)], np.uint64)) for t in texts]
+    size = np.array([len(s) for s in sets], np.int64)
+    of = np.repeat(np.arange(n), size)
+    _, number, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = many > 1
+    column = np.cumsum(shared) - 1
+    kept = shared[number]
+    of, column = of[kept], column[number[kept]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both, wide = np.zeros((n, n), np.float64), max(1, step // n)
+    for at in range(0, int(shared.sum()), wide):
+        a, b = np.searchsorted(column, (at, at + wide))
+        seen = np.zeros((n, min(wide, int(shared.sum()) - at)), np.float32)
+        seen[of[a:b], column[a:b] - at] = 1
+        both += seen @ seen.T
+    return least[1] * both >= least[0] * (size[:, None] + size[None, :] - both)
+
+
+def similar(members: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``(src, dst)`` digests: links that connect the texts of a group that are alike.
+
+    ``members``: ``group, chunks, digest, text``; a group of several chunks is compared as pairs
+    of chunks.
+    """
+    mine = F.pmod(F.xxhash64(F.lit("chunk"), "digest"), F.col("chunks").cast("long")).cast("int")
+    rows = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("group", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "digest", "text")
+    order = ["group", "a", "b"]
+    rows = rows.repartition(*order).sortWithinPartitions(*order)
+
+    def compare(batches):
+        for whole in _cut_groups(batches, order):
+            marks = np.stack([whole.column(c).to_numpy() for c in order])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1), whole.num_rows]
+            src, dst = [], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b - a > 1:
+                    part = whole.slice(a, b - a)
+                    i, j = np.nonzero(np.triu(alike(part.column("text").to_pylist(), shingle), 1))
+                    low = connect(b - a, i, j)
+                    moved = np.flatnonzero(low != np.arange(b - a))
+                    digests = part.column("digest").combine_chunks()
+                    src += digests.take(pa.array(moved)).to_pylist()
+                    dst += digests.take(pa.array(low[moved])).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
+
+    return rows.mapInArrow(compare, "src string, dst string")
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(id, digest, chars, b0, b1)``: md5, length and wide fingerprint of every text."""
+
+    def run(batches):
+        for part in (p for batch in batches for p in slices(batch)):
+            bits = np.array([wide_fingerprint(t, shingle) for t in part.column(3).to_pylist()], np.uint64).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], [id_col, "digest", "chars", "b0", "b1"])
 
-    A row that repeats another's id and text goes.  Rows without an id stand or fall together:
-    they stay if one of them is in a group in which no row has an id.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col), digest_of(text_col).alias("digest"), F.length(text).cast("long").alias("chars"), text.alias("text"))
+    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, digest string, chars long, b0 long, b1 long")
+
+
+def digest_of(text_col: str) -> Column:
+    """The md5 of a text; null counts as empty."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``(digest, low, root)``: every distinct text with its smallest id and the root of its group.
+
+    Groups are the components of the links between texts whose shingle sets have a Jaccard
+    similarity of at least 0.8, among those that the tables connect.
+    """
+    marks = _marks(docs, id_col, text_col, shingle)
+    node = F.xxhash64("b0", "b1")  # what shares a hash is compared exactly all the same
+    texts = staged(marks.groupBy("digest", "chars", "b0", "b1").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("rows")), "texts")
+    tables = [(w, m) for w in (0, 1) for m in band_masks()]
+    met = collisions(texts.select("b0", "b1").distinct(), tables, WIDEST)
+    roots = star_components(met.select(F.xxhash64("src0", "src1").alias("src"), F.xxhash64("dst0", "dst1").alias("dst")))
+    roots = roots.select(F.col("id").alias("node"), F.col("component").alias("met"))
+    grouped = texts.withColumn("node", node).join(roots, "node", "left").select("digest", "low", "chars", F.coalesce("met", "node").alias("group"))
+    grouped = staged(grouped, "candidates")
+    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where("n > 1")
+    chunks = F.ceil(F.greatest(F.col("n") / F.lit(TEXTS), F.col("chars") / F.lit(CHARACTERS))).cast("int")
+    sizes = staged(sizes.select("group", chunks.alias("chunks")), "candidate-groups")
+    chosen = staged(grouped.join(sizes, "group").select("group", "chunks", "digest", F.col("low").alias("__low")), "chosen")
+    own = docs.select(F.col(id_col).alias("__id"), digest_of(text_col).alias("__digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    members = own.join(chosen, own["__id"].eqNullSafe(chosen["__low"]) & (own["__digest"] == chosen["digest"])).select("group", "chunks", "digest", "text")
+    found = star_components(similar(members, shingle))
+    found = found.select(F.col("id").alias("digest"), F.col("component").alias("root"))
+    return texts.join(found, "digest", "left").select("digest", "low", "rows", F.coalesce("root", "digest").alias("root"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The document with the smallest id of each group of similar texts; all columns stay.
+
+    Of texts that share the smallest id, the one with the smallest md5 stays; of rows that share
+    both id and text, one.  Where no row of a group has an id, the smallest md5 decides alone.
     """
-    # a table: read twice, and grouped by other keys than the join's, whose large groups can then be split
-    found = staged(near_duplicates(docs, id_col, text_col), "simhash-classes")
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__kept")).agg(F.count(F.lit(1)).alias("__n"))
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
-    repeated = not found.groupBy(id_col, "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    return out.dropDuplicates([id_col, text_col]) if repeated else out
+    texts = staged(similar_texts(docs, id_col, text_col, shingle), "similar-texts")
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "digest", "rows")).alias("k")
+    kept = staged(texts.groupBy("root").agg(first).select(F.col("k.low").alias("__low"), F.col("k.digest").alias("__digest"), F.col("k.rows").alias("__rows")), "kept-texts")
+    here = docs[id_col].eqNullSafe(kept["__low"]) & (digest_of(text_col) == kept["__digest"])
+    out = docs.join(kept, here, "left_semi")
+    return out if kept.where("__rows > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
