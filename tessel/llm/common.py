@@ -2,7 +2,7 @@
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -22,6 +22,31 @@ def slices(batch: pa.RecordBatch, step: int = SLICE) -> Iterator[pa.RecordBatch]
         yield batch.slice(at, step)
 
 
+class Chunks(dict):
+    """What a function makes of the pieces of a text between spaces, remembered.
+
+    For functions of which the whole text's bytes are those of its pieces in a row.  The memory
+    is bounded: it starts afresh after ``most`` pieces, and pieces over ``longest`` characters are
+    made each time.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int = 400_000, longest: int = 48):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.make(piece)
+        if len(piece) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = out
+        return out
+
+    def of(self, text: str) -> bytes:
+        """The bytes of a whole text."""
+        return b"".join(map(self.__getitem__, text.split(" ")))
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal id, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -30,11 +30,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessel.llm.common import slices
+from tessel.llm.common import Chunks, slices
 from tessel.plans.staging import staged
 
-#: Strings whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 1_000_000
+#: Pieces of text whose ids a worker remembers; beyond it the memory starts afresh.
+REMEMBERED = 600_000
 _CHUNKS = re.compile(r" (?=\S)").split
 
 
@@ -43,33 +43,22 @@ class TokenBytes:
 
     A byte-level vocabulary without a normaliser splits before every space that a visible
     character follows, so the text is cut there and each distinct chunk is tokenised once.
-    Any other vocabulary encodes whole texts.  Strings of special tokens are ordinary text.
+    Texts under any other vocabulary are encoded whole, and so are texts that hold the string of an
+    added token, which is one id as the library has it.
     """
 
     _made: dict[str, "TokenBytes"] = {}
 
-    class _Memory(dict):
-        def __init__(self, make):
-            super().__init__()
-            self.make = make
-
-        def __missing__(self, key: str) -> bytes:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[key] = out = self.make(key)
-            return out
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.findall = regex.compile(public_tokenizers.PATTERN).findall
-        self.chunks = self._Memory(self._chunk)
-        self.words = self._Memory(self._word)
+        self.chunks, self.words = Chunks(self._chunk, REMEMBERED), Chunks(self._word, REMEMBERED)
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(letters)]
         self.to_char = {b: b for b in letters} | {b: 256 + i for i, b in enumerate(others)}
@@ -97,7 +86,7 @@ class TokenBytes:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, four bytes each."""
-        if not self.plain:
+        if not self.plain or any(t in text for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         head, *rest = _CHUNKS(text)
         first = b"".join(map(self.words.__getitem__, self.findall(head)))

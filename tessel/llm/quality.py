@@ -1,23 +1,28 @@
 """Quality scores from random-indexing word vectors and a two-layer network.
 
 Every token has a sparse ternary index vector drawn from its hash, to which that of its shape
-(case, digits, symbols, length) is added.  Over the training texts each frequent token gathers
+(case, digits, symbols, length) is added.  Over all documents each token of the vocabulary gathers
 the index vectors of its neighbours, permuted by side, as its context vector; its word vector is
 the sum of both.  A document is pooled from the vectors of its tokens: the mean, the root mean
 square, and the mean product of neighbours, which tells runs of repeated words.  A network of
 one hidden layer is trained in numpy; a temperature, fitted on texts that it didn't see, scales
 its logits to probabilities.
 
-The fit uses a bounded sample of labelled rows (``max_rows`` and ``max_chars``); the model sent
-to executors is bounded by ``VOCABULARY`` vectors.  Every whole text is scored in one narrow
-stage.  Null and empty texts have no token and are scored as the zero vector.  Without labelled
-rows of both classes, the score is the smoothed share of label 1.  Repeated rows are scored
-alike; other columns are ignored or, in ``keep_good``, kept.
+Token counts and context sums are whole numbers gathered from every whole text, per task first
+and then by token, so they are the same on any cluster.  The vocabulary is the most frequent
+tokens, ``VOCABULARY`` at most, each seen ``LEAST`` times; any other token has its index vector
+alone.  Only the network is fitted on a bounded sample of labelled rows (``max_rows`` and
+``max_chars``).  Every whole text is scored in one narrow stage.  Null and empty texts have no
+token and are scored as the zero vector.  Without labelled rows of both classes, the score is the
+smoothed share of label 1.  Repeated rows are scored alike; other columns are ignored or, in
+``keep_good``, kept.
 """
 
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessel.llm.common import free_name, remainder, slices, training_rows
+from tessel.plans.staging import staged
 
 WIDTH, NONZERO = 48, 6
 VOCABULARY, LEAST = 20_000, 5
+#: Neighbours on each side, and characters of the longest token that has a context vector.
+REACH, LONGEST = 2, 64
+#: Distinct pieces of text that a task counts before it hands their tokens on.
+COUNTED = 200_000
 #: Tokens of a zero vector that every document is taken to have besides its own: it keeps the
 #: averages of a very short text from being those of one or two chance vectors.
 SHRINK = 8
@@ -43,11 +53,13 @@ def tokens(text: str) -> list[str]:
     return _TOKENS(text)
 
 
-def _ternary(key: str) -> np.ndarray:
-    out, h = np.zeros(WIDTH, np.float32), zlib.crc32(key.encode("utf-8", "surrogatepass"))
+def _ternary(keys: list[str]) -> np.ndarray:
+    """A row of ``NONZERO`` signs in drawn places for each key."""
+    h = np.array([zlib.crc32(k.encode("utf-8", "surrogatepass")) for k in keys], np.uint64)
+    out, rows = np.zeros((len(keys), WIDTH), np.float32), np.arange(len(keys))
     for _ in range(NONZERO):
-        h = (h * 6364136223846793005 + 1442695040888963407) & (1 << 64) - 1
-        out[(h >> 33) % WIDTH] += 1.0 if h >> 63 else -1.0
+        h = h * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
+        out[rows, (h >> np.uint64(33)) % np.uint64(WIDTH)] += np.where(h >> np.uint64(63), 1.0, -1.0).astype(np.float32)
     return out
 
 
@@ -60,9 +72,27 @@ def _shape(token: str) -> str:
     return f"symbol {token[:1]} {min(len(token), 4)}"
 
 
-def index_vector(token: str) -> np.ndarray:
-    """The token's own random vector plus that of its shape."""
-    return _ternary(token) + _ternary("\0" + _shape(token))
+@lru_cache(maxsize=4096)
+def _of_shape(shape: str) -> np.ndarray:
+    return _ternary(["\0" + shape])[0]
+
+
+def index_vectors(found: list[str]) -> np.ndarray:
+    """Each token's own random vector plus that of its shape."""
+    return _ternary(found) + np.stack([_of_shape(_shape(t)) for t in found]) if found else np.zeros((0, WIDTH), np.float32)
+
+
+class _Rows(dict):
+    """Row numbers of tokens, dealt on first sight; ``new`` are those without a vector yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = at = len(self)
+        self.new.append(token)
+        return at
 
 
 class QualityModel:
@@ -73,8 +103,8 @@ class QualityModel:
         self._fresh()
 
     def _fresh(self) -> None:
-        self._rows: dict[str, int] = {}
-        self._vectors = np.zeros((4096, WIDTH), np.float32)
+        self._rows = _Rows()
+        self._vectors, self._made = np.zeros((4096, WIDTH), np.float32), 0
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -83,27 +113,31 @@ class QualityModel:
         self.__dict__.update(state)
         self._fresh()
 
-    def vectors(self, found: list[str]) -> np.ndarray:
-        """The word vectors of a list of tokens."""
+    def rows(self, text: str) -> np.ndarray:
+        """The numbers of a text's tokens, whose vectors are made."""
         if len(self._rows) > REMEMBERED:
             self._fresh()
-        rows = self._rows
-        for token in set(found):
-            if token not in rows:
-                at = len(rows)
-                if at == len(self._vectors):
-                    self._vectors = np.concatenate([self._vectors, np.zeros_like(self._vectors)])
-                near = self.context.get(token)
-                self._vectors[at] = index_vector(token) + (0 if near is None else near)
-                rows[token] = at
-        return self._vectors[np.fromiter(map(rows.__getitem__, found), np.int64, len(found))]
+        found = np.fromiter(map(self._rows.__getitem__, tokens(text)), np.int32)
+        if self._rows.new:
+            self._make(self._rows.new)
+            self._rows.new = []
+        return found
+
+    def _make(self, new: list[str]) -> None:
+        while len(self._vectors) < self._made + len(new):
+            self._vectors = np.concatenate([self._vectors, np.zeros_like(self._vectors)])
+        self._vectors[self._made : self._made + len(new)] = index_vectors(new)
+        for at, token in enumerate(new, self._made):
+            if (near := self.context.get(token)) is not None:
+                self._vectors[at] += near
+        self._made += len(new)
 
     def pooled(self, text: str, step: int = 8192) -> np.ndarray:
         """The pooled vector of a whole text, summed in stretches."""
-        found = tokens(text)
+        found = self.rows(text)
         total, square, product = (np.zeros(WIDTH) for _ in range(3))
         for at in range(0, len(found), step):
-            v = self.vectors(found[at : at + step + 1])
+            v = self._vectors[found[at : at + step + 1]]
             here = v[:step]
             total += here.sum(axis=0)
             square += np.einsum("ij,ij->j", here, here)
@@ -125,24 +159,101 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def context_vectors(texts: list[str], reach: int = 2) -> dict[str, np.ndarray]:
-    """For each frequent token, the normed sum of its neighbours' index vectors, permuted by distance."""
-    counts = Counter(t for text in texts for t in tokens(text))
-    names = [t for t, n in counts.most_common(VOCABULARY) if n >= LEAST]
+class Contexts:
+    """Sums of the neighbours' index vectors of each token of a vocabulary."""
+
+    def __init__(self, names: list[str]):
+        self.names, n = names, len(names)
+        self.at = dict(zip(names, range(n), strict=True))
+        index = np.concatenate([index_vectors(names), np.zeros((1, WIDTH), np.float32)]).astype(np.int8)
+        self.rolled = {d: np.roll(index, d, axis=1) for d in range(-REACH, REACH + 1) if d}
+        self.sums = np.zeros((n, WIDTH), np.int64)
+
+    def add(self, texts: list[str], step: int = 1 << 15) -> None:
+        """Gather from whole texts; none is a neighbour of another."""
+        n = len(self.names)
+        gap = [n] * REACH
+        rows = np.fromiter(chain.from_iterable(chain(gap, map(self.at.get, tokens(text), repeat(n)), gap) for text in texts), np.int32)
+        for at in range(REACH, len(rows) - REACH, step):
+            here = rows[at : min(at + step, len(rows) - REACH)]
+            near = sum(vectors[rows[at + d : at + d + len(here)]] for d, vectors in self.rolled.items())
+            order = np.argsort(here, kind="stable")
+            of = here[order]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            sums = np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
+            known = of[first] < n
+            self.sums[of[first][known]] += sums[known]
+
+    def vectors(self) -> dict[str, np.ndarray]:
+        """The normed sums by token."""
+        norm = np.linalg.norm(self.sums, axis=1, keepdims=True)
+        return dict(zip(self.names, (self.sums / np.where(norm > 0, norm, 1) * np.sqrt(NONZERO)).astype(np.float32), strict=True))
+
+
+def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> list[str]:
+    """The most frequent tokens of ``text``, at most ``most``, those of equal rank all or none."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for part in (p for batch in batches for p in slices(batch)):
+            for text in part.column(0).to_pylist():
+                counts.update(text.split(" "))
+                if len(counts) > COUNTED:
+                    yield _counted(counts)
+                    counts.clear()
+        yield _counted(counts)
+
+    found = rows.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    found = staged(found.withColumn("rank", (F.log2("n") * 64).cast("int")), "tokens")
+    left, least = most, None
+    for r in found.groupBy("rank").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("rank")).collect():  # at most 64 ranks a doubling
+        left -= r["many"]
+        if left < 0:
+            break
+        least = r["rank"]
+    return [] if least is None else sorted(r["token"] for r in found.where(F.col("rank") >= least).select("token").collect())
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    """The counts of the tokens in counted pieces of texts."""
+    found = Counter(tokens(" ".join([p for p, n in counts.items() if n == 1])))
+    for piece, n in counts.items():
+        if n > 1:
+            for t in tokens(piece):
+                found[t] += n
+    kept = [(t.encode("utf-8", "replace").decode(), n) for t, n in found.items() if len(t) <= LONGEST]
+    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["token", "n"])
+
+
+def corpus_contexts(docs: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
+    """Context vectors gathered from every whole text."""
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = vocabulary(rows)
     if not names:
         return {}
-    at = {t: i for i, t in enumerate(names)}
-    index = np.stack([index_vector(t) for t in names])
-    sums = np.zeros_like(index)
-    for text in texts:
-        rows = np.array([at.get(t, -1) for t in tokens(text)])
-        for d in range(1, reach + 1):
-            a, b = rows[:-d], rows[d:]
-            both = (a >= 0) & (b >= 0)
-            np.add.at(sums, a[both], np.roll(index[b[both]], d, axis=1))
-            np.add.at(sums, b[both], np.roll(index[a[both]], -d, axis=1))
-    norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    return dict(zip(names, sums / np.where(norm > 0, norm, 1) * np.sqrt(NONZERO), strict=True))
+    sent = docs.sparkSession.sparkContext.broadcast(names)  # at most VOCABULARY tokens of LONGEST characters
+    columns = [f"c{i}" for i in range(WIDTH)]
+
+    def run(batches):
+        found = Contexts(sent.value)
+        for part in (p for batch in batches for p in slices(batch)):
+            found.add(part.column(0).to_pylist())
+        used = np.flatnonzero(found.sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(found.sums[used, i]) for i in range(WIDTH))], ["token", *columns])
+
+    sums = rows.mapInArrow(run, "token long, " + ", ".join(f"{c} long" for c in columns))
+    out = Contexts(names)
+    for r in sums.groupBy("token").agg(*[F.sum(c).alias(c) for c in columns]).collect():
+        out.sums[r[0]] = r[1:]
+    return out.vectors()
+
+
+def context_vectors(texts: list[str]) -> dict[str, np.ndarray]:
+    """Context vectors of a few texts."""
+    counts = Counter(t for text in texts for t in tokens(text))
+    out = Contexts(sorted(t for t, n in counts.most_common(VOCABULARY) if n >= LEAST and len(t) <= LONGEST))
+    out.add(texts)
+    return out.vectors()
 
 
 def _descend(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, rate: float, decay: float, rng: np.random.Generator) -> list[np.ndarray]:
@@ -164,8 +275,9 @@ def _descend(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, rate: float
     return layers
 
 
-def train(rows: list[tuple[str, int]], hidden: int = 32, epochs: int = 30, seed: int = 11) -> QualityModel:
-    """The model of labelled texts; a fifth of them calibrates the temperature."""
+def train(rows: list[tuple[str, int]], context: dict[str, np.ndarray] | None = None, hidden: int = 32, epochs: int = 30, seed: int = 11) -> QualityModel:
+    """The model of labelled texts and of the corpus's context vectors, by default those of the
+    texts; a fifth of the texts calibrates the temperature."""
     size = 3 * WIDTH + 1
     ones = sum(y for _, y in rows)
     if not 0 < ones < len(rows):
@@ -174,7 +286,7 @@ def train(rows: list[tuple[str, int]], hidden: int = 32, epochs: int = 30, seed:
         return QualityModel({}, layers, np.zeros(size), np.ones(size), fitted=False)
     rng = np.random.default_rng(seed)
     texts, y = [t for t, _ in rows], np.array([v for _, v in rows], float)
-    model = QualityModel(context_vectors(texts), [], np.zeros(size), np.ones(size))
+    model = QualityModel(context_vectors(texts) if context is None else context, [], np.zeros(size), np.ones(size))
     x = np.stack([model.pooled(t) for t in texts])
     order = rng.permutation(len(x))
     held, used = order[: len(x) // 5], order[len(x) // 5 :]
@@ -191,8 +303,10 @@ def train(rows: list[tuple[str, int]], hidden: int = 32, epochs: int = 30, seed:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = MODULUS, held_out: int = HELD_OUT, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Train on at most ``max_rows`` labelled texts, ``max_chars`` characters of each."""
-    return train(training_rows(docs, labels, label, modulus, held_out, max_rows, max_chars, id_col, text_col))
+    """Gather contexts from all documents and train on at most ``max_rows`` labelled texts,
+    ``max_chars`` characters of each."""
+    rows = training_rows(docs, labels, label, modulus, held_out, max_rows, max_chars, id_col, text_col)
+    return train(rows, corpus_contexts(docs, text_col) if len({y for _, y in rows}) == 2 else {})
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,10 +21,9 @@ Repeated rows are scored alike; other columns are ignored or, in ``drop_toxic``,
 """
 
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +45,35 @@ def words(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    """The buckets of a word: n-grams of 3 to 6 characters and the whole word, between marks."""
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in [*grams, marked]]
+def subwords(found: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of words, one word after the other, and how many each has.
+
+    A word, between marks, has its n-grams of 3 to 6 characters and itself, all hashed by the
+    same polynomial.
+    """
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    signs = np.frombuffer("".join([f"<{w}>" for w in found]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in found])
+    start = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(found)), size)
+    left = (start + size)[of] - np.arange(len(signs))  # signs from here to the end of the word
+    place = np.arange(len(signs)) - start[of]
+    prime = np.uint64(0x9E3779B97F4A7C15)
+    powers = np.multiply.accumulate(np.full(max(6, int(size.max())), prime))
+    hashes, words_of = [np.add.reduceat(signs * powers[place], start)], [np.arange(len(found))]
+    gram = signs * powers[0]
+    for n in range(2, 7):
+        gram = gram[: len(signs) - n + 1] + signs[n - 1 :] * powers[n - 1] if len(signs) >= n else gram[:0]
+        if n > 2:
+            whole = np.flatnonzero(left[: len(gram)] >= n)
+            hashes.append(gram[whole])
+            words_of.append(of[whole])
+    h, word = np.concatenate(hashes), np.concatenate(words_of)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(word, kind="stable")
+    ids = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return ids[order], np.bincount(word, minlength=len(found))
 
 
 def window_starts(n: int, window: int = WINDOW) -> np.ndarray:
@@ -58,36 +81,61 @@ def window_starts(n: int, window: int = WINDOW) -> np.ndarray:
     return np.arange(min(n, 1) if n <= window else n - window + 1)
 
 
+class _Rows(dict):
+    """Row numbers of words, dealt on first sight; ``new`` are those without a row yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class SubwordModel:
     """``weights[b]``: what bucket b adds to the logit difference of a window's average."""
 
     def __init__(self, weights: np.ndarray, bias: float, scale: float = 1.0, fitted: bool = True):
         self.weights, self.bias, self.scale, self.fitted = weights.astype(np.float32), bias, scale, fitted
-        self._known: dict[str, tuple[float, int]] = {}
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self._rows = _Rows()
+        #: For each word, its sum of weights and its number of subwords.
+        self._sums, self._made = np.zeros((4096, 2)), 0
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "bias": self.bias, "scale": self.scale, "fitted": self.fitted, "_known": {}}
-
-    def _of(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(found):
-            if w not in known:
-                ids = subwords(w, len(self.weights))
-                known[w] = (float(self.weights[ids].sum()), len(ids))
-        pairs = np.fromiter(chain.from_iterable(map(known.__getitem__, found)), np.float64, 2 * len(found)).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fresh()
+
+    def _of(self, found: list[str]) -> np.ndarray:
+        if len(self._rows) > REMEMBERED:
+            self._fresh()
+        at = np.fromiter(map(self._rows.__getitem__, found), np.int32, len(found))
+        if new := self._rows.new:
+            while len(self._sums) < self._made + len(new):
+                self._sums = np.concatenate([self._sums, np.zeros_like(self._sums)])
+            ids, size = subwords(new, len(self.weights))
+            word = np.repeat(np.arange(len(new)), size)
+            self._sums[self._made : self._made + len(new)] = np.stack([np.bincount(word, self.weights[ids], len(new)), size], axis=1)
+            self._made += len(new)
+            self._rows.new = []
+        return self._sums[at]
 
     def logit(self, text: str) -> float:
         """The logit difference of the worst window."""
         found = words(text)
         if not found:
             return self.bias * self.scale
-        value, size = self._of(found)
-        value, size = np.concatenate([[0], np.cumsum(value)]), np.concatenate([[0], np.cumsum(size)])
-        wide = min(WINDOW, len(found))
-        return float(((value[wide:] - value[:-wide]) / (size[wide:] - size[:-wide]) + self.bias).max()) * self.scale
+        of = self._of(found)
+        sums, wide = np.concatenate([[[0, 0]], np.cumsum(of, axis=0)]), min(WINDOW, len(of))
+        value, size = (sums[wide:] - sums[:-wide]).T
+        return float((value / size + self.bias).max()) * self.scale
 
     def score(self, text: str) -> float:
         """The probability of label 1."""
@@ -103,14 +151,10 @@ class _Trainer:
     """
 
     def __init__(self, vocabulary: list[str], counts: np.ndarray, buckets: int, width: int, seed: int, least: int = 3):
-        bags, sizes = array("i"), array("i")
-        for w in vocabulary:
-            ids = subwords(w, buckets)
-            bags.extend(ids)
-            sizes.append(len(ids))
-        self.size = np.array(sizes, np.float64)
-        flat = np.frombuffer(bags, np.int32)
-        word = np.repeat(np.arange(len(sizes), dtype=np.int32), np.array(sizes))
+        flat, sizes = subwords(vocabulary, buckets)
+        flat = flat.astype(np.int32)
+        self.size = sizes.astype(np.float64)
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         seen = np.bincount(flat, counts[word], buckets) >= least  # a rarer bucket stays at zero
         self.used, self.all = np.flatnonzero(seen), buckets
         kept = seen[flat]
