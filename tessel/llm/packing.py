@@ -1,12 +1,13 @@
-"""Best-fit packing of token sequences, improved by swap-based local search.
+"""Best-fit packing of token sequences by swap-based local search.
 
 Documents are tokenised and closed by an end id; one that is longer than a sequence is cut into
 full pieces of which the first may be shorter.  Pieces of equal length are interchangeable, so
 the plan is made on the histogram of lengths, which has at most ``capacity`` numbers whatever
-the corpus holds: best-fit decreasing over whole groups of equal bins, then a local search that
-moves a piece, or exchanges one for one or two for one, between underfull bins whenever the sum
-of squared fills grows, until bins empty or the least possible number is reached.  Spark deals
-the pieces of each length to the places of the plan by their rank.
+the corpus holds.  It starts with a bin for every piece; a local search then moves one or two
+pieces, or exchanges one for one, two for one or one for two, between underfull bins whenever the
+sum of squared fills grows, until bins empty.  Groups of equal bins exchange at once.  The search
+ends when the least possible number of bins is reached or no exchange gains; it has no other
+bound.  Spark deals the pieces of each length to the places of the plan by their rank.
 
 Null counts as the empty text, a piece of the end id alone; texts of any length are packed
 whole; repeated rows are packed each; an empty table gives no rows.
@@ -17,7 +18,7 @@ import os
 import re
 import struct
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from functools import lru_cache
 
@@ -115,129 +116,144 @@ def pieces(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> Counter:
-    """Best-fit decreasing over groups of equal bins: ``{contents: number of bins}``.
+def spread(counts: dict[int, int]) -> Counter:
+    """The plain start of the search, ``{contents: number of bins}``: a bin for every piece."""
+    return Counter({(length,): n for length, n in counts.items()})
 
-    Contents are descending tuples of lengths.  Of equal pieces, the tightest group of bins takes
-    as many as it can hold, so a length splits at most one group and opens at most two.
-    """
-    groups: dict[int, Counter] = {}  # room left -> contents -> bins
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        rooms = sorted(groups)
-        for room in rooms[bisect_left(rooms, length) :] + [capacity]:
-            if not left:
-                break
-            q = room // length
-            if room == capacity:
-                takers = [((), -(-left // q))]
-            else:
-                takers = list(groups[room].items())
-            for contents, bins in takers:
-                while left and bins:
-                    take = min(q, left)
-                    n = min(bins, left // take)
-                    if room != capacity:
-                        groups[room][contents] -= n
-                        if not groups[room][contents]:
-                            del groups[room][contents]
-                    groups.setdefault(room - take * length, Counter())[contents + (length,) * take] += n
-                    left -= take * n
-                    bins -= n
-    out: Counter = Counter()
-    for found in groups.values():
-        out += found
-    return out
-
-
-@lru_cache(maxsize=8192)
-def _parts(contents: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending sums of one piece, of two, and of one or two."""
-    values = np.unique(contents)
-    doubles = [2 * v for v, n in Counter(contents).items() if n > 1]
-    pairs = np.unique(np.concatenate([(values[:, None] + values[None, :])[np.triu_indices(len(values), 1)], doubles]).astype(np.int64))
-    return values, pairs, np.union1d(values, pairs)
-
-
-def _exchange(giver: tuple, taker: tuple, room: int) -> tuple[int, int, int] | None:
-    """What is given and taken back for the largest growth of ``taker`` within its room.
-
-    ``(sum given, sum taken back, pieces taken back)``: one or two pieces for none or one, or one
-    for two; None if nothing fits.
-    """
-    ones, _, some = _parts(giver)
-    own, pairs, _ = _parts(taker)
-    best, most = None, 0
-    for given, back, n in ((some, np.zeros(1, np.int64), 0), (some, own, 1), (ones, pairs, 2)):
-        if not len(given) or not len(back):
-            continue
-        at = np.searchsorted(given, back + room, side="right") - 1
-        growth = np.where(at >= 0, given[at] - back, 0)
-        i = int(np.argmax(growth))
-        if growth[i] > most:
-            best, most = (int(given[at[i]]), int(back[i]), n), int(growth[i])
-    return best
-
-
-def _pieces(contents: tuple, total: int, least: int, most: int) -> tuple:
-    """Pieces of the given number that sum up to ``total``."""
-    if least == 0 and total == 0:
-        return ()
-    if least <= 1 and total in contents:
-        return (total,)
-    held = Counter(contents)
-    return next((v, total - v) for v in held if most > 1 and held[total - v] > (v == total - v))
 
+class _Index:
+    """Which fills hold which pieces, over groups of equal underfull bins.
 
-def _without(contents: tuple, parts: tuple) -> list[int]:
-    left = list(contents)
-    for x in parts:
-        left.remove(x)
-    return left
-
-
-def local_search(bins: Counter, capacity: int, least: int, most_moves: int = 300, most_takers: int = 100) -> Counter:
-    """Exchange pieces between underfull bins while the sum of squared fills grows.
+    ``best(q, most)`` is the largest fill up to ``most`` of a bin that holds q (or a pair of that
+    sum, or anything): one row of running maxima for each, made anew when its groups change.
+    """
 
-    The emptiest bin gives; of the underfull bins that can take something, the one with the
-    largest gain does.  A bin that has given all is gone.  Stops at ``least`` bins, when no
-    exchange gains, or after ``most_moves`` exchanges.
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.bins: Counter = Counter()
+        self.by_fill: dict[int, dict[tuple, None]] = {}
+        self.counts = np.zeros((2 * capacity + 1, capacity + 1), np.int32)  # 0: any bin; q: holds q; capacity + s: a pair of sum s
+        self.best = np.full((2 * capacity + 1, capacity + 1), -1, np.int32)
+        self.stale: set[int] = set()
+        self.fills: list[int] = []
+
+    def add(self, contents: tuple, n: int) -> None:
+        """Add bins, or with a negative number take them out."""
+        if not contents or not n:
+            return
+        before = self.bins[contents]
+        self.bins[contents] = after = before + n
+        fill = sum(contents)
+        if fill < self.capacity and (before > 0) != (after > 0):
+            held = self.by_fill.setdefault(fill, {})
+            if after:
+                if not held:
+                    insort(self.fills, fill)
+                held[contents] = None
+            else:
+                del held[contents]
+                if not held:
+                    self.fills.pop(bisect_left(self.fills, fill))
+            rows = _rows(contents, self.capacity)
+            self.counts[rows, fill] += 1 if after else -1
+            self.stale.update(rows.tolist())
+        if not after:
+            del self.bins[contents]
+
+    def refresh(self) -> None:
+        """Running maxima of the changed rows."""
+        if self.stale:
+            rows = np.fromiter(self.stale, np.int64)
+            there = np.where(self.counts[rows] > 0, np.arange(self.capacity + 1), -1)
+            self.best[rows] = np.maximum.accumulate(there, axis=1)
+            self.stale.clear()
+
+
+@lru_cache(maxsize=1 << 16)
+def _pairs(contents: tuple) -> dict[int, tuple[int, int]]:
+    """The sums of two pieces, each with one such pair."""
+    many = Counter(contents)
+    return {a + b: (a, b) for a in many for b in many if a > b or (a == b and many[a] > 1)}
+
+
+@lru_cache(maxsize=1 << 16)
+def _rows(contents: tuple, capacity: int) -> np.ndarray:
+    """The index rows of a bin's contents."""
+    return np.array(sorted({0, *contents, *(capacity + s for s in _pairs(contents))}))
+
+
+def local_search(bins: Counter, capacity: int, least: int) -> tuple[Counter, Counter]:
+    """Move and exchange pieces between underfull bins while the sum of squared fills grows.
+
+    Bins take turns, the fullest first: one gives one or two pieces for none, one or two pieces for
+    one, or one for two of another bin.  Of all such exchanges with all underfull bins, the one
+    with the largest growth is done, for as many equal bins as there are, until none gains.  A
+    bin that has given all is gone.  The search ends at ``least`` bins or where no exchange of any
+    two bins gains, which it must reach: the sum grows with each.
+
+    Returns the bins and how many exchanges of each kind were done.
     """
-    bins, stuck = Counter(bins), set()
-    for _ in range(most_moves):
-        if sum(bins.values()) <= least:
-            break
-        fills = {c: sum(c) for c in bins}
-        under = sorted((c for c in bins if fills[c] < capacity), key=lambda c: (fills[c], c))
-        givers = [c for c in under if c not in stuck]
-        if not givers:
-            break
-        giver = givers[0]
-        takers = [c for c in under if fills[c] > fills[giver] or c != giver or bins[c] > 1]
-        best, gain = None, 0
-        for taker in takers[:most_takers] + takers[max(most_takers, len(takers) - most_takers) :]:
-            if taker == giver and bins[giver] < 2:
+    index, done, total = _Index(capacity), Counter(), sum(bins.values())
+    for contents, n in bins.items():
+        index.add(contents, n)
+    sums = np.arange(capacity + 1)
+    waiting: list[tuple] = []
+    changed = True
+    while total > least:
+        while waiting and waiting[-1] not in index.bins:
+            waiting.pop()
+        if not waiting:
+            if not changed:
+                break
+            waiting, changed = sorted((c for c in index.bins if sum(c) < capacity), key=lambda c: (sum(c), c)), False
+            continue
+        giver = waiting[-1]
+        many = index.bins[giver]
+        if many == 1:
+            index.add(giver, -1)  # it can't take from itself
+        index.refresh()
+        fill, best, found = sum(giver), 0, None
+        ones, twos = sorted(set(giver), reverse=True), sorted(_pairs(giver), reverse=True)
+        for kind, given, rows in (("move", ones, None), ("two moves", twos, None), ("one for one", ones, 0), ("two for one", twos, 0), ("one for two", ones, capacity)):
+            if not given:
                 continue
-            if found := _exchange(giver, taker, capacity - fills[taker]):
-                d = found[0] - found[1]
-                if (g := 2 * d * (fills[taker] - fills[giver] + d)) > gain:
-                    best, gain = (taker, found), g
-        if best is None:
-            stuck.add(giver)
+            p = np.array([s for s in given if s <= capacity])[:, None]
+            q = np.zeros((1, 1), np.int64) if rows is None else sums[None, 1:]
+            d = p - q
+            row = q if rows is None else q + rows
+            t = index.best[np.broadcast_to(row, d.shape), np.clip(capacity - d, 0, capacity)].astype(np.int64)
+            growth = np.where((d > 0) & (t >= 0), d * (t - fill + d), 0)
+            at = int(np.argmax(growth))
+            if growth.flat[at] > best:
+                i, j = divmod(at, growth.shape[1])
+                best, found = int(growth.flat[at]), (kind, int(p[i, 0]), int(q[0, j]), int(t[i, j]))
+        if many == 1:
+            index.add(giver, 1)
+        if found is None:
+            waiting.pop()
             continue
-        taker, (gives, gets, n_got) = best
-        got = _pieces(taker, gets, n_got, n_got)
-        given = _pieces(giver, gives, 1, 1 if n_got == 2 else 2)
-        n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-        bins.subtract({giver: n})
-        bins.subtract({taker: n})
-        after = [tuple(sorted(_without(giver, given) + list(got), reverse=True)), tuple(sorted(_without(taker, got) + list(given), reverse=True))]
-        for contents in after:
-            if contents:
-                bins[contents] += n
-        bins = +bins
-        stuck.clear()
-    return bins
+        kind, gives, gets, at = found
+        taker = min(c for c in index.by_fill[at] if (c != giver or many > 1) and (not gets or (gets in _pairs(c) if kind == "one for two" else gets in c)))
+        given = _pairs(giver)[gives] if kind in ("two moves", "two for one") else (gives,)
+        got = () if not gets else _pairs(taker)[gets] if kind == "one for two" else (gets,)
+        n = many // 2 if taker == giver else min(many, index.bins[taker])
+        index.add(giver, -n)
+        index.add(taker, -n)
+        rest = _sorted(giver, given, got)
+        index.add(rest, n)
+        index.add(_sorted(taker, got, given), n)
+        done[kind] += n
+        changed = True
+        if not rest:
+            total -= n
+    return index.bins, done
+
+
+def _sorted(contents: tuple, out: tuple, more: tuple) -> tuple:
+    left = [*contents, *more]
+    for x in out:
+        left.remove(x)
+    return tuple(sorted(left, reverse=True))
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
@@ -263,7 +279,7 @@ def plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     Row i covers the ranks from ``first[i]`` of ``length[i]``: ``each[i]`` to a bin from ``bin[i]``
     on, at ``offset[i]`` and after.
     """
-    bins = local_search(best_fit(counts, capacity), capacity, least_bins(counts, capacity))
+    bins, _ = local_search(spread(counts), capacity, least_bins(counts, capacity))
     used, at, rows = Counter(), 0, []
     for contents, n in sorted(bins.items()):
         offset = 0
