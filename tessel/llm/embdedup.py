@@ -15,8 +15,9 @@ the smallest vector it is connected to within the block, never its pairs; a buck
 a block is dealt out as pairs of blocks.  A pair that meets in several tables counts in the
 first one only.  Nothing is dropped: every vector is indexed and every met pair is reranked.
 
-A vector that is null, zero, of another length than most or holds null or non-finite components
-links with nothing, nor does one without a label; it is its own component.  Null ids count as a
+Vectors of each length are coded and compared on their own.  A vector that is null, zero or holds
+null or non-finite components links with nothing, nor does one without a label; it is its own
+component.  Null ids count as a
 vector of their own; repeated rows are linked as equal vectors; other columns are ignored.
 """
 
@@ -52,7 +53,7 @@ def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, s
 
 def table_plan(n: int, bits: int, threshold: float = THRESHOLD, reach: float = REACH) -> list[np.ndarray]:
     """The bit positions of each table for ``n`` vectors a label."""
-    width = int(min(max(8, math.log2(max(n, 1)) - 6), 16, bits))
+    width = int(min(max(8, math.log2(max(n, 1)) - 6), 31, bits))  # a key is a 32-bit number
     same = 1 - math.acos(threshold) / math.pi
     tables = math.ceil(round(math.log(1 - reach) / math.log(1 - same**width), 1))
     whole = bits // width
@@ -107,13 +108,9 @@ def near_duplicates(frame: DataFrame, id_col: str = "vec_id", vector_col: str =
     alone = rows.where(~F.col("good"))
     usable = rows.where("good")
     sizes = {r["d"]: r["n"] for r in usable.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sizes:
-        width = max(sizes, key=lambda d: (sizes[d], d))
-        alone = alone.unionByName(usable.where(F.size("vector") != width))
-        usable = usable.where(F.size("vector") == width)
     result = alone.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if sizes:
-        result = result.unionByName(_linked(usable, sizes[width], width, threshold, sample, block))
+    for width, n in sorted(sizes.items()):  # most tables have one length
+        result = result.unionByName(_linked(usable.where(F.size("vector") == width), n, width, threshold, sample, block))
     return result.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -122,7 +119,7 @@ def _linked(rows: DataFrame, n: int, width: int, threshold: float, sample: int,
     classes = rows.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
     classes = staged(classes.select("label", "id", "weight", "vector"), "vector-classes")
     place = F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
-    drawn = classes.where(place < min(1.0, sample / n)).select("vector").limit(2 * sample).collect()
+    drawn = classes.where(place < min(1.0, sample / n)).select("vector").collect()  # about ``sample``
     drawn = drawn or classes.select("vector").limit(sample).collect()
     mean, project = learn_rotation(_unit(np.array([r["vector"] for r in drawn])), min(BITS, width))
     labels = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
@@ -140,9 +137,11 @@ def _linked(rows: DataFrame, n: int, width: int, threshold: float, sample: int,
     shape = StructType([*classes.schema.fields, StructField("keys", ArrayType(IntegerType()))])
     coded = staged(classes.mapInArrow(encode, shape), "vector-codes")
     spread = coded.select("label", F.posexplode("keys").alias("t", "key"), "id")
-    counts = spread.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / F.lit(block // 2)).cast("int"))
+    counts = spread.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table: its join then splits hot keys, and is broadcast only if it is small
+    counts = staged(counts.select("label", "t", "key", F.ceil(F.col("n") / F.lit(block // 2)).cast("int").alias("chunks")), "vector-buckets")
     every = coded.select("label", "id", "weight", "vector", "keys", F.posexplode("keys").alias("t", "key"))
-    met = every.join(counts.select("label", "t", "key", "chunks"), ["label", "t", "key"])
+    met = every.join(counts, ["label", "t", "key"])
     mine = F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks").cast("long")).cast("int")
     met = met.withColumn("mine", mine)
     # a chunk meets every chunk: the pair is named by its two numbers, and the own chunk meets itself

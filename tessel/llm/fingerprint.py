@@ -1,17 +1,16 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-Each paragraph is hashed to 512 bits, which are read in two ways: as 8 lanes of 64 bits that
-are summed modulo 2**64, and as 512 signs that are summed modulo 2**16.  A document's state is
-the sum over its paragraphs, so the order of paragraphs doesn't matter and a paragraph is
-inserted or deleted by adding or subtracting its hash, without the rest of the text.  The
-64-bit lanes decide equality; the sums of signs are a sketch whose inner products estimate those
-of the paragraph counts, so their cosine is the likeness of two documents.
+Each paragraph is hashed to 512 bits, which are summed as 8 lanes of 64 bits modulo 2**64; these
+sums decide equality.  Beside them a sketch sums 512 signs modulo 2**16, hashed from the
+paragraph's stretches of a few words: its inner products estimate those of the stretch counts, so
+their cosine is the likeness of two documents.  A document's state is the sum over its
+paragraphs, so their order doesn't matter and a paragraph is inserted or deleted by adding or
+subtracting its hash, without the rest of the text.
 
 A paragraph is a line, cut further after a full stop, exclamation or question mark that a space
-follows, and a longer one is hashed in stretches of a few words, so that a short document has
-parts too.  Nothing but what separates the parts is dropped.  Null counts as the empty text, which is one empty paragraph; texts of
-any length are hashed whole; equal texts have equal fingerprints, ids and other columns play no
-part.
+follows.  Nothing but the line ends that separate them is dropped.  Null counts as the empty text,
+which is one empty paragraph; texts of any length are hashed whole; equal texts have equal
+fingerprints, ids and other columns play no part.
 """
 
 import hashlib
@@ -28,21 +27,23 @@ from tessel.plans.staging import staged
 
 LANES, SIGNS = 8, 512
 STRETCH = 4
-#: Parts of consecutive ids at most; their first ids, a number each, go to the driver and back.
-MOST_PARTS = 100_000
 _PARAGRAPHS = re.compile(r"(?<=[.!?] )|\n").split
 
 
-def paragraphs(text: str, stretch: int = STRETCH) -> list[str]:
-    """The parts of a text that are hashed: paragraphs, in stretches of at most so many words."""
-    out = []
-    for part in _PARAGRAPHS(text):
-        words = part.split(" ")
-        if len(words) <= stretch:
-            out.append(part)
-        else:
-            out += [" ".join(words[i : i + stretch]) for i in range(0, len(words), stretch)]
-    return out
+def paragraphs(text: str) -> list[str]:
+    """The paragraphs of a text."""
+    return _PARAGRAPHS(text)
+
+
+def stretches(part: str, words: int = STRETCH) -> list[str]:
+    """A paragraph in pieces of so many words."""
+    found = part.split(" ")
+    return [part] if len(found) <= words else [" ".join(found[i : i + words]) for i in range(0, len(found), words)]
+
+
+def _hashed(parts: list[str]) -> np.ndarray:
+    raw = b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass")).digest() for p in parts])
+    return np.frombuffer(raw, np.uint8).reshape(-1, 64)
 
 
 class MultisetHash:
@@ -59,11 +60,12 @@ class MultisetHash:
         """The state of a list of paragraphs."""
         out = cls()
         for at in range(0, len(parts), step):
-            raw = b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass")).digest() for p in parts[at : at + step]])
-            rows = np.frombuffer(raw, np.uint8).reshape(-1, 64)
-            ones = np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-            out.lanes = out.lanes + rows.view("<u8").sum(axis=0, dtype=np.uint64)
-            out.signs = out.signs + (2 * ones - len(rows)).astype(np.int16)
+            here = parts[at : at + step]
+            out.lanes = out.lanes + _hashed(here).view("<u8").sum(axis=0, dtype=np.uint64)
+            pieces = [s for p in here for s in stretches(p)]
+            for i in range(0, len(pieces), step):
+                rows = _hashed(pieces[i : i + step])
+                out.signs = out.signs + (2 * np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64) - len(rows)).astype(np.int16)
         return out
 
     def insert(self, *parts: str) -> "MultisetHash":
@@ -121,12 +123,14 @@ def neighbours(docs: DataFrame, rows_per_part: int = 5_000) -> DataFrame:
     """``(part, tail, id, text)``: parts of consecutive ids, each closed by the next part's first row.
 
     Rows that follow each other by ``(id, text)`` thus meet in one part.  Ids must be integers;
-    a null id comes before all others.  The text is shuffled once.
+    null ids come before all others, by a hash of their text.  The text is shuffled once, each
+    part to a task of its own.
     """
-    rows = docs.select(F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("at"), "id", "text")
+    unnamed = F.lit(-(1 << 63)) + F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))
+    rows = docs.select(F.coalesce(F.col("id").cast("long"), unnamed).alias("at"), "id", "text")
     ids = staged(rows.select("at"), "ids")
     n = ids.count()
-    parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // rows_per_part, 1), MOST_PARTS)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // rows_per_part, 1)
     bounds = split_points(ids, "at", parts)
     firsts = [(r["part"], r["first"]) for r in ids.groupBy(range_index(F.col("at"), bounds).alias("part")).agg(F.min("at").alias("first")).collect()]
     firsts.sort()
@@ -134,9 +138,9 @@ def neighbours(docs: DataFrame, rows_per_part: int = 5_000) -> DataFrame:
     tails = docs.sparkSession.createDataFrame(before or [], "at long, prev int")
     own = F.struct(range_index(F.col("at"), bounds).alias("part"), F.lit(False).alias("tail"))
     also = F.struct(F.col("prev").alias("part"), F.lit(True).alias("tail"))
-    # one row for each part: bounded by the cap on parts above
+    # one row for each part, of 5,000 documents
     seen = rows.join(F.broadcast(tails), "at", "left").select("at", "id", "text", F.explode(F.when(F.col("prev").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("x"))
-    return seen.select(F.col("x.part").alias("part"), F.col("x.tail").alias("tail"), "at", "id", "text").repartition(parts, "part").sortWithinPartitions("part", "tail", "at", "text")
+    return seen.select(F.col("x.part").alias("part"), F.col("x.tail").alias("tail"), "at", "id", "text").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "tail", "at", "text")
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,10 +21,8 @@ WITH RECURSIVE v AS (
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
 ), sound AS (
   SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
-), good AS (
-  SELECT * FROM sound WHERE len(e) = (SELECT len(e) FROM sound GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)
 ), links AS (
-  SELECT a.vec_id AS src, b.vec_id AS dst FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= {embdedup.THRESHOLD}
 ), reach AS (
   SELECT vec_id AS id, vec_id AS root FROM v
@@ -71,7 +69,6 @@ sets AS (
 sure AS (
   SELECT s, said, n::DOUBLE / whole AS confidence, n::DOUBLE / (SELECT count(*) FROM fit) AS support FROM counted
   WHERE n >= ceil({urlfilter.SUPPORT}::DOUBLE * (SELECT count(*) FROM fit)) AND n::DOUBLE / whole >= {urlfilter.CONFIDENCE}::DOUBLE
-  ORDER BY confidence DESC, support DESC, len(s), s, said LIMIT {urlfilter.MOST_RULES}
 ), mined AS (
   SELECT * FROM sure r WHERE NOT EXISTS (SELECT 1 FROM sure q WHERE q.said = r.said AND len(q.s) < len(r.s) AND q.confidence >= r.confidence AND list_has_all(r.s, q.s))
 ), free AS (SELECT DISTINCT url, ts FROM tok WHERE url IS NOT NULL AND k NOT IN (SELECT k FROM fit)),

@@ -29,8 +29,6 @@ RULES = (
     ("block", "org/es/"),
 )
 SUPPORT, CONFIDENCE, LONGEST = 0.01, 0.8, 3
-#: Only the SQL twin keeps so many rules at most; it differs from the query where more are mined.
-MOST_RULES = 5000
 RULE = "tokens array<string>, verdict string, confidence double, support double"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,20 +78,47 @@ def tokens_of(url: Column) -> Column:
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
     """``(tokens, verdict, confidence, support)`` of the pruned rules, from ``tokens`` and ``verdict``.
 
-    Rules of up to ``longest`` tokens that conclude a verdict, however many, stay a table.
+    Rules of up to ``longest`` tokens that conclude a verdict, however many, stay a table.  Every
+    set of frequent tokens of a URL would be mined, so those that can only make rules that pruning
+    drops are kept out: tokens of the same URLs stand in for each other, one of each such class
+    goes to the mining, and the rules found are written out for all of the class; a token of
+    every URL adds nothing to a set, and a token that already tells a verdict for sure is a rule
+    itself, which no set with it can better.
     """
-    baskets = labelled.select(F.concat(F.col("tokens"), F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
-    if baskets.isEmpty():
+    rows = labelled.select(F.array_distinct("tokens").alias("tokens"), "verdict").withColumn("row", F.monotonically_increasing_id())
+    rows = staged(rows, "labelled")
+    n = rows.count()
+    if not n:
         return labelled.sparkSession.createDataFrame([], RULE)
+    uses = rows.select("row", "verdict", F.explode("tokens").alias("token"))
+    where = F.sum(F.xxhash64("row").cast("decimal(38,0)")), F.sum(F.xxhash64(F.col("row"), F.lit("again")).cast("decimal(38,0)"))
+    tokens = uses.groupBy("token").agg(F.count(F.lit(1)).alias("n"), where[0].alias("a"), where[1].alias("b"), *[F.sum((F.col("verdict") == v).cast("long")).alias(v) for v in ("block", "allow")])
+    least = support * n
+    tokens = staged(tokens.where(F.col("n") >= F.ceil(F.lit(least))), "url-tokens")  # 1 / support times the tokens of a URL at most
+    classes = tokens.groupBy("n", "a", "b", "block", "allow").agg(F.min("token").alias("one"), F.collect_list("token").alias("all"))
+    classes = staged(classes, "url-token-classes")
+    sides = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(v).alias("k")) for v in ("block", "allow")])).alias("x")
+    single = classes.select("one", "n", sides).select(F.array("one").alias("tokens"), "x.verdict", (F.col("x.k") / F.col("n")).alias("confidence"), (F.col("x.k") / F.lit(n)).alias("support"), "x.k")
+    single = single.where((F.col("k") >= F.ceil(F.lit(least))) & (F.col("confidence") >= confidence)).drop("k")
+    open_tokens = classes.where((F.col("n") < n) & (F.greatest("block", "allow") < F.col("n"))).select(F.col("one").alias("token"))
+    baskets = uses.join(open_tokens, "token").groupBy("row", "verdict").agg(F.collect_list("token").alias("tokens"))
+    baskets = rows.select("row", "verdict").join(baskets.select("row", "tokens"), "row", "left")  # support counts all labelled URLs
+    baskets = baskets.select(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
     found = found.where(F.element_at("consequent", 1).startswith("verdict=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda t: t.startswith("verdict=")))
     found = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 9, 99).alias("verdict"), "confidence", "support")
-    found = staged(found, "url-rules")
+    found = staged(found.where(F.size("tokens") > 1).unionByName(single), "url-rules")
     part = F.explode(F.expr("transform(sequence(1, shiftleft(1, size(tokens)) - 2), m -> filter(tokens, (t, i) -> shiftright(m, i) % 2 = 1))")).alias("part")
     parts = found.where("size(tokens) > 1").select("tokens", "verdict", "confidence", part)
     known = found.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("sure"))
     needless = parts.join(known, ["part", "verdict"]).where("sure >= confidence").select("tokens", "verdict").distinct()
-    return found.join(needless, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support")
+    kept = found.join(needless, ["tokens", "verdict"], "left_anti").withColumn("out", F.array().cast("array<string>"))
+    for i in range(longest):  # each token's whole class in its place
+        member = F.when(F.size("tokens") > i, F.coalesce("all", F.array(F.get("tokens", F.lit(i))))).otherwise(F.array(F.lit(None).cast("string")))
+        at = F.get("tokens", F.lit(i))
+        kept = kept.join(classes.select("one", "all"), at == F.col("one"), "left").withColumn("token", F.explode(member))
+        kept = kept.withColumn("out", F.when(F.col("token").isNull(), F.col("out")).otherwise(F.array_append("out", F.col("token")))).drop("one", "all", "token")
+    return kept.select(F.array_sort("out").alias("tokens"), "verdict", "confidence", "support")
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> list[tuple]:
@@ -123,6 +148,6 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     labelled = rows.select(tokens_of(url).alias("tokens"), said.alias("verdict")).where("verdict is not null")
     found = staged(mined_rules(labelled, support, confidence), "url-rules-pruned")
     open_urls = rows.select("url").where("url is not null").where(said.isNull()).distinct().withColumn("tokens", tokens_of(url))
-    mined = match(open_urls, found)
+    mined = staged(match(open_urls, found), "url-verdicts")  # a table: a popular url's join can be split
     judged = rows.join(mined, "url", "left")
     return judged.select(id_col, host_of(url).alias("host"), path_of(url).alias("path"), rule.alias("rule"), F.coalesce(said, F.col("mined"), F.lit("allow")).alias("verdict"))

@@ -3,13 +3,16 @@
 An ARC archive is a version block and records, each with one header line and as many bytes as
 that line declares.  Version 1 lines have five fields, version 2 lines ten.  ``parse_arc`` reads
 either by its own field list; ``convert`` turns the records into WARC ones, with an identifier,
-timestamp, type and digests made from what the line and the HTTP block say.  Of records with
-equal payloads, the one with the largest page id is the response and the others revisit it.
+timestamp, type and digests made from what the line and the block say: HTTP blocks become
+responses, all others resources.  A record that names its page is identified by it, any other by
+its archive, place, URL, date and digest.  Of records with equal payloads, the one with the
+largest page id is the response and the others revisit it.  Blocks are bytes of any kind.
 
-The archives are gzipped text files in the shared folder, written by Spark's text writer: a
-record is one row and the two line ends that close a record are the line separator, so any
-Hadoop file system will do.  One file holds one task's rows, which bounds it.  Reading takes
-whole files as binary rows, unpacks them in a stream and parses by the declared lengths alone.
+The archives are gzipped files in the shared folder, written by Spark's text writer: a record is
+one row and the two line ends that close a record are the line separator, so any Hadoop file
+system will do.  The writer makes one gzip member of a file; ``RECORDS`` bounds the records of
+one.  Reading takes whole files as binary rows, unpacks them in a stream and parses by the
+declared lengths alone.
 
 A null URL is written as ``-``, a null payload as an empty one; a null id has no number to
 refer to and is always a response; repeated rows get a record each; an empty table gives none.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import slices
-from tessel.plans.staging import scratch_path
+from tessel.plans.staging import scratch_path, staged
 
 #: Fields of a record's header line, by version of the archive.
 ARC_FIELDS = {
@@ -35,6 +38,8 @@ ARC_FIELDS = {
 }
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
+#: Records of one file at most.
+RECORDS = 20_000
 #: The date of records whose source has none.
 NO_DATE = "20000101000000"
 _NO_ID = 1 << 64
@@ -53,14 +58,29 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_id_of(name: str) -> int | None:
-    """The page id in a record's identifier."""
-    value = uuid.UUID(name.strip("<>").removeprefix("urn:uuid:")).int
+    """The page id in a record's identifier; None where it holds none."""
+    found = uuid.UUID(name.strip("<>").removeprefix("urn:uuid:"))
+    value = found.int
+    if found.version != 8:
+        return None
     n = (value >> 64 & 0xFFF) << 62 | value & (1 << 62) - 1
     return None if n == _NO_ID else n - (1 << 64) if n >> 63 else n
 
 
+def synthetic_id(fields: dict, payload: str) -> str:
+    """The identifier of a record that names no page, from where it stands and what it says."""
+    about = "\n".join([fields["archive"], str(fields["at"]), fields["URL"], fields["Archive-date"], payload])
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, about)}>"
+
+
+def timestamp(date: str) -> str:
+    """A WARC date of an archive's 14 digits, or of the 4 to 12 of them that are given."""
+    d = date + "00000101000000"[len(date) :] if date.isdecimal() and 4 <= len(date) <= 14 else NO_DATE
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
 def _http(page_id: int | None, payload: bytes) -> bytes:
-    number = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+    number = f"X-Page-Id: {'-' if page_id is None else page_id}\r\n"
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{number}\r\n".encode()
 
 
@@ -85,56 +105,65 @@ def write_arc(records: list[tuple], version: int, name: str) -> bytes:
 
 
 def parse_arc(content: bytes) -> Iterator[tuple[dict, bytes]]:
-    """``(fields, block)`` of each record, by the version's field list and the declared lengths."""
-    at, version = 0, None
+    """``(fields, block)`` of each record, by the version's field list and the declared lengths.
+
+    ``fields`` also holds the archive's own name and the record's place in it, ``archive`` and
+    ``at``.  Spaces beyond the number of fields belong to the URL.
+    """
+    at, version, archive = 0, None, ""
     while at < len(content):
         end = content.index(b"\n", at)
         if end == at:  # the line end that closes a record
             at += 1
             continue
-        words = content[at:end].decode("utf-8", "surrogateescape").split(" ")
-        length = int(words[-1])
+        line = content[at:end].decode("utf-8", "surrogateescape").rstrip("\r")
+        length = int(line.rpartition(" ")[2])
         block = content[end + 1 : end + 1 + length]
         if len(block) < length:
             raise ValueError("the archive ends within a record")
-        at = end + 1 + length
         if version is None:
-            version = int(block.split(b" ", 1)[0])
-            continue
-        names = ARC_FIELDS[version]
-        if len(words) != len(names):
-            raise ValueError(f"a version {version} header line has {len(names)} fields, not {len(words)}")
-        yield dict(zip(names, words, strict=True)), block
+            version, archive = int(block.split(b" ", 1)[0]), line.partition(" ")[0]
+        else:
+            names = ARC_FIELDS[version]
+            words = line.rsplit(" ", len(names) - 1)
+            if len(words) != len(names):
+                raise ValueError(f"a version {version} header line has {len(names)} fields, not {len(words)}")
+            yield dict(zip(names, words, strict=True)) | {"archive": archive, "at": at}, block
+        at = end + 1 + length
 
 
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """Header fields, header bytes and payload of an HTTP response block."""
-    end = block.find(_END)
-    head, payload = (block, b"") if end < 0 else (block[: end + 4], block[end + 4 :])
-    lines = head.decode("utf-8", "surrogateescape").split("\r\n")[1:]
+    """Header fields, header bytes and payload of an HTTP response block; any other is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return {}, b"", block
+    ends = [(at, end) for end in (_END, b"\n\n") if (at := block.find(end)) >= 0]
+    at, end = min(ends, default=(len(block), b""))
+    head, payload = block[: at + len(end)], block[at + len(end) :]
+    lines = head.decode("utf-8", "surrogateescape").splitlines()[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}, head, payload
 
 
 def to_warc(fields: dict, block: bytes, refers_to: int | None = None) -> bytes:
     """The WARC record of an ARC record, without the line ends that close it."""
     http, head, payload = http_parts(block)
-    page_id = int(http["x-page-id"]) if "x-page-id" in http else None
-    d = fields["Archive-date"]
+    sha, page = digest(payload), http.get("x-page-id", "")
+    own = record_id(int(page)) if page.lstrip("-").isdecimal() else record_id(None) if page == "-" else synthetic_id(fields, sha)
     body = block if refers_to is None else head
+    kind = "application/http; msgtype=response" if head else fields["Content-type"]
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+        f"WARC-Type: {'revisit' if refers_to is not None else 'response' if head else 'resource'}",
+        f"WARC-Record-ID: {own}",
+        f"WARC-Date: {timestamp(fields['Archive-date'])}",
         f"WARC-Target-URI: {fields['URL']}",
         f"WARC-IP-Address: {fields['IP-address']}",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{sha}",
         f"WARC-Block-Digest: sha1:{digest(body)}",
     ]
     if refers_to is not None:
         lines += [f"WARC-Profile: {IDENTICAL}", f"WARC-Refers-To: {record_id(refers_to)}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    return "\r\n".join(lines).encode() + _END + body
+    lines += [f"Content-Type: {kind}", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode("utf-8", "surrogateescape") + _END + body
 
 
 def unpacked(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -162,7 +191,7 @@ def parse_warc(pieces: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
                 end = held.find(_END, at)
                 if end < 0:
                     break
-                lines = held[at:end].decode().split("\r\n")
+                lines = held[at:end].decode("utf-8", "surrogateescape").split("\r\n")
                 if lines[0] not in ("WARC/1.0", "WARC/1.1"):
                     raise ValueError("not at the start of a record")
                 headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -191,21 +220,22 @@ def arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
 
 def convert(archives: DataFrame) -> DataFrame:
-    """``(record string)``: the WARC records of ARC archives; ``refers`` says what each revisits, if given."""
+    """``(record binary)``: the WARC records of ARC archives; ``refers`` says what each revisits, if given."""
 
     def run(batches):
         for batch in batches:
             for content, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = list(parse_arc(content))
                 out = [to_warc(f, b, r) for (f, b), r in zip(found, refers or [None] * len(found), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())], ["record"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    return archives.select("content", "refers").mapInArrow(run, "record string")
+    return archives.select("content", "refers").mapInArrow(run, "record binary")
 
 
 def write(records: DataFrame, path: str) -> str:
     """Write WARC records as gzipped archives under a path that all executors share."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows = records.select(F.col("record").cast("string"))  # the cast and the writer leave all bytes as they are
+    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
     return path
 
 
@@ -226,20 +256,20 @@ def read(spark, path: str) -> DataFrame:
                     told = headers["warc-payload-digest"].removeprefix("sha1:")
                     if not revisit and digest(payload) != told:
                         raise ValueError(f"wrong digest in {headers['warc-record-id']}")
-                    size = int(http["content-length"]) if revisit else len(payload)
+                    size = int(http.get("content-length", 0)) if revisit else len(payload)
                     refers = page_id_of(headers["warc-refers-to"]) if revisit else None
-                    rows.append((page_id_of(headers["warc-record-id"]), size, told, headers["warc-type"], refers, headers["warc-target-uri"], None if revisit else payload.decode()))
+                    rows.append((page_id_of(headers["warc-record-id"]), size, told, headers["warc-type"], refers, headers["warc-target-uri"].encode("utf-8", "surrogateescape").decode("utf-8", "replace"), None if revisit else payload))
                     if len(rows) == 512:
                         yield _batch(rows)
                         rows = []
                 yield _batch(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string")
+    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
     columns = list(zip(*rows, strict=True)) or [[]] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -251,6 +281,7 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     shared = rows.groupBy("sha").agg(F.max("id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "target")
+    shared = staged(shared, "shared-payloads")  # a table: its join can split a payload that many pages have
     rows = rows.join(shared, "sha", "left")
     rows = rows.withColumn("refers", F.when(F.col("id") != F.col("target"), F.col("target"))).drop("sha", "target")
     path = write(convert(arcs(rows, "id", "url", "html", "refers")), path or scratch_path(spark, "warc"))

@@ -65,7 +65,8 @@ def test_covering_masks_meet_every_pair():
 
 def test_simhash_chain_of_two_bit_steps(spark):
     values = [0, 3, 15, 63, 1 << 40, (1 << 40) | 7 << 50, -1, -1 ^ 5]
-    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in values], "bits long"))
+    met = simhash.collisions(spark.createDataFrame([(v,) for v in values], "bits long"), [(0, m) for m in simhash.covering_masks(2)], 2)
+    links = met.toDF("src", "dst")
     from tessel.operators.components import star_components
 
     found = {r["id"]: r["component"] for r in star_components(links).collect()}
@@ -130,31 +131,6 @@ def test_packing(docs, none):
     assert packing.pack(none).collect() == []
 
 
-def test_special_token_text_is_ordinary():
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    fast = packing.TokenBytes.of(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ("a <|endoftext|> b", "x  y \n z", " lead", "trail ", "a  b c", "é" * 5000, "1 2\x1c3", "\n\n a"):
-        assert list(memoryview(fast.encode(text)).cast("I")) == tok.encode(text, add_special_tokens=False).ids
-
-
-def test_best_fit_and_local_search_keep_every_piece():
-    from collections import Counter
-
-    counts = Counter({60: 7, 41: 9, 30: 11, 7: 40, 1: 3})
-    bins = packing.best_fit(counts, 100)
-    least = packing.least_bins(counts, 100)
-    better = packing.local_search(bins, 100, least)
-    held = Counter()
-    for contents, n in better.items():
-        assert sum(contents) <= 100
-        for x in contents:
-            held[x] += n
-    assert held == counts and least <= sum(better.values()) <= sum(bins.values())
-
-
 @pytest.mark.parametrize(("module", "label", "keep"), [(quality, "quality", "keep_good"), (toxicity, "toxic", "drop_toxic")])
 def test_classifiers_score_everything(docs, none, labels, module, label, keep):
     model = module.fit(docs, labels)

@@ -1,14 +1,10 @@
 """Small cases of what the operators once left out."""
 
-import duckdb
 import numpy as np
 import pytest
 
-from tessel.llm import oracles, quality, toxicity, urlfilter
+from tessel.llm import quality, toxicity, urlfilter
 from tessel.llm.common import excerpt, training_rows
-from tessel.sources.tables import table
-
-SF = "/root/testdata/sf0.01"
 
 
 def test_toxic_phrase_scores_the_same_at_each_offset():
@@ -63,11 +59,16 @@ def test_no_rule_is_cut_by_a_number_of_rules(spark):
     assert {r["url"]: r["mined"] for r in urlfilter.match(urls, rules).collect()} == {"u1": "allow", "u2": "block"}
 
 
-def test_verdicts_are_those_of_the_sql_twin_without_its_limit(spark):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
-    limit = f" LIMIT {urlfilter.MOST_RULES}"
-    assert oracles.OP7.count(limit) == 1
-    want = con.sql(oracles.OP7.replace(limit, ""))
-    got = urlfilter.judge(table(spark, SF, "pages")).select(want.columns).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
+def test_shared_segments_are_mined_once(spark):
+    shared = [f"path:s{i}" for i in range(20)]
+    rows = [([*shared, f"path:x{k % 10}", "odd" if k % 2 else "even"], "block" if k % 10 < 5 else "allow") for k in range(200)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    found = {tuple(r["tokens"]): r["verdict"] for r in urlfilter.mined_rules(labelled, 0.01, 0.8).collect()}
+    assert found == {(f"path:x{k}",): "block" if k < 5 else "allow" for k in range(10)}
+
+
+def test_rules_are_written_out_for_all_tokens_of_the_same_urls(spark):
+    rows = [(["a", "a2", "b"], "block")] * 8 + [(["a", "a2"], "allow")] * 8 + [(["b"], "allow")] * 8 + [(["c"], "block")] * 4
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    found = {tuple(r["tokens"]): (r["verdict"], r["confidence"]) for r in urlfilter.mined_rules(labelled, 0.01, 0.8).collect()}
+    assert found == {("a", "b"): ("block", 1.0), ("a2", "b"): ("block", 1.0), ("c",): ("block", 1.0)}
