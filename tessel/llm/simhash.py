@@ -212,6 +212,19 @@ def collisions(distinct: DataFrame, tables: list[tuple[int, int]], within: int,
     return rows.mapInArrow(compare, ", ".join(f"{side}{w} long" for side in ("src", "dst") for w in range(len(words))))
 
 
+def bundled(links: DataFrame, rounds: int = 3) -> DataFrame:
+    """Fewer links ``(src, dst)`` with the same components.
+
+    A fingerprint has a link for every table and chunk at most; its partners are linked to the
+    smallest of them instead, which many fingerprints have in common.
+    """
+    for _ in range(rounds):
+        each = links.groupBy("src").agg(F.min("dst").alias("low"), F.collect_set("dst").alias("all"))
+        ends = F.concat(F.array("src"), F.array_remove("all", F.col("low")))
+        links = each.select(F.explode(ends).alias("src"), F.col("low").alias("dst")).distinct()
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """``(id, bits, component_id)``: every document with the smallest id it is linked to.
 
@@ -221,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = staged(marks.groupBy("bits").agg(F.min(id_col).alias("low")), "simhash-bits")
     links = collisions(classes.select("bits"), [(0, m) for m in covering_masks(radius)], radius)
-    roots = star_components(links.select(F.col("src0").alias("src"), F.col("dst0").alias("dst")))
+    roots = star_components(bundled(links.select(F.greatest("src0", "dst0").alias("src"), F.least("src0", "dst0").alias("dst"))))
     classes = classes.join(roots.select(F.col("id").alias("bits"), F.col("component").alias("root")), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = staged(join_back(classes, lows, "root").select("bits", "component_id"), "simhash-classes")
@@ -319,7 +332,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = staged(marks.groupBy("digest", "chars", "b0", "b1").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("rows")), "texts")
     tables = [(w, m) for w in (0, 1) for m in band_masks()]
     met = collisions(texts.select("b0", "b1").distinct(), tables, WIDEST)
-    roots = star_components(met.select(F.xxhash64("src0", "src1").alias("src"), F.xxhash64("dst0", "dst1").alias("dst")))
+    ends = F.xxhash64("src0", "src1"), F.xxhash64("dst0", "dst1")
+    roots = star_components(bundled(met.select(F.greatest(*ends).alias("src"), F.least(*ends).alias("dst"))))
     roots = roots.select(F.col("id").alias("node"), F.col("component").alias("met"))
     grouped = texts.withColumn("node", node).join(roots, "node", "left").select("digest", "low", "chars", F.coalesce("met", "node").alias("group"))
     grouped = staged(grouped, "candidates")
