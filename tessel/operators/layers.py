@@ -10,7 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.vectors import add, dot, linear, relu, scale, sigmoid, softplus
+from tessel.functions.joins import join_back
+from tessel.functions.vectors import add, dot, gelu, linear, relu, scale, sigmoid, softplus
 from tessel.operators.propagate import AGGREGATES, powers, propagate, scatter, with_both, with_source, zeros
 from tessel.operators.sparse import softmax_by
 
@@ -346,8 +347,14 @@ def pointnet(nodes, edges, width, layers: list[tuple], root: Matrix, pos="pos",
 
 def attend(met: DataFrame, score: Column, value: Column, nodes: DataFrame, size: int, *by: str) -> DataFrame:
     """``nodes`` with the softmax-weighted sum of values over the edges into each."""
-    weighed = softmax_by(met.select("dst", *by, score.alias("__score"), value.alias("__value")), "__score", "dst", *by)
-    return scatter(weighed, scale(F.col("__value"), F.col("weight")), nodes, size)
+    rows = met.select("dst", *by, score.alias("__score"), value.alias("__value"))
+    top = rows.groupBy("dst", *by).agg(F.max("__score").alias("__top"))
+    e = F.exp(F.col("__score") - F.col("__top"))
+    if by:  # each group's own softmax, summed over the groups
+        return scatter(softmax_by(rows, "__score", "dst", *by), scale(F.col("__value"), F.col("weight")), nodes, size)
+    # one aggregate sums the weighed values and the weights
+    out = scatter(join_back(rows, top, "dst"), F.concat(scale(F.col("__value"), e), F.array(e)), nodes, size + 1)
+    return out.withColumn("m", scale(F.slice("m", 1, size), 1 / F.greatest(F.element_at("m", size + 1), F.lit(1e-12))))
 
 
 def agnn(nodes, edges, width, beta=1.0):
@@ -499,7 +506,7 @@ def encoder(nodes, edges, width, query: Matrix, key: Matrix, value: Matrix, up:
     """Attention and a feed-forward network, each with a residual and a layer norm."""
     attended = transformer(nodes, edges, width, query, key, value).join(nodes, "id")
     one = attended.select("id", layer_norm(add(F.col("x"), F.col("h"))).alias("x"))
-    return _out(one, layer_norm(add(F.col("x"), linear(relu(linear(F.col("x"), *up)), *down))))
+    return _out(one, layer_norm(add(F.col("x"), linear(F.transform(linear(F.col("x"), *up), gelu), *down))))
 
 
 def by_relation(nodes: dict[str, DataFrame], edges: dict, width: int, chosen: dict) -> dict:

@@ -17,7 +17,7 @@ def uniform_negatives(edges: DataFrame, positives: DataFrame, n: int, total: int
     """
     taken = edges.select("src", "dst").unionByName(positives.select("src", "dst")).distinct()
     taken = taken.where((F.col("dst") >= 0) & (F.col("dst") < total)).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("taken"))
-    rows = positives.select("q", "src", "dst").join(taken, "src")
+    rows = positives.select("q", "src", "dst").join(taken, "src", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<long>")))
     free = F.lit(total) - F.size("taken")
     draws = rows.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n)))).where(free > 0)
     k = (uniform(seed, F.col("q"), F.col("slot")) % free).alias("k")

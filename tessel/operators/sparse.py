@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessel.functions.ordering import with_position
+from tessel.functions.joins import join_back
 from tessel.functions.vectors import dot, vector_sum
 
 
@@ -83,13 +84,14 @@ def sddmm(matrix: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 def softmax_by(df: DataFrame, score: str, *by: str, name: str = "weight") -> DataFrame:
     """``df`` with the softmax of a score within each group.
 
-    The group's own largest score is taken off first, by two aggregates that a join brings back:
-    a hot group is never gathered in one task, as a window over it would be.
+    The group's own largest score is taken off first, by two aggregates that joins bring back; a
+    hot group is never gathered in one task, as a window over it would be, and adaptive execution
+    can split it in either join.
     """
     top = df.groupBy(*by).agg(F.max(score).alias("__top"))
-    part = df.join(top, list(by)).withColumn("__e", F.exp(F.col(score) - F.col("__top")))
+    part = join_back(df, top, *by).withColumn("__e", F.exp(F.col(score) - F.col("__top")))
     total = part.groupBy(*by).agg(F.sum("__e").alias("__sum"))
-    out = part.join(total, list(by))
+    out = join_back(part, total, *by)
     return out.withColumn(name, F.col("__e") / F.greatest(F.col("__sum"), F.lit(1e-12))).drop("__top", "__e", "__sum")
 
 

@@ -1,23 +1,30 @@
 """Graphs over the test tables, each with the SQL that gives the same rows.
 
-``handoff``: within a day, each event's user hands on to the next event's user.  ``copart``:
-within an order, each line's part leads to the next line's part.  Both number edges within a day
-or an order, so no window spans the whole table.
+``handoff``: in the order of all events, each event's user hands on to the next event's user; the
+order is cut into ranges of time, each closed by the next one's first event, so no window spans
+the whole table.  ``copart``: within an order, each line's part leads to the next line's part.
 """
 
+from itertools import pairwise
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessel.functions.ranges import range_index, split_points
 from tessel.model import PropertyGraph
 from tessel.sources.tables import table
 
-WIDTH = 3
+#: Entries of the features that the layer queries read, and of those that other queries read.
+WIDTH, FULL = 3, 64
+#: Events of a range.
+EVENTS = 50_000
 
 SQL = {
     "users": "users AS (SELECT DISTINCT user_id AS id FROM events)",
     "handoff": """handoff AS (SELECT * FROM (SELECT event_id AS e_id, user_id AS src,
- lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst, epoch_us(ts) AS t, value FROM events) WHERE dst IS NOT NULL)""",
+ lead(user_id) OVER (ORDER BY ts, event_id) AS dst, epoch_us(ts) AS t, value FROM events) WHERE dst IS NOT NULL)""",
+    "feat_full": "feat_full AS (SELECT u.id, " + ", ".join(f"coalesce(CAST(v.embedding[{i + 1}] AS DOUBLE), 0) AS x{i}" for i in range(FULL)) + " FROM users u LEFT JOIN embeddings v ON v.vec_id = u.id)",
     "feat": "feat AS (SELECT u.id, " + ", ".join(f"coalesce(CAST(v.embedding[{i + 1}] AS DOUBLE), 0) AS x{i}" for i in range(WIDTH)) + " FROM users u LEFT JOIN embeddings v ON v.vec_id = u.id)",
     "li": "li AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS e_id, lineitem.* FROM lineitem)",
     "parts": "parts AS (SELECT p_partkey AS id FROM part)",
@@ -28,7 +35,7 @@ SQL = {
     "preds": """preds AS (SELECT e_id, l_quantity / 10 AS z0, l_discount * 10 AS z1, l_tax * 20 AS z2,
  l_extendedprice / 100000 AS y0, l_quantity / 20 AS y1, l_tax * 10 AS y2, l_linenumber % 3 AS label FROM li)""",
 }
-NEEDS = {"feat": ["users"], "copart": ["li"], "scored": ["li"], "preds": ["li"]}
+NEEDS = {"feat": ["users"], "feat_full": ["users"], "copart": ["li"], "scored": ["li"], "preds": ["li"]}
 
 
 def with_views(*names: str, more: str = "") -> str:
@@ -58,15 +65,28 @@ def users(spark: SparkSession, sf: str) -> DataFrame:
 
 def handoff(spark: SparkSession, sf: str) -> DataFrame:
     """Hand-offs between users."""
-    order = W.partitionBy(F.col("ts").cast("date")).orderBy("ts", "event_id")
-    rows = table(spark, sf, "events").select(F.col("event_id").alias("e_id"), F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst"), micros("ts").alias("t"), "value")
-    return rows.where("dst is not null")
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("e_id"), F.col("user_id").alias("src"), micros("ts").alias("t"), "value")
+    ranged, after = rows.withColumn("__r", F.lit(0)), {}
+    if (n := rows.count()) > EVENTS:
+        ranged = rows.withColumn("__r", range_index(F.col("t"), split_points(rows, "t", n // EVENTS)))
+        firsts = ranged.groupBy("__r").agg(F.min_by("src", F.struct("t", "e_id")).alias("src")).orderBy("__r").collect()  # a row for each range
+        after = {a["__r"]: b["src"] for a, b in pairwise(firsts)}
+    order = W.partitionBy("__r").orderBy("t", "e_id")
+    following = F.lead("src").over(order)
+    if after:
+        following = F.coalesce(following, F.element_at(F.create_map(*[F.lit(x) for pair in after.items() for x in pair]), F.col("__r")))
+    return ranged.select("e_id", "src", following.alias("dst"), "t", "value").where("dst is not null")
+
+
+def feat(spark: SparkSession, sf: str, width: int = WIDTH) -> DataFrame:
+    """Users with the first entries of their embedding, zeros where there is none."""
+    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(width)])
+    return users(spark, sf).join(vec, "id", "left").select("id", F.array(*[F.coalesce(f"v{i}", F.lit(0.0)) for i in range(width)]).alias("x"))
 
 
-def feat(spark: SparkSession, sf: str) -> DataFrame:
-    """Users with the first entries of their embedding, zeros where there is none."""
-    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(WIDTH)])
-    return users(spark, sf).join(vec, "id", "left").select("id", F.array(*[F.coalesce(f"v{i}", F.lit(0.0)) for i in range(WIDTH)]).alias("x"))
+def user_total(spark: SparkSession, sf: str) -> int:
+    """One more than the largest user id."""
+    return table(spark, sf, "events").agg(F.max("user_id")).first()[0] + 1
 
 
 def li(spark: SparkSession, sf: str) -> DataFrame:

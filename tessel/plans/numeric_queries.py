@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tessel.functions.vectors import ERFC
 from tessel.functions.hashing import SPAN, uniform_sql  # noqa: F401
 from tessel.operators import features, layers, losses, metrics, partition, sparse, temporal
 from tessel.operators.propagate import pool, propagate
@@ -63,6 +64,16 @@ def named(x: list[str], prefix: str) -> str:
 SIGM = "(1 / (1 + exp(-({}))))"
 
 
+def gelu_sql(x: str) -> str:
+    """x times the normal distribution function at x, by the same fit as ``vectors.gelu``."""
+    t = f"(1 / (1 + 0.5 * abs({x}) / sqrt(2.0)))"
+    power = str(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        power = f"({c} + {t} * {power})"
+    tail = f"0.5 * {t} * exp({power} - ({x}) * ({x}) / 2)"
+    return f"(({x}) * CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
 def agg_sql(source: str, how: str = "sum", n: int = WIDTH, edges: str = "handoff") -> str:
     """``SELECT id, m0 …`` of one round over table ``source(id, x0 …)``."""
     if how == "sym":
@@ -110,8 +121,7 @@ def one_round(h: list[str], how: str = "sum") -> str:
     return f"SELECT id, {shown(h)} " + ONE.format(agg_sql("feat", how))
 
 
-for _how in ("sum", "mean", "max", "sym"):
-    layer(f"prop_{_how}", one_round(M, _how))(lambda n, e, how=_how: propagate(n, e, WIDTH, how).select("id", F.col("m").alias("h")))
+layer("prop_sym", one_round(M, "sym"))(lambda n, e: propagate(n, e, WIDTH, "sym").select("id", F.col("m").alias("h")))
 
 layer("simple_mean", one_round(M, "mean"))(lambda n, e: layers.simple(n, e, WIDTH))
 layer("lg", one_round(M, "sym"))(lambda n, e: layers.lg(n, e, WIDTH))
@@ -272,7 +282,7 @@ over_edges("pointnet", lin(XS + _SHIFT, weight(3, 5)), plus(M, lin(X, W1)), lamb
 _DELTA = lin(_SHIFT, weight(3, 2))
 attended("point_transformer", " + ".join(plus(lin(XD, W1), times(lin(XS, W2), -1), _DELTA)), plus(lin(XS, W3), _DELTA), M,
          lambda n, e: layers.point_transformer(n.withColumn("pos", F.slice("x", 1, 2)), e, WIDTH, W1, W2, W3, weight(3, 2)))
-_FED = plus(X, lin([f"greatest({c}, 0)" for c in lin(X, weight(6, 3))], weight(3, 6)))
+_FED = plus(X, lin([gelu_sql(c) for c in lin(X, weight(6, 3))], weight(3, 6)))
 layer("encoder", f"SELECT id, {shown(norm_sql(cols('f')))} FROM fed",
       more=f"normed AS (SELECT id, {named(norm_sql(plus(X, M)), 'x')} " + ONE.format(attention(_DOT(W1, W2), lin(XS, W3))) + f"), fed AS (SELECT id, {named(_FED, 'f')} FROM normed)")(
     lambda n, e: layers.encoder(n, e, WIDTH, W1, W2, W3, (weight(6, 3), None), (weight(3, 6), None)))
@@ -360,12 +370,25 @@ for _how, _fn in (("sum", "sum"), ("mean", "avg"), ("max", "max")):
     query(f"pool_{_how}", views("li") + f"SELECT l_orderkey AS graph_id, round({_fn}(l_quantity), 5) AS h0, round({_fn}(l_extendedprice), 6) AS h1 FROM li GROUP BY 1")(
         lambda spark, sf, how=_how: pool(g.li(spark, sf).select(F.col("l_orderkey").alias("graph_id"), F.array("l_quantity", "l_extendedprice").alias("x")), 2, how).select("graph_id", F.round(F.col("h")[0], 5).alias("h0"), F.round(F.col("h")[1], 6).alias("h1")))
 
-query("norm_rows", views("feat") + f"SELECT id, {shown([f'{c} / greatest(x0 + x1 + x2, 0.05)' for c in X], 'x')} FROM feat")(lambda spark, sf: rounded(features.normalize_rows(g.feat(spark, sf), eps=0.05), "x"))
-_STD = "SELECT id, {h} FROM feat, (SELECT {s} FROM feat {w})"
-_STATS = ", ".join(f"avg(x{i}) AS a{i}, stddev_pop(x{i}) AS s{i}" for i in D)
-_STDH = shown([f"(x{i} - a{i}) / greatest(s{i}, 1e-12)" for i in D], "x")
-query("standardize", views("feat") + _STD.format(h=_STDH, s=_STATS, w=""))(lambda spark, sf: rounded(features.standardize(g.feat(spark, sf), WIDTH), "x"))
-query("standardize_train", views("feat") + _STD.format(h=_STDH, s=_STATS, w="WHERE id % 3 = 0"))(lambda spark, sf: rounded(features.standardize(g.feat(spark, sf), WIDTH, where="id % 3 = 0"), "x"))
+ALL = range(g.FULL)
+_SUM = " + ".join(f"x{i}" for i in ALL)
+_STD = "SELECT id, {h} FROM feat_full, (SELECT {s} FROM feat_full {w})"
+_STATS = ", ".join(f"avg(x{i}) AS a{i}, stddev_pop(x{i}) AS s{i}" for i in ALL)
+_STDH = shown([f"(x{i} - a{i}) / greatest(s{i}, 1e-12)" for i in ALL], "x")
+
+
+def featured(name: str, sql: str):
+    """Register a query on whole embeddings, given as a function of the feature table."""
+    return lambda made: query(name, views("feat_full", "handoff") + sql)(lambda spark, sf: rounded(made(g.feat(spark, sf, g.FULL), spark, sf), "x", g.FULL))
+
+
+featured("norm_rows", f"SELECT id, {shown([f'x{i} / greatest({_SUM}, 0.05)' for i in ALL], 'x')} FROM feat_full")(lambda x, spark, sf: features.normalize_rows(x, eps=0.05))
+featured("standardize", _STD.format(h=_STDH, s=_STATS, w=""))(lambda x, spark, sf: features.standardize(x, g.FULL))
+featured("standardize_train", _STD.format(h=_STDH, s=_STATS, w="WHERE id % 3 = 0"))(lambda x, spark, sf: features.standardize(x, g.FULL, where="id % 3 = 0"))
+for _how, _fn in (("sum", "sum"), ("mean", "avg"), ("max", "max")):
+    _GOT = f"(SELECT dst, {', '.join(f'{_fn}(s.x{i}) AS m{i}' for i in ALL)} FROM handoff JOIN feat_full s ON s.id = src GROUP BY dst)"
+    featured(f"prop_{_how}", f"SELECT id, {shown([f'coalesce(m{i}, 0)' for i in ALL], 'x')} FROM feat_full LEFT JOIN {_GOT} ON dst = id")(
+        lambda x, spark, sf, how=_how: propagate(x, g.handoff(spark, sf), g.FULL, how).select("id", F.col("m").alias("x")))
 
 _SPLIT = "(SELECT *, row_number() OVER (ORDER BY {u}, id) - 1 AS r, count(*) OVER () AS n FROM {t})"
 
@@ -522,7 +545,7 @@ def gather_features(spark, sf):
 
 
 _LINKNEG = "pairs AS (SELECT e_id AS id FROM handoff), val AS (SELECT e_id AS q, src, dst FROM handoff JOIN " + _SPLIT.format(u=uniform_sql(15, "id"), t="pairs") + """ s ON s.id = e_id WHERE r < floor(n * 0.02)),
-tot AS (SELECT unnest(range(400)) AS id), s AS (SELECT DISTINCT src FROM val),
+tot AS (SELECT unnest(range((SELECT max(user_id) + 1 FROM events))) AS id), s AS (SELECT DISTINCT src FROM val),
 free AS (SELECT s.src, tot.id, row_number() OVER (PARTITION BY s.src ORDER BY tot.id) - 1 AS k, count(*) OVER (PARTITION BY s.src) AS n FROM s, tot WHERE NOT EXISTS (SELECT 1 FROM handoff h WHERE h.src = s.src AND h.dst = tot.id)),
 d AS (SELECT q, src, slot, """ + uniform_sql(15, "q", "slot") + " AS u FROM val, (VALUES (1), (2)) v(slot))"
 
@@ -533,7 +556,7 @@ def split_link_neg(spark, sf):
 
     edges = g.handoff(spark, sf).select("e_id", "src", "dst")
     val = features.split_links(edges, 0.02, 0.1, seed=15).where("part = 'val'").select(F.col("e_id").alias("q"), "src", "dst")
-    return sampling.uniform_negatives(edges, val, 2, 400, seed=15)
+    return sampling.uniform_negatives(edges, val, 2, g.user_total(spark, sf), seed=15)
 
 
 @query("csv_roundtrip", views("users", "handoff", more="num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM users)") + "SELECT e_id, a.new_id AS src, b.new_id AS dst, round(value, 4) AS value FROM handoff JOIN num a ON a.id = src JOIN num b ON b.id = dst")

@@ -174,15 +174,14 @@ def undirected_copyfeat(spark, sf):
     return rewrite.to_bidirected(g.copart(spark, sf), copy=True)
 
 
-_LINKS = """links AS (SELECT DISTINCT o_custkey AS a, -l_suppkey - 1 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey
- WHERE o_orderkey % 199 = 0), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT a AS id, a AS c FROM both_ways UNION SELECT w.b, r.c FROM reach r JOIN both_ways w ON w.a = r.id)"""
+_LINKS = """links AS (SELECT DISTINCT o_custkey AS a, -l_suppkey - 1 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT b AS id, b AS c FROM links UNION SELECT w.b, r.c FROM reach r JOIN both_ways w ON w.a = r.id)"""
 
 
 @query("components", "WITH RECURSIVE " + _LINKS + " SELECT id, min(c) AS component FROM reach GROUP BY id")
 def components(spark, sf):
     t = g.table
-    links = t(spark, sf, "orders").where("o_orderkey % 199 = 0").join(t(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    links = t(spark, sf, "orders").join(t(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     return star_components(links.select(F.col("o_custkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")))
 
 
@@ -191,17 +190,15 @@ best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, c
 SELECT id, component, row_number() OVER (ORDER BY id) - 1 AS new_id FROM comp WHERE component IN (SELECT component FROM best)""")
 def components_top2(spark, sf):
     t = g.table
-    links = t(spark, sf, "orders").where("o_orderkey % 199 = 0").join(t(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    links = t(spark, sf, "orders").join(t(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     edges = links.select(F.col("l_orderkey").alias("e_id"), F.col("o_custkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")).distinct()
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return rewrite.largest_components(nodes, edges, 2)[0]
 
 
-@query("line_edges", views("handoff") + "SELECT a.e_id AS src, b.e_id AS dst FROM handoff a JOIN handoff b ON a.dst = b.src WHERE a.src <> b.dst AND a.src % 10 = 0")
+@query("line_edges", views("handoff") + "SELECT a.e_id AS src, b.e_id AS dst FROM handoff a JOIN handoff b ON a.dst = b.src WHERE a.src <> b.dst")
 def line_edges(spark, sf):
-    edges = g.handoff(spark, sf)
-    starts = edges.where("src % 10 = 0").select(F.col("e_id").alias("src"))
-    return rewrite.line_graph(edges, backtracking=False).join(starts, "src", "left_semi")
+    return rewrite.line_graph(g.handoff(spark, sf), backtracking=False)
 
 
 @query("metapath_cust_part", "SELECT DISTINCT o_custkey AS src, l_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
@@ -384,26 +381,26 @@ def _positives(spark, sf):
     return g.handoff(spark, sf).where("e_id % 50 = 0").select(F.col("e_id").alias("q"), "src", "dst")
 
 
-@query("neg_uniform", views("handoff", more=_POS + f""", tot AS (SELECT unnest(range(400)) AS id), s AS (SELECT DISTINCT src FROM pos_),
+@query("neg_uniform", views("handoff", more=_POS + f""", tot AS (SELECT unnest(range((SELECT max(user_id) + 1 FROM events))) AS id), s AS (SELECT DISTINCT src FROM pos_),
 free AS (SELECT s.src, tot.id, row_number() OVER (PARTITION BY s.src ORDER BY tot.id) - 1 AS k, count(*) OVER (PARTITION BY s.src) AS n FROM s, tot WHERE NOT EXISTS (SELECT 1 FROM handoff h WHERE h.src = s.src AND h.dst = tot.id)),
 d AS (SELECT q, src, slot, {uniform_sql(7, 'q', 'slot')} AS u FROM pos_, (VALUES (1), (2), (3)) v(slot))""") + """SELECT q, src, dst, 1 AS label, 0 AS slot FROM pos_ UNION ALL
 SELECT q, d.src, f.id, 0, slot FROM d JOIN free f ON f.src = d.src AND f.k = d.u % f.n""")
 def neg_uniform(spark, sf):
-    return sampling.uniform_negatives(g.handoff(spark, sf), _positives(spark, sf), 3, 400, seed=7)
+    return sampling.uniform_negatives(g.handoff(spark, sf), _positives(spark, sf), 3, g.user_total(spark, sf), seed=7)
 
 
-@query("neg_hard", views("handoff", more=_POS + f""", h AS (SELECT q, (dst + k * 7) % 150 AS dst FROM pos_, (VALUES (0), (1), (2), (3), (4)) v(k)),
+@query("neg_hard", views("handoff", more=_POS + f""", h AS (SELECT q, (dst + k * 7) % (SELECT max(user_id) + 1 FROM events) AS dst FROM pos_, (VALUES (0), (1), (2), (3), (4)) v(k)),
 o AS (SELECT DISTINCT p.q, p.src, h.dst FROM pos_ p JOIN h USING (q) WHERE NOT EXISTS (SELECT 1 FROM handoff x WHERE x.src = p.src AND x.dst = h.dst))""")
        + f"SELECT * FROM (SELECT q, src, dst, row_number() OVER (PARTITION BY q ORDER BY {uniform_sql(8, 'q', 'dst')}, dst) AS slot FROM o) WHERE slot <= 2")
 def neg_hard(spark, sf):
     p = _positives(spark, sf)
-    hard = p.withColumn("k", F.explode(F.array(*map(F.lit, range(5))))).select("q", ((F.col("dst") + F.col("k") * 7) % 150).alias("dst"))
+    hard = p.withColumn("k", F.explode(F.array(*map(F.lit, range(5))))).select("q", ((F.col("dst") + F.col("k") * 7) % g.user_total(spark, sf)).alias("dst"))
     return sampling.hard_negatives(g.handoff(spark, sf), p, hard, 2, seed=8)
 
 
-@query("candidates_flagged", views("handoff", more=_POS + ", o AS (SELECT q, (dst + k * 3) % 150 AS dst FROM pos_, (VALUES (0), (1), (2), (3), (4)) v(k))") + """SELECT q, src, dst, 1 AS label, false AS filtered FROM pos_ UNION ALL
+@query("candidates_flagged", views("handoff", more=_POS + ", o AS (SELECT q, (dst + k * 3) % (SELECT max(user_id) + 1 FROM events) AS dst FROM pos_, (VALUES (0), (1), (2), (3), (4)) v(k))") + """SELECT q, src, dst, 1 AS label, false AS filtered FROM pos_ UNION ALL
 SELECT DISTINCT p.q, p.src, o.dst, 0, EXISTS (SELECT 1 FROM handoff x WHERE x.src = p.src AND x.dst = o.dst) FROM pos_ p JOIN o USING (q) WHERE o.dst <> p.dst""")
 def candidates_flagged(spark, sf):
     p = _positives(spark, sf)
-    options = p.withColumn("k", F.explode(F.array(*map(F.lit, range(5))))).select("q", ((F.col("dst") + F.col("k") * 3) % 150).alias("dst"))
+    options = p.withColumn("k", F.explode(F.array(*map(F.lit, range(5))))).select("q", ((F.col("dst") + F.col("k") * 3) % g.user_total(spark, sf)).alias("dst"))
     return sampling.candidates(g.handoff(spark, sf), p, options)
