@@ -51,13 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
-    For results that cost much to compute and are read several times.
+    For results that cost much to compute and are read several times.  ``keep`` leaves the table
+    where it is when a ``temporary`` block ends.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}" if keep else scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

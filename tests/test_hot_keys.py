@@ -76,3 +76,16 @@ def test_hand_off_across_ranges(spark, monkeypatch):
     whole = {tuple(r) for r in graphs.handoff(spark, sf).collect()}
     monkeypatch.setattr(graphs, "EVENTS", 60)
     assert {tuple(r) for r in graphs.handoff(spark, sf).collect()} == whole and len(whole) == 999
+
+
+def test_temporary_tables_go(spark):
+    from tessel.plans.staging import staged, temporary
+
+    with temporary(spark):
+        gone, kept = staged(spark.range(3).toDF("x"), "gone"), staged(spark.range(3).toDF("x"), "kept", keep=True)
+        assert gone.count() == 3
+    assert kept.count() == 3
+    path = gone.inputFiles()[0].removeprefix("file:")
+    import os
+
+    assert not os.path.exists("/" + path.lstrip("/"))
