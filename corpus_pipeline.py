@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm import packing, quality, simhash, toxicity
 from tessel.plans.shipping import ship
-from tessel.plans.staging import staged
+from tessel.plans.staging import staged, temporary
 from tessel.sources.tables import table
 
 
@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints."""
+    """One document of each group of similar texts: five-word shingles, Jaccard similarity 0.8."""
     ship(spark)
     return simhash.deduplicate(docs)
 
@@ -47,5 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a directory."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark):  # what the stage wrote for itself goes
+            docs = staged(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,9 +25,9 @@ def test_pipeline_is_its_stages(spark):
     d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     harmful = toxicity.fit(d, labels)
     docs = {i: t for i, t in docs.items() if harmful.score(t) < 0.5}
-    good = quality.fit(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), labels)
+    good = quality.fit(d.where(d["doc_id"].isin(list(docs))), labels)
     docs = {i: t for i, t in docs.items() if good.score([t])[0] >= 0.5}
-    marks = {i: simhash.fingerprint(t) for i, t in docs.items()}
+    sets = {i: frozenset(simhash.shingles(t, 5)) for i, t in docs.items()}
     root = {i: i for i in docs}
 
     def top(i):
@@ -38,7 +38,8 @@ def test_pipeline_is_its_stages(spark):
     ids = sorted(docs)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if (marks[a] ^ marks[b]).bit_count() <= 2 and top(a) != top(b):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if 5 * small >= 4 * large and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and top(a) != top(b):
                 root[max(top(a), top(b))] = min(top(a), top(b))
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert packed == {i for i in ids if top(i) == i}
