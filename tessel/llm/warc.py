@@ -136,8 +136,12 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Header fields, header bytes and payload of an HTTP response block; any other is all payload."""
     if not block.startswith(b"HTTP/"):
         return {}, b"", block
-    ends = [(at, end) for end in (_END, b"\n\n") if (at := block.find(end)) >= 0]
-    at, end = min(ends, default=(len(block), b""))
+    at, end = block.find(_END), _END
+    bare = block.find(b"\n\n", 0, at if at >= 0 else len(block))  # not beyond the first end
+    if bare >= 0:
+        at, end = bare, b"\n\n"
+    elif at < 0:
+        at, end = len(block), b""
     head, payload = block[: at + len(end)], block[at + len(end) :]
     lines = head.decode("utf-8", "surrogateescape").splitlines()[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}, head, payload
