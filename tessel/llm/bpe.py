@@ -28,6 +28,8 @@ from tessel.llm.common import slices
 
 #: Pre-tokens whose ids a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 400_000
+#: Characters of the longest pre-token that is remembered.
+LONGEST = 64
 _TO_CHAR = {b: 0x100 + b for b in range(256)}
 
 
@@ -100,6 +102,9 @@ class Codec:
             known.update(zip(new, map(tuple, self.model.encode(mapped, num_threads=1)), strict=True))
         for found in matches:
             yield list(chain.from_iterable(map(known.__getitem__, found)))
+        for m in new:  # the memory is bounded in bytes too
+            if len(m) > LONGEST:
+                del known[m]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for."""
