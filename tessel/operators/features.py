@@ -62,3 +62,35 @@ def split_links(edges: DataFrame, val: float | int, test: float | int, seed: int
     groups = keyed.groupBy("a", "b").agg(F.min("e_id").alias("id"))
     parts = split_rows(groups, val, test, seed).select("a", "b", "part")
     return keyed.join(parts, ["a", "b"]).drop("a", "b")
+
+
+def link_split(edges: DataFrame, val: float | int, test: float | int, seed: int = 0, undirected: bool = False, disjoint: float | int = 0.0, val_in_test: bool = True, reverse: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(links, messages)``: which edges each split is asked about, and which it may pass messages over.
+
+    ``links(e_id, src, dst, part)``.  With ``disjoint``, that share or number of the training groups
+    is asked about and the others pass messages; without, all do both.  ``messages(split, kind,
+    e_id, src, dst)`` has every split's edges, of kind ``edge`` or, for those of ``reverse`` that run
+    against them, ``reverse``; validation edges pass messages in the test with ``val_in_test``.
+    """
+    pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")] if undirected else [F.col("e_id").alias("a"), F.lit(0).cast("long").alias("b")]
+    keyed = edges.select("e_id", "src", "dst", *pair)
+    groups = split_rows(keyed.groupBy("a", "b").agg(F.min("e_id").alias("id")), val, test, seed)
+    apart = int(groups.where("part = 'train'").count() * disjoint) if isinstance(disjoint, float) else disjoint
+    if apart:
+        asked = _ranked(groups.where("part = 'train'").select("id"), seed + 1).select("id", (F.col("__n") < apart).alias("asked"))
+        groups = groups.join(asked, "id", "left")
+    else:
+        groups = groups.withColumn("asked", F.lit(None).cast("boolean"))
+    placed = keyed.join(groups.select("a", "b", "part", "asked"), ["a", "b"]).select("e_id", "src", "dst", "part", "asked")
+    links = placed.where("part <> 'train' or asked is null or asked").select("e_id", "src", "dst", "part")
+    train = F.array(F.lit("train"), F.lit("val"), F.lit("test"))
+    splits = F.when((F.col("part") == "train") & ~F.coalesce("asked", F.lit(False)), train)
+    if val_in_test:
+        splits = splits.when(F.col("part") == "val", F.array(F.lit("test")))
+    passing = placed.select(F.explode(splits).alias("split"), "e_id", "src", "dst")
+    messages = passing.select("split", F.lit("edge").alias("kind"), "e_id", "src", "dst")
+    if reverse is not None:
+        turned = passing.select("split", F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+        back = reverse.select("e_id", "src", "dst").join(turned, ["src", "dst"])
+        messages = messages.unionByName(back.select("split", F.lit("reverse").alias("kind"), "e_id", "src", "dst"))
+    return links, messages

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.joins import join_back
-from tessel.functions.vectors import add, dot, gelu, linear, relu, scale, sigmoid, softplus
+from tessel.functions.vectors import add, bound, dot, gelu, linear, relu, scale, sigmoid, softplus
 from tessel.operators.propagate import AGGREGATES, powers, propagate, scatter, with_both, with_source, zeros
 from tessel.operators.sparse import softmax_by
 
@@ -496,10 +496,12 @@ def relational_attention(nodes, relations: dict[str, DataFrame], width, weights:
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
     """A vector less its mean, over its deviation."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    var = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+
+    def mean(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / F.size(v)
+
+    centred = bound(x, lambda v: bound(mean(v), lambda m: F.transform(v, lambda a: a - m)))
+    return bound(centred, lambda c: bound(F.sqrt(dot(c, c) / F.size(c) + eps), lambda d: F.transform(c, lambda a: a / d)))
 
 
 def encoder(nodes, edges, width, query: Matrix, key: Matrix, value: Matrix, up: tuple, down: tuple):
