@@ -1,28 +1,44 @@
 """Dense positions in a total order without gathering the rows in one task."""
 
-from itertools import accumulate
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessel.functions.ranges import range_index, split_points
+from tessel.plans.staging import staged
 
+#: Up to so many rows are ranked by one window.
 ROWS_PER_RANGE = 200_000
+#: ``monotonically_increasing_id`` has a row's number within its task in the bits below.
+TASK_BITS = 33
+
+
+def in_order(df: DataFrame, *keys: str | Column, name: str = "at") -> DataFrame:
+    """``df`` as a table dealt by ranges of the keys, with a number that rises in their order.
+
+    The table is written once in the shared folder, so the numbers stay whatever is read again;
+    :func:`task_of` gives the range that a number lies in.  Ranges come from Spark's own sample of
+    the keys, and equal keys share one: end with a key that tells copies apart.
+    """
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return staged(dealt.withColumn(name, F.monotonically_increasing_id()), "order")
+
+
+def task_of(at: str | Column) -> Column:
+    """The range of a number that :func:`in_order` gave."""
+    return F.shiftright(at, TASK_BITS)
 
 
 def with_position(df: DataFrame, key: str, *ties: str, name: str = "position", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``df`` with the rank of each row, from 0, by an integer ``key`` and then ``ties``.
+    """``df`` with the rank of each row, from 0, by ``key`` and then ``ties``.
 
-    The key's quantiles cut the rows into ranges of a bounded size, whose counts give each one's
-    first rank; ranks within a range come from a window over it.
+    Many rows are written in order; the counts of the ranges, one row for each task, give every
+    range's first rank.
     """
-    n = df.count()
-    bounds = split_points(df, key, max(1, n // rows_per_range)) if n > rows_per_range else []
-    ranged = df.withColumn("__range", range_index(F.col(key), bounds))
-    rank = F.row_number().over(W.partitionBy("__range").orderBy(key, *ties)) - 1
-    if not bounds:
-        return ranged.withColumn(name, rank.cast("long")).drop("__range")
-    counts = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first = [0, *accumulate(counts.get(i, 0) for i in range(len(bounds) + 1))]
-    return ranged.withColumn(name, F.element_at(F.lit(first), F.col("__range") + 1).cast("long") + rank).drop("__range")
+    if df.count() <= rows_per_range:
+        return df.withColumn(name, (F.row_number().over(W.orderBy(key, *ties)) - 1).cast("long"))
+    ordered = in_order(df, key, *ties, name="__at").withColumn("__task", task_of("__at"))
+    counts = ordered.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"))
+    first = counts.select("__task", (F.sum("__n").over(W.orderBy("__task")) - F.col("__n")).alias("__first"))
+    within = F.col("__at").bitwiseAND(F.lit((1 << TASK_BITS) - 1))
+    # one row for each task of the write
+    return ordered.join(F.broadcast(first), "__task").withColumn(name, F.col("__first") + within).drop("__at", "__task", "__first")
