@@ -1,9 +1,11 @@
 """One registered query for each corpus operator, over its whole table."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, embdedup, fingerprint, oracles, packing, quality, sharding, simhash, toxicity, urlfilter, warc
+from tessel.llm import bpe, dialogue, embdedup, fingerprint, infill, mixing, oracles, packing, quality, sharding, simhash, toxicity, urlfilter, warc
 from tessel.sources.tables import table
 
 
@@ -62,9 +64,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and the text restored from that."""
+    done = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    proof = infill.digests(F.col("fim.output"), F.col("fim.form"))
+    return done.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", proof.alias("proof")).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "proof.*")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every damaged conversation."""
+    found, rows = dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations")))
+    digests = dialogue.digests(rows).withColumnRenamed("conv_id", "__id")
+    none = hashlib.sha256(b"").hexdigest()
+    whole = found.join(digests, F.col("conv_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    return whole.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.lit(none)))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document comes in a mix of the sources by weight."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def queries() -> dict:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_sharding, op4_fingerprint, op5_packing, op6_quality, op7_url_filter, op8_warc, op9_embedding_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_sharding, op4_fingerprint, op5_packing, op6_quality, op7_url_filter, op8_warc, op9_embedding_dedup, op10_toxicity, op11_fill_in_middle, op12_conversation_repair, op13_mixing)}
 
 
 def oracle_sql() -> dict:
