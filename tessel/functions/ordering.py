@@ -42,3 +42,25 @@ def with_position(df: DataFrame, key: str, *ties: str, name: str = "position", r
     within = F.col("__at").bitwiseAND(F.lit((1 << TASK_BITS) - 1))
     # one row for each task of the write
     return ordered.join(F.broadcast(first), "__task").withColumn(name, F.col("__first") + within).drop("__at", "__task", "__first")
+
+
+def place_within(df: DataFrame, keys: list[str], *order: str, name: str = "place") -> DataFrame:
+    """``df`` with each row's rank, from 0, among the rows of its keys, which aren't null.
+
+    Rows of a key may lie in many ranges of the order; their counts, a row for each range and key,
+    give a range's first rank, so a key that most rows have is never ranked in one task.
+    """
+    ordered = in_order(df, *keys, *order, name="__at").withColumn("__task", task_of("__at"))
+    parts = ordered.groupBy(*keys, "__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__low"))
+    before = F.sum("__n").over(W.partitionBy(*keys).orderBy("__task")) - F.col("__n")
+    first = parts.select(*keys, "__task", (before - F.col("__low")).alias("__shift"))
+    return ordered.join(first, [*keys, "__task"]).withColumn(name, F.col("__at") + F.col("__shift")).drop("__at", "__task", "__shift")
+
+
+def running_total(df: DataFrame, key: str, value: str, name: str = "before") -> DataFrame:
+    """``df`` with the sum of an integer value over all rows of a smaller key."""
+    ordered = in_order(df, key, name="__at").withColumn("__task", task_of("__at"))
+    totals = ordered.groupBy("__task").agg(F.sum(value).alias("__n"))
+    base = totals.select("__task", (F.sum("__n").over(W.orderBy("__task")) - F.col("__n")).alias("__base"))  # a row for each task
+    within = F.sum(value).over(W.partitionBy("__task").orderBy("__at")) - F.col(value)
+    return ordered.join(F.broadcast(base), "__task").withColumn(name, F.col("__base") + within).drop("__at", "__task", "__base")

@@ -1,30 +1,37 @@
 """Negative links, candidates and temporal histories, keyed by request."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessel.functions.hashing import uniform
+from tessel.functions.joins import join_back
+from tessel.functions.ordering import place_within
+from tessel.operators.history import all_before, events_before, events_within, with_places
+from tessel.plans.staging import staged
 
 
 def uniform_negatives(edges: DataFrame, positives: DataFrame, n: int, total: int, seed: int = 0) -> DataFrame:
     """``(q, src, dst, label, slot)``: each positive of ``positives(q, src, dst)`` and n drawn negatives.
 
     Ids run from 0 to ``total - 1``.  A negative is drawn with replacement from the ids that are
-    neither the positive's own nor a known destination of its source.  The k-th free id is found
-    from the sorted taken ones: it is k plus the number of taken ids at or below it, so neither
-    candidates nor rejected draws are ever listed.
+    neither the positive's own nor a known destination of its source.  The k-th free id is k plus
+    the number of taken ids with at most k free ones below: a search in the order of
+    ``(source, free ids below)``, which taken ids and draws share, so a source that knows most ids
+    is neither gathered nor copied to its draws.  A source without a free id gives no negative.
     """
-    taken = edges.select("src", "dst").unionByName(positives.select("src", "dst")).distinct()
-    taken = taken.where((F.col("dst") >= 0) & (F.col("dst") < total)).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("taken"))
-    rows = positives.select("q", "src", "dst").join(taken, "src", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<long>")))
-    free = F.lit(total) - F.size("taken")
-    draws = rows.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n)))).where(free > 0)
-    k = (uniform(seed, F.col("q"), F.col("slot")) % free).alias("k")
-    draws = draws.select("q", "src", "slot", "taken", k)
-    gaps = F.transform("taken", lambda t, i: t - i)  # free ids below each taken one
-    pick = F.col("k") + F.size(F.filter(gaps, lambda g: g <= F.col("k")))
-    negative = draws.select("q", "src", pick.cast("long").alias("dst"), F.lit(0).alias("label"), "slot")
+    asked = positives.select("src").distinct()
+    known = edges.select("src", "dst").join(asked, "src", "left_semi").unionByName(positives.select("src", "dst")).distinct()
+    # each taken id's place among those of its source gives the free ids below it
+    placed = staged(place_within(known.where((F.col("dst") >= 0) & (F.col("dst") < total)), ["src"], "dst"), "taken")
+    gaps = placed.select("src", (F.col("dst") - F.col("place")).alias("t"), F.col("dst").alias("e_id"))
+    sizes = placed.groupBy("src").agg(F.count(F.lit(1)).alias("taken"))
+
+    rows = join_back(positives.select("q", "src"), sizes, "src", how="left").withColumn("free", F.lit(total) - F.coalesce("taken", F.lit(0)))
+    draws = rows.where("free > 0").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draws = draws.select(F.struct("q", "slot").alias("q"), "src", (uniform(seed, F.col("q"), F.col("slot")) % F.col("free")).alias("t"))
+    _, found = with_places(gaps, draws, strict=False, keys=["src"])
+    negative = found.select("q.q", "src", (F.col("t") + F.col("place") - F.col("low")).alias("dst"), F.lit(0).alias("label"), "q.slot")
     return positives.select("q", "src", "dst", F.lit(1).alias("label"), F.lit(0).alias("slot")).unionByName(negative)
 
 
@@ -51,18 +58,24 @@ def candidates(edges: DataFrame, positives: DataFrame, options: DataFrame) -> Da
 def history(edges: DataFrame, events: DataFrame, time: str = "t", strict: bool = True, window: int | None = None, last: int | None = None, on: list[tuple[str, str]] | None = None) -> DataFrame:
     """The edges before each event ``events(q, src, dst, t)``, with ``q``.
 
-    ``on`` pairs edge and event columns that must be equal, which makes the join an equi-join;
-    ``window`` bounds how far back, ``last`` keeps the latest so many by time and id.
+    ``on`` pairs edge and event columns that must be equal; ``window`` bounds how far back,
+    ``last`` keeps the latest so many by time and id.  No form compares every edge with every
+    event (:mod:`tessel.operators.history`), though without any bound that many rows may result.
     """
-    asked = events.select("q", F.col("t").alias("__t"), *[F.col(b).alias(f"__{b}_{i}") for i, (_, b) in enumerate(on or [])])
-    at = F.col(time)
-    test: Column = (at < F.col("__t")) if strict else (at <= F.col("__t"))
+    keys = [f"__k{i}" for i, _ in enumerate(on or [])]
+    lines = edges.select("*", *[F.col(a).alias(k) for k, (a, _) in zip(keys, on or [], strict=True)])
+    if time != "t":
+        lines = lines.withColumn("t", F.col(time))
+    asked = events.select("q", "t", *[F.col(b).alias(k) for k, (_, b) in zip(keys, on or [], strict=True)])
+    names = [*edges.columns, "q"]
+    if last is not None:
+        found = events_before(lines.select(*keys, "t", "e_id"), asked, last, strict, keys)
+        if window is not None:
+            found = found.join(asked.select("q", F.col("t").alias("__t")), "q").where(F.col("t") >= F.col("__t") - window)
+        return edges.join(found.select("q", "e_id"), "e_id").select(*names)
     if window is not None:
-        test = test & (at >= F.col("__t") - window)
-    for i, (a, b) in enumerate(on or []):
-        test = test & (F.col(a) == F.col(f"__{b}_{i}"))
-    met = edges.join(asked, test).drop("__t", *[f"__{b}_{i}" for i, (_, b) in enumerate(on or [])])
-    if last is None:
-        return met
-    order = W.partitionBy("q").orderBy(F.desc(time), F.desc("e_id"))
-    return met.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= last).drop("__n")
+        return events_within(lines, asked, window, strict, keys).select(*names)
+    if keys:
+        met = lines.join(asked.withColumnRenamed("t", "__t"), keys)
+        return met.where(F.col("t") < F.col("__t") if strict else F.col("t") <= F.col("__t")).select(*names)
+    return all_before(lines, asked, strict).select(*names)

@@ -5,11 +5,10 @@ operands are tables of ``(id, x array<double>)`` or scalars ``(id, x double)``.
 """
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessel.functions.ordering import with_position
 from tessel.functions.joins import join_back
+from tessel.functions.ordering import place_within, running_total, with_position
 from tessel.functions.vectors import dot, vector_sum
 
 
@@ -19,26 +18,34 @@ def adjacency(edges: DataFrame, weight: str | None = None) -> DataFrame:
     return edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), value.alias("value"), "e_id")
 
 
-def compressed(matrix: DataFrame, size: DataFrame, by: str = "row", order: str = "e_id") -> DataFrame:
-    """``(major, first, n, minors, order_ids)`` for every id of ``size(id)``: CSR by row, CSC by column."""
+#: Cells of a row block at most.
+CELLS = 1024
+
+
+def compressed(matrix: DataFrame, size: DataFrame, by: str = "row", order: str = "e_id", cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """``(pointers, blocks)``: CSR by row, CSC by column, of bounded rows.
+
+    ``pointers(major, first, n)`` has every id of ``size(id)`` with its number of cells and the
+    cells before it.  ``blocks(major, block, first, minors, order_ids, values)`` holds a major's
+    cells in their order, at most ``cells`` in an array, so a hub is many blocks in many tasks;
+    ``first`` is the place of a block's first cell within its major.
+    """
     minor = "col" if by == "row" else "row"
-    groups = matrix.groupBy(F.col(by).alias("id")).agg(F.array_sort(F.collect_list(F.struct(order, minor))).alias("cells"))
-    full = size.select("id").join(groups, "id", "left").withColumn("n", F.when(F.col("cells").isNull(), 0).otherwise(F.size("cells")))
-    placed = with_position(full, "id")
-    block = placed.withColumn("block", F.floor(F.col("position") / 100_000))
-    base = block.groupBy("block").agg(F.sum("n").alias("t"))
-    base = base.select("block", (F.sum("t").over(W.orderBy("block")) - F.col("t")).alias("base"))  # a row for each 100 000 ids
-    run = F.sum("n").over(W.partitionBy("block").orderBy("id")) - F.col("n")
-    out = block.withColumn("run", run).join(base, "block")
-    empty = F.array().cast("array<bigint>")
-    return out.select(F.col("id").alias("major"), (F.col("base") + F.col("run")).alias("first"), "n", F.coalesce(F.col(f"cells.{minor}"), empty).alias("minors"), F.coalesce(F.col(f"cells.{order}"), empty).alias("order_ids"))
-
-
-def uncompressed(layout: DataFrame, by: str = "row") -> DataFrame:
-    """The triples' coordinates of a grouped layout, with their order ids."""
+    counts = matrix.groupBy(F.col(by).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    full = size.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    pointers = running_total(full, "id", "n", name="first").select(F.col("id").alias("major"), "first", "n")
+    placed = place_within(matrix.select(F.col(by).alias("major"), F.col(minor).alias("minor"), F.col(order).alias("o"), "value"), ["major"], "o", "minor")
+    block = F.floor(F.col("place") / cells)
+    held = placed.groupBy("major", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "minor", "o", "value"))).alias("c"))
+    blocks = held.select("major", "block", (F.col("block") * cells).alias("first"), F.col("c.minor").alias("minors"), F.col("c.o").alias("order_ids"), F.col("c.value").alias("values"))
+    return pointers, blocks
+
+
+def uncompressed(blocks: DataFrame, by: str = "row") -> DataFrame:
+    """The triples of the blocks of :func:`compressed`, with their order ids."""
     minor = "col" if by == "row" else "row"
-    cells = layout.select(F.col("major").alias(by), F.explode(F.arrays_zip("minors", "order_ids")).alias("c"))
-    return cells.select(by, F.col("c.minors").alias(minor), F.col("c.order_ids").alias("e_id"))
+    cells = blocks.select(F.col("major").alias(by), F.explode(F.arrays_zip("minors", "order_ids", "values")).alias("c"))
+    return cells.select(by, F.col("c.minors").alias(minor), F.col("c.values").alias("value"), F.col("c.order_ids").alias("e_id"))
 
 
 def transpose(matrix: DataFrame) -> DataFrame:

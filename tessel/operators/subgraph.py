@@ -1,10 +1,9 @@
 """Induced subgraphs, relabelling, message-flow blocks and disjoint unions."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessel.functions.ordering import with_position
+from tessel.functions.ordering import running_total, with_position
 from tessel.model import GraphError
 
 
@@ -96,18 +95,9 @@ def to_hetero_block(edges: dict, targets: dict[str, DataFrame], include_targets:
 
 
 def graph_pointers(nodes: DataFrame) -> DataFrame:
-    """``(graph_id, n, first)``: the nodes of each graph and the number before them.
-
-    The running sum is over one row for each graph.
-    """
+    """``(graph_id, n, first)``: the nodes of each graph and the number before them."""
     counts = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-    ranked = with_position(counts, "graph_id")
-    block = F.floor(F.col("position") / 100_000)
-    ranked = ranked.withColumn("block", block)
-    before = ranked.groupBy("block").agg(F.sum("n").alias("total"))
-    before = before.select("block", (F.sum("total").over(W.orderBy("block")) - F.col("total")).alias("base"))
-    run = F.sum("n").over(W.partitionBy("block").orderBy("graph_id")) - F.col("n")
-    return ranked.withColumn("run", run).join(before, "block").select("graph_id", "n", (F.col("base") + F.col("run")).alias("first"))
+    return running_total(counts, "graph_id", "n", name="first").select("graph_id", "n", "first")
 
 
 def union_batch(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

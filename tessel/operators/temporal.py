@@ -1,12 +1,16 @@
 """Time encodings, message aggregation and per-node memory."""
 
-from collections.abc import Iterator
+import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessel.functions.joins import join_back
+from tessel.functions.ordering import place_within
 from tessel.functions.vectors import vector_avg
+from tessel.model import GraphError
+from tessel.plans.staging import cut, staged
 
 
 def time_encode(t: Column, frequency: list[float], phase: list[float]) -> Column:
@@ -58,27 +62,96 @@ def tgat(nodes, edges, width, query, key, value, frequency, phase, now: int, uni
     return attend(met, score, linear(aged, value), nodes, len(value)).select("id", F.col("m").alias("h"))
 
 
-def replay(events: DataFrame, batches: str = "batch", decay: float = 0.5) -> DataFrame:
-    """``(id, batch, state)``: a node's exponentially decayed sum of values after each of its batches.
+def decayed_sums(rows: DataFrame, decay: float, keys: list[str], order: str, value: str = "value", name: str = "state") -> DataFrame:
+    """``rows`` with the sum of a key's values so far, each multiplied by ``decay`` for every row since.
 
-    Batches are summed first; a node's sums are then read as a sorted stream, one row at a time,
-    so no node's history is ever held.
+    The step ``s -> decay * s + value`` is an affine map, and maps compose: a key's rows are cut
+    into blocks, a window sums within each, and the sums of the blocks are carried on in the same
+    way with the decay of a whole block.  A block is as long as powers of the decay stay well
+    within a double, so a key with most rows is spread over its blocks.
     """
+    if decay == 0:
+        return rows.withColumn(name, F.col(value).cast("double"))
+    width = max(1, min(1024, int(100 / max(abs(math.log10(abs(decay))), 1e-9))))
+    placed = staged(place_within(rows, keys, order, name="__p"), "decayed")
+    placed = placed.withColumn("__b", F.floor(F.col("__p") / width)).withColumn("__k", F.col("__p") % width)
+    power = lambda k: F.pow(F.lit(float(decay)), k)
+    inside = F.sum(F.col(value) * power(-F.col("__k"))).over(W.partitionBy(*keys, "__b").orderBy("__k"))
+    summed = staged(placed.withColumn("__s", inside * power(F.col("__k"))), "decayed")
+    ends = summed.where(F.col("__k") == width - 1).select(*keys, "__b", F.col("__s").alias("__v"))
+    if ends.isEmpty():
+        return summed.withColumn(name, F.col("__s")).drop("__p", "__b", "__k", "__s")
+    before = decayed_sums(ends, decay**width, keys, "__b", "__v", "__carry").select(*keys, (F.col("__b") + 1).alias("__b"), "__carry")
+    carried = F.coalesce("__carry", F.lit(0.0)) * power(F.col("__k") + 1)
+    return summed.join(before, [*keys, "__b"], "left").withColumn(name, F.col("__s") + carried).drop("__p", "__b", "__k", "__s", "__carry")
+
 
+def replay(events: DataFrame, batches: str = "batch", decay: float = 0.5) -> DataFrame:
+    """``(id, batch, state)``: a node's exponentially decayed sum of values after each of its batches."""
     sums = events.groupBy("id", F.col(batches).alias("batch")).agg(F.sum("value").alias("value"))
-    ordered = sums.repartition("id").sortWithinPartitions("id", "batch")
-
-    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, node = 0.0, None
-        for frame in frames:
-            rows = []
-            for key, batch, value in zip(frame["id"], frame["batch"], frame["value"], strict=True):
-                state = value if key != node else decay * state + value
-                node = key
-                rows.append((key, batch, state))
-            yield pd.DataFrame(rows, columns=["id", "batch", "state"])
-
-    return ordered.mapInPandas(stream, "id long, batch long, state double")
+    return decayed_sums(sums, decay, ["id"], "batch").select("id", "batch", "state")
+
+
+def memory_over_batches(
+    events: DataFrame, memory: DataFrame, cell: dict, size: int, frequency: list[float], phase: list[float], aggregate: str = "last", unit: float = 1e6
+) -> DataFrame:
+    """``(id, batch, x, t)``: every node's memory after each batch of ``events(e_id, src, dst, t, batch, raw)``.
+
+    A batch gives both ends of its events a message of the node's and the partner's memory from
+    before the batch, the raw vector and the encoded time since the node's last update; a node's
+    messages are aggregated (the ``last``, of the first event among the latest, or their ``mean``)
+    and a GRU steps its memory, which starts as ``memory(id, x, t)``.
+
+    Batches aren't played one by one: a round steps, for all nodes at once, every batch whose
+    memories are known, so there are as many rounds as the longest chain of batches that wait for
+    each other.  Messages of a node and batch are combined before they are shuffled, for ``last``
+    to one event before any memory is read.
+    """
+    from tessel.operators.layers import gru
+
+    end = lambda a, b, pos: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), (F.col("e_id") * 2 + pos).alias("pos"))
+    ends = events.select(F.explode(F.array(end("src", "dst", 0), end("dst", "src", 1))).alias("x"), "t", "batch", "raw").select("x.*", "t", "batch", "raw")
+    if aggregate == "last":
+        picked = F.max_by(F.struct("other", "t", "raw"), F.struct("t", -F.col("pos")))
+        ends = ends.groupBy("id", "batch").agg(picked.alias("x")).select("id", "batch", "x.*")
+    elif aggregate != "mean":
+        raise GraphError(f"no aggregate {aggregate!r}")
+    both = events.select(F.explode(F.array("src", "dst")).alias("id"), "batch").distinct()
+    steps = place_within(both, ["id"], "batch", name="k")  # a node's batches, numbered from 0
+    steps = staged(steps, "batches")
+    # the number of a node's batches before a batch in which its partner has an event
+    own = steps.select("id", "batch", "k")
+    ends = ends.join(own, ["id", "batch"]).join(own.select(F.col("id").alias("other"), "batch", F.col("k").alias("other_k")), ["other", "batch"])
+    ends = staged(ends, "ends")
+
+    start = memory.select("id", F.lit(0).cast("long").alias("k"), F.col("x").cast("array<double>").alias("x"), F.col("t").cast("long").alias("t"))
+    known = staged(start, "memory")  # k batches done
+    waiting = ends.select("id", "k", "other", "other_k").distinct()
+    made = None
+    while True:
+        have = known.select("id", "k")
+        late = waiting.join(have.withColumnsRenamed({"id": "other", "k": "other_k"}), ["other", "other_k"], "left_anti").select("id", "k").distinct()
+        ready = waiting.select("id", "k").distinct().join(late, ["id", "k"], "left_anti").join(have, ["id", "k"], "left_semi")
+        ready = cut(ready)
+        if ready.isEmpty():
+            break
+        a = known.select("id", "k", F.col("x").alias("__a"), F.col("t").alias("__t"))
+        b = known.select(F.col("id").alias("other"), F.col("k").alias("other_k"), F.col("x").alias("__b"))
+        met = ends.join(ready, ["id", "k"], "left_semi").join(a, ["id", "k"]).join(b, ["other", "other_k"])
+        message = F.concat("__a", "__b", "raw", time_encode((F.col("t") - F.col("__t")) / unit, frequency, phase))
+        told = met.select("id", "k", "batch", "t", message.alias("msg"))
+        if aggregate == "mean":
+            told = told.groupBy("id", "k", "batch").agg(F.max("t").alias("t"), vector_avg(F.col("msg"), len(cell["ir"][0])).alias("msg"))
+        stepped = join_back(told, a.select("id", "k", "__a"), "id", "k").select("id", "k", "batch", gru(F.col("msg"), F.col("__a"), cell, size).alias("x"), "t")
+        stepped = staged(stepped, "stepped")
+        made = stepped if made is None else made.unionByName(stepped)
+        known = known.unionByName(stepped.select("id", (F.col("k") + 1).alias("k"), "x", "t"))
+        waiting = cut(waiting.join(ready, ["id", "k"], "left_anti"))
+    if not waiting.isEmpty():
+        raise GraphError("an event has an end that has no memory")
+    if made is None:
+        return known.select("id", F.lit(None).cast("long").alias("batch"), "x", "t").where(F.lit(False))
+    return made.select("id", "batch", "x", "t")
 
 
 def event_messages(events: DataFrame, memory: DataFrame, raw: str, frequency: list[float], phase: list[float], unit: float = 1e6) -> DataFrame:

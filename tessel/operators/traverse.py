@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessel.functions.hashing import SPAN, uniform
-from tessel.plans.staging import cut
+from tessel.functions.joins import join_back
+from tessel.functions.ordering import place_within
+from tessel.plans.staging import cut, staged
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -80,49 +82,68 @@ def expand_typed(edges: dict, seeds: dict[str, DataFrame], fanouts: list[int], s
     return seen
 
 
-def ranked_neighbours(edges: DataFrame) -> DataFrame:
-    """``(at, k, n, to)``: out-edges numbered from 0 by ``(dst, e_id)``, with the out-degree."""
-    w = W.partitionBy("src")
-    return edges.select(F.col("src").alias("at"), (F.row_number().over(w.orderBy("dst", "e_id")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"), F.col("dst").alias("to"))
+def neighbour_index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(steps, degrees)``: ``steps(at, k, to)`` numbers a node's out-edges from 0 by ``(dst, e_id)``.
+
+    A hub's edges lie in many ranges of that order; ``degrees(at, n)`` has the out-degrees.
+    """
+    steps = place_within(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "e_id"), ["at"], "to", "e_id", name="k").select("at", "k", "to")
+    steps = staged(steps, "steps")
+    return steps, staged(steps.groupBy("at").agg(F.count(F.lit(1)).alias("n")), "degrees")
 
 
 def random_walk(steps: list[DataFrame], starts: DataFrame, seed: int = 0) -> DataFrame:
     """``(walk, step, id)`` of walks from ``starts(walk, id)`` over one edge table a step.
 
     Each step picks uniformly among the out-edges, parallel ones apart; after a dead end the id
-    is -1.  A walk needs one shuffle a step, keyed by where it stands.
+    is -1.  A step is a draw of an edge's number below the degree and an equi-join on it.
     """
-    ranked = {}
+    indexed = {}
     front = starts.select("walk", F.col("id").alias("at"))
     trace = front.select("walk", F.lit(0).alias("step"), F.col("at").alias("id"))
     for i, edges in enumerate(steps, 1):
-        if id(edges) not in ranked:
-            ranked[id(edges)] = cut(ranked_neighbours(edges))
-        near = ranked[id(edges)]
-        degree = near.where("k = 0").select("at", "n")
+        if id(edges) not in indexed:
+            indexed[id(edges)] = neighbour_index(edges)
+        near, degree = indexed[id(edges)]
         draw = uniform(seed, F.col("walk"), F.lit(i))
-        picked = front.join(degree, "at", "left").select("walk", "at", F.when(F.col("n").isNotNull(), draw % F.col("n")).cast("int").alias("k"))
-        moved = picked.join(near.select("at", "k", "to"), ["at", "k"], "left")
+        picked = join_back(front, degree, "at", how="left").select("walk", "at", (draw % F.col("n")).alias("k"))
+        moved = picked.join(near, ["at", "k"], "left")
         front = cut(moved.select("walk", F.coalesce("to", F.lit(-1)).alias("at")))
         trace = trace.unionByName(front.select("walk", F.lit(i).alias("step"), F.col("at").alias("id")))
     return trace
 
 
+#: Proposals of a round for each walk.
+PROPOSALS = 16
+
+
 def node2vec_walk(edges: DataFrame, starts: DataFrame, length: int, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
-    """``(walk, step, id)`` of second-order walks; weights 1/p back, 1 to out-neighbours of the last, 1/q else."""
-    near = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "e_id"))
-    pairs = near.select(F.col("at").alias("prev"), "to").distinct().withColumn("tied", F.lit(True))
+    """``(walk, step, id)`` of second-order walks; weights 1/p back, 1 to out-neighbours of the last, 1/q else.
+
+    By rejection: a uniform out-edge is proposed and taken with its weight over the largest one,
+    so a walk at a hub looks at a few of its edges.  A round has :data:`PROPOSALS` numbered
+    proposals for each walk, and the first that is taken counts; walks without one go on to the
+    next round, with new numbers.  The chance of that falls by a constant factor a round.
+    """
+    near, degree = neighbour_index(edges)
+    pairs = staged(edges.select(F.col("src").alias("prev"), F.col("dst").alias("to")).distinct(), "pairs")
+    most = max(1.0 / p, 1.0, 1.0 / q)
     trace = random_walk([edges], starts, seed)
     front = cut(trace.groupBy("walk").agg(F.max(F.when(F.col("step") == 0, F.col("id"))).alias("prev"), F.max(F.when(F.col("step") == 1, F.col("id"))).alias("at")))
     for i in range(2, length + 1):
-        options = front.join(near, "at").join(pairs, ["prev", "to"], "left")
-        weight = F.when(F.col("to") == F.col("prev"), 1.0 / p).when(F.col("tied").isNotNull(), 1.0).otherwise(1.0 / q)
-        options = options.withColumn("w", weight)
-        order = W.partitionBy("walk").orderBy("to", "e_id")
-        options = options.withColumn("run", F.sum("w").over(order)).withColumn("all", F.sum("w").over(W.partitionBy("walk")))
-        goal = uniform(seed, F.col("walk"), F.lit(i)) / F.lit(SPAN) * F.col("all")
-        picked = options.where(F.col("run") >= goal).groupBy("walk").agg(F.min_by("to", F.struct("run", "to", "e_id")).alias("next"))
-        front = cut(front.join(picked, "walk", "left").select("walk", F.col("at").alias("prev"), F.coalesce("next", F.lit(-1)).alias("at")))
+        waiting = cut(join_back(front, degree, "at"))  # walks at a dead end stay there
+        moved, first = None, 0
+        while moved is None or not waiting.isEmpty():
+            tries = waiting.withColumn("j", F.explode(F.sequence(F.lit(first), F.lit(first + PROPOSALS - 1))))
+            tries = tries.withColumn("k", uniform(seed, F.col("walk"), F.lit(i), F.col("j"), F.lit("edge")) % F.col("n"))
+            met = tries.join(near, ["at", "k"]).join(pairs.withColumn("tied", F.lit(True)), ["prev", "to"], "left")
+            weight = F.when(F.col("to") == F.col("prev"), 1.0 / p).when(F.col("tied").isNotNull(), 1.0).otherwise(1.0 / q)
+            taken = uniform(seed, F.col("walk"), F.lit(i), F.col("j"), F.lit("take")) / F.lit(SPAN) < weight / most
+            got = cut(met.where(taken).groupBy("walk").agg(F.min_by("to", "j").alias("next")))
+            moved = got if moved is None else moved.unionByName(got)
+            waiting = cut(waiting.join(got, "walk", "left_anti"))
+            first += PROPOSALS
+        front = cut(front.join(moved, "walk", "left").select("walk", F.col("at").alias("prev"), F.coalesce("next", F.lit(-1)).alias("at")))
         trace = trace.unionByName(front.select("walk", F.lit(i).alias("step"), F.col("at").alias("id")))
     return trace
 

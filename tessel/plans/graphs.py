@@ -1,24 +1,21 @@
 """Graphs over the test tables, each with the SQL that gives the same rows.
 
 ``handoff``: in the order of all events, each event's user hands on to the next event's user; the
-order is cut into ranges of time, each closed by the next one's first event, so no window spans
-the whole table.  ``copart``: within an order, each line's part leads to the next line's part.
+order is dealt by ranges of time, each closed by the next one's first event, so no window spans
+the whole table; the graph is written once a session.  ``copart``: within an order, each line's part leads to the next line's part.
 """
 
-from itertools import pairwise
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessel.functions.ranges import range_index, split_points
+from tessel.functions.ordering import in_order, task_of
 from tessel.model import PropertyGraph
+from tessel.plans.staging import staged
 from tessel.sources.tables import table
 
 #: Entries of the features that the layer queries read, and of those that other queries read.
 WIDTH, FULL = 3, 64
-#: Events of a range.
-EVENTS = 50_000
 
 SQL = {
     "users": "users AS (SELECT DISTINCT user_id AS id FROM events)",
@@ -63,19 +60,31 @@ def users(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
 
 
+#: Tables that were written for a session, by application, directory and name.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A table that costs a shuffle to build, written once for each application and directory."""
+    key = (spark.sparkContext.applicationId, str(sf), name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = staged(build(), name, keep=True)
+    return _WRITTEN[key]
+
+
 def handoff(spark: SparkSession, sf: str) -> DataFrame:
     """Hand-offs between users."""
+    return once(spark, sf, "handoff", lambda: _handoff(spark, sf))
+
+
+def _handoff(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select(F.col("event_id").alias("e_id"), F.col("user_id").alias("src"), micros("ts").alias("t"), "value")
-    ranged, after = rows.withColumn("__r", F.lit(0)), {}
-    if (n := rows.count()) > EVENTS:
-        ranged = rows.withColumn("__r", range_index(F.col("t"), split_points(rows, "t", n // EVENTS)))
-        firsts = ranged.groupBy("__r").agg(F.min_by("src", F.struct("t", "e_id")).alias("src")).orderBy("__r").collect()  # a row for each range
-        after = {a["__r"]: b["src"] for a, b in pairwise(firsts)}
-    order = W.partitionBy("__r").orderBy("t", "e_id")
-    following = F.lead("src").over(order)
-    if after:
-        following = F.coalesce(following, F.element_at(F.create_map(*[F.lit(x) for pair in after.items() for x in pair]), F.col("__r")))
-    return ranged.select("e_id", "src", following.alias("dst"), "t", "value").where("dst is not null")
+    ordered = in_order(rows, "t", "e_id").withColumn("task", task_of("at"))
+    # one row for each task: the user of the next one's first event
+    firsts = ordered.groupBy("task").agg(F.min_by("src", "at").alias("src"))
+    after = firsts.select("task", F.lead("src").over(W.orderBy("task")).alias("after"))
+    following = F.coalesce(F.lead("src").over(W.partitionBy("task").orderBy("at")), F.col("after"))
+    return ordered.join(F.broadcast(after), "task").select("e_id", "src", following.alias("dst"), "t", "value").where("dst is not null")
 
 
 def feat(spark: SparkSession, sf: str, width: int = WIDTH) -> DataFrame:

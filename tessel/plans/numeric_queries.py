@@ -252,9 +252,9 @@ layer("rel_attention", f"SELECT id, {shown(plus(lin(X, W3), cols('a.m'), cols('b
 
 _CELL = {k: weight(3, 3, i) for i, k in enumerate(("ir", "iz", "in", "hr", "hz", "hn"))}
 
-def gru_sql(x: list[str], h: list[str]) -> list[str]:
-    """One step of the gated unit with the fixed cell."""
-    part = {k: lin(x if k[0] == "i" else h, w) for k, w in _CELL.items()}
+def gru_sql(x: list[str], h: list[str], cell: dict | None = None) -> list[str]:
+    """One step of the gated unit with the fixed cell, or another."""
+    part = {k: lin(x if k[0] == "i" else h, w) for k, w in (cell or _CELL).items()}
     r = [SIGM.format(c) for c in plus(part["ir"], part["hr"])]
     z = [SIGM.format(c) for c in plus(part["iz"], part["hz"])]
     n = [f"tanh({a} + {b} * {c})" for a, b, c in zip(part["in"], r, part["hn"], strict=True)]
@@ -298,14 +298,16 @@ attended("tgat", f"{dotted(lin(XD + ['cos(0.0)', 'cos(0.5)'], weight(3, 5)), lin
 @query("adjacency_csr", views("users", "handoff") + """SELECT id AS major, CAST(sum(n) OVER (ORDER BY id) - n AS BIGINT) AS first, n, total FROM (
  SELECT u.id, CAST(count(e_id) AS INTEGER) AS n, CAST(coalesce(sum(dst), 0) AS BIGINT) AS total FROM users u LEFT JOIN handoff ON src = u.id GROUP BY u.id)""")
 def adjacency_csr(spark, sf):
-    layout = sparse.compressed(sparse.adjacency(g.handoff(spark, sf)), g.users(spark, sf))
-    return layout.select("major", "first", "n", F.aggregate("minors", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+    pointers, blocks = sparse.compressed(sparse.adjacency(g.handoff(spark, sf)), g.users(spark, sf), cells=16)
+    part = blocks.select("major", F.aggregate("minors", F.lit(0).cast("long"), lambda a, v: a + v).alias("part"))
+    totals = part.groupBy("major").agg(F.sum("part").alias("total"))
+    return pointers.join(totals, "major", "left").select("major", "first", F.col("n").cast("int").alias("n"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
 @query("adjacency_csc", views("users", "handoff") + "SELECT src AS row, dst AS col, e_id FROM handoff")
 def adjacency_csc(spark, sf):
-    layout = sparse.compressed(sparse.adjacency(g.handoff(spark, sf)), g.users(spark, sf), by="col")
-    return sparse.uncompressed(layout, by="col").select("row", "col", "e_id")
+    blocks = sparse.compressed(sparse.adjacency(g.handoff(spark, sf)), g.users(spark, sf), by="col")[1]
+    return sparse.uncompressed(blocks, by="col").select("row", "col", "e_id")
 
 
 @query("incidence_both", views("handoff", more="r AS (SELECT *, row_number() OVER (ORDER BY e_id) - 1 AS c FROM handoff)") + "SELECT src AS row, c AS col, -1.0 AS value FROM r WHERE src <> dst UNION ALL SELECT dst, c, 1.0 FROM r WHERE src <> dst")
@@ -353,6 +355,12 @@ def spmm(spark, sf):
     return rounded(out, "x")
 
 
+@query("spmm_blocks", views("handoff", "feat") + f"SELECT u.id, {', '.join(f'round(coalesce(sum(s.x{i} * e.value), 0), 5) + 0.0 AS x{i}' for i in D)} FROM users u LEFT JOIN handoff e ON e.src = u.id LEFT JOIN feat s ON s.id = e.dst GROUP BY u.id")
+def spmm_blocks(spark, sf):
+    blocks = sparse.compressed(sparse.adjacency(g.handoff(spark, sf), "value"), g.users(spark, sf), cells=32)[1]
+    return rounded(sparse.spmm(sparse.uncompressed(blocks), g.feat(spark, sf), g.users(spark, sf), WIDTH), "x")
+
+
 @query("sddmm", views("handoff", "feat") + f"SELECT e_id, round({dotted(XS, XD)}, 5) + 0.0 AS value FROM handoff e JOIN feat s ON s.id = e.src JOIN feat d ON d.id = e.dst")
 def sddmm(spark, sf):
     x = g.feat(spark, sf)
@@ -518,6 +526,42 @@ def memory_replay(spark, sf):
     return temporal.replay(events, decay=0.371377).select("id", "batch", F.round("state", 4).alias("state"))
 
 
+#: Batches of the hand-offs by time, and a cell for messages of two memories, a raw value and a time.
+_BATCHES = 5
+_WIDE_CELL = {k: weight(3, 8 if k[0] == "i" else 3, i) for i, k in enumerate(("ir", "iz", "in", "hr", "hz", "hn"))}
+_SPAN = f"sp AS (SELECT min(t) AS lo, max(t) AS hi FROM handoff), bt AS (SELECT e_id, src, dst, t, value / 100 AS raw, CAST((t - lo) * {_BATCHES} // (hi - lo + 1) AS BIGINT) AS batch FROM handoff, sp)"
+
+
+def _memories_sql(aggregate: str) -> str:
+    """One clause a batch: the memory of all nodes after it."""
+    out = _SPAN + ", y0 AS (SELECT id, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0::BIGINT AS t, false AS hit FROM users)"
+    parts = [f"a.x{i}" for i in D] + [f"b.x{i}" for i in D] + ["e.raw", "cos((e.t - a.t) / 1e6 * 1e-7 + 0.3)"]
+    for k in range(_BATCHES):
+        ends = f"SELECT src AS id, dst AS other, t, raw, e_id * 2 AS pos FROM bt WHERE batch = {k} UNION ALL SELECT dst, src, t, raw, e_id * 2 + 1 FROM bt WHERE batch = {k}"
+        if aggregate == "last":
+            ends = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC, pos) AS n FROM ({ends})) WHERE n = 1"
+        told = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(parts))
+        out += f""",\nz{k} AS MATERIALIZED (SELECT e.id, max(e.t) AS t, {told} FROM ({ends}) e JOIN y{k} a ON a.id = e.id JOIN y{k} b ON b.id = e.other GROUP BY e.id),
+y{k + 1} AS MATERIALIZED (SELECT y.id, {", ".join(f"CASE WHEN z.id IS NULL THEN y.x{i} ELSE {c} END AS x{i}" for i, c in enumerate(gru_sql([f"z.m{i}" for i in range(8)], [f"y.x{i}" for i in D], _WIDE_CELL)))}, coalesce(z.t, y.t) AS t, z.id IS NOT NULL AS hit FROM y{k} y LEFT JOIN z{k} z USING (id))"""
+    return out
+
+
+def _memories(aggregate):
+    def run(spark, sf):
+        events = g.handoff(spark, sf)
+        lo, hi = events.agg(F.min("t"), F.max("t")).first()
+        events = events.withColumn("batch", F.expr(f"(t - {lo}L) * {_BATCHES} div {hi - lo + 1}L")).withColumn("raw", F.array(F.col("value") / 100))
+        memory = g.users(spark, sf).select("id", F.array(*[F.lit(0.0)] * WIDTH).alias("x"), F.lit(0).cast("long").alias("t"))
+        out = temporal.memory_over_batches(events, memory, _WIDE_CELL, WIDTH, [1e-7], [0.3], aggregate)
+        return rounded(out, "x", keep=("id", "batch", "t"))
+
+    return run
+
+
+for _kind in ("last", "mean"):
+    query(f"memory_batches_{_kind}", views("users", "handoff", more=_memories_sql(_kind)) + " UNION ALL ".join(f"SELECT id, CAST({k} AS BIGINT) AS batch, t, {shown(X, 'x')} FROM y{k + 1} WHERE hit" for k in range(_BATCHES)))(_memories(_kind))
+
+
 # partitions
 
 _PART = "placed AS (SELECT e_id, src, dst, src // s AS a, dst // s AS b FROM copart, (SELECT CAST(ceil(count(*) / 8.0) AS BIGINT) AS s FROM part))"

@@ -49,27 +49,27 @@ def enumerate_srcdst(spark, sf):
 
 
 def _asked(spark, sf):
-    return g.handoff(spark, sf).where("e_id % 7 = 0").select((F.col("e_id") * 10).alias("pos"), "e_id", "src", "dst")
+    return g.handoff(spark, sf).select((F.col("e_id") * 10).alias("pos"), "e_id", "src", "dst")
 
 
-@query("edges_by_id", views("handoff") + "SELECT e_id * 10 AS pos, e_id, src, dst FROM handoff WHERE e_id % 7 = 0")
+@query("edges_by_id", views("handoff") + "SELECT e_id * 10 AS pos, e_id, src, dst FROM handoff")
 def edges_by_id(spark, sf):
     return lookup.find_edges(g.handoff(spark, sf), _asked(spark, sf).select("pos", "e_id"))
 
 
-@query("edges_between", views("handoff") + "SELECT a.e_id * 10 AS pos, a.src, a.dst, min(b.e_id) AS e_id FROM handoff a JOIN handoff b USING (src, dst) WHERE a.e_id % 7 = 0 GROUP BY ALL")
+@query("edges_between", views("handoff") + "SELECT a.e_id * 10 AS pos, a.src, a.dst, min(b.e_id) AS e_id FROM handoff a JOIN handoff b USING (src, dst) GROUP BY ALL")
 def edges_between(spark, sf):
     return lookup.edge_ids(g.handoff(spark, sf), _asked(spark, sf).select("pos", "src", "dst"))
 
 
-@query("edges_between_all", views("handoff") + "SELECT a.e_id * 10 AS pos, a.src, a.dst, b.e_id FROM handoff a JOIN handoff b USING (src, dst) WHERE a.e_id % 7 = 0")
+@query("edges_between_all", views("handoff") + "SELECT a.e_id * 10 AS pos, a.src, a.dst, b.e_id FROM handoff a JOIN handoff b USING (src, dst)")
 def edges_between_all(spark, sf):
     return lookup.edge_ids(g.handoff(spark, sf), _asked(spark, sf).select("pos", "src", "dst"), every=True)
 
 
-@query("edge_exists", views("handoff") + """SELECT a.e_id AS pos, a.src, a.dst + 1 AS dst, EXISTS (SELECT 1 FROM handoff b WHERE b.src = a.src AND b.dst = a.dst + 1) AS found FROM handoff a WHERE a.e_id % 7 = 0""")
+@query("edge_exists", views("handoff") + """SELECT a.e_id AS pos, a.src, a.dst + 1 AS dst, EXISTS (SELECT 1 FROM handoff b WHERE b.src = a.src AND b.dst = a.dst + 1) AS found FROM handoff a""")
 def edge_exists(spark, sf):
-    asked = g.handoff(spark, sf).where("e_id % 7 = 0").select(F.col("e_id").alias("pos"), "src", (F.col("dst") + 1).alias("dst"))
+    asked = g.handoff(spark, sf).select(F.col("e_id").alias("pos"), "src", (F.col("dst") + 1).alias("dst"))
     return lookup.has_edges(g.handoff(spark, sf), asked)
 
 
@@ -268,22 +268,23 @@ def walk3(spark, sf):
 
 @query("metapath_walk", views("li", more=f"""n1 AS (SELECT o_custkey AS here, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderkey AS too FROM orders),
 n2 AS (SELECT l_orderkey AS here, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, e_id) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey AS too FROM li),
-w0 AS (SELECT c_custkey AS walk, c_custkey AS here FROM customer WHERE c_custkey % 20 = 0),
+w0 AS (SELECT c_custkey AS walk, c_custkey AS here FROM customer),
 w1 AS (SELECT w.walk, coalesce(b.too, -1) AS here FROM w0 w LEFT JOIN n1 a ON a.here = w.here AND a.k = 0 LEFT JOIN n1 b ON b.here = w.here AND b.k = {uniform_sql(3, 'w.walk', '1')} % a.n),
 w2 AS (SELECT w.walk, coalesce(b.too, -1) AS here FROM w1 w LEFT JOIN n2 a ON a.here = w.here AND a.k = 0 LEFT JOIN n2 b ON b.here = w.here AND b.k = {uniform_sql(3, 'w.walk', '2')} % a.n)""")
        + " UNION ALL ".join(f"SELECT walk, {i} AS step, here AS id FROM w{i}" for i in range(3)))
 def metapath_walk(spark, sf):
     e = {k[1]: v for k, v in g.commerce(spark, sf).edges.items()}
-    starts = g.table(spark, sf, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("walk"), F.col("c_custkey").alias("id"))
+    starts = g.table(spark, sf, "customer").select(F.col("c_custkey").alias("walk"), F.col("c_custkey").alias("id"))
     return traverse.random_walk([e["places"], e["contains"]], starts, seed=3)
 
 
 @query("node2vec3", views("parts", "copart", more=_walk_sql(1) + f""",
-o AS (SELECT walk, walk AS prev, w1.here AS here FROM w1),
-opt AS (SELECT o.walk, o.prev, c.dst, c.e_id, CASE WHEN c.dst = o.prev THEN 0.5 WHEN EXISTS (SELECT 1 FROM copart z WHERE z.src = o.prev AND z.dst = c.dst) THEN 1.0 ELSE 0.25 END AS w FROM o JOIN copart c ON c.src = o.here),
-run AS (SELECT *, sum(w) OVER (PARTITION BY walk ORDER BY dst, e_id) AS r, sum(w) OVER (PARTITION BY walk) AS a FROM opt),
-got AS (SELECT walk, arg_min(dst, r) AS nxt FROM run WHERE r >= {uniform_sql(2, 'walk', '2')} / {SPAN} * a GROUP BY walk)""")
-       + "SELECT walk, 0 AS step, here AS id FROM w0 UNION ALL SELECT walk, 1, here FROM w1 UNION ALL SELECT o.walk, 2, coalesce(nxt, -1) FROM o LEFT JOIN got USING (walk)")
+d AS (SELECT src AS here, count(*) AS n FROM copart GROUP BY 1),
+o AS (SELECT walk, walk AS prev, w1.here AS here, j, d.n FROM w1 JOIN d ON d.here = w1.here, unnest(range(320)) r(j)),
+opt AS (SELECT o.walk, o.j, near.too, CASE WHEN near.too = o.prev THEN 0.5 WHEN z.src IS NOT NULL THEN 1.0 ELSE 0.25 END AS w FROM o JOIN near ON near.here = o.here AND near.k = {uniform_sql(2, 'o.walk', '2', 'o.j', "'edge'")} % o.n
+ LEFT JOIN (SELECT DISTINCT src, dst FROM copart) z ON z.src = o.prev AND z.dst = near.too),
+got AS (SELECT walk, arg_min(too, j) AS nxt FROM opt WHERE {uniform_sql(2, 'walk', '2', 'j', "'take'")} / {SPAN} < w GROUP BY walk)""")
+       + "SELECT walk, 0 AS step, here AS id FROM w0 UNION ALL SELECT walk, 1, here FROM w1 UNION ALL SELECT w1.walk, 2, coalesce(nxt, -1) FROM w1 LEFT JOIN got USING (walk)")
 def node2vec3(spark, sf):
     starts = g.parts(spark, sf).where("id % 50 = 0").select(F.col("id").alias("walk"), "id")
     return traverse.node2vec_walk(g.copart(spark, sf), starts, 2, p=2.0, q=4.0, seed=2)
@@ -351,12 +352,12 @@ def supervision_removed(spark, sf):
     return subgraph.without_supervision(edges, edges.where("e_id % 11 = 0")).select("e_id", "src", "dst")
 
 
-_EVENTS = "ev AS (SELECT e_id AS q, src, dst, t FROM handoff WHERE e_id % 20 = 0)"
+_EVENTS = "ev AS (SELECT e_id AS q, src, dst, t FROM handoff)"
 _DAY = 86_400_000_000
 
 
 def _events(spark, sf):
-    return g.handoff(spark, sf).where("e_id % 20 = 0").select(F.col("e_id").alias("q"), "src", "dst", "t")
+    return g.handoff(spark, sf).select(F.col("e_id").alias("q"), "src", "dst", "t")
 
 
 @query("history_strict", views("handoff", more=_EVENTS) + "SELECT q, e_id FROM ev JOIN handoff h ON h.src = ev.src WHERE h.t < ev.t")
