@@ -7,17 +7,23 @@ which gives a table: two fingerprints that agree on a whole mask share a key in
 * ``covering_masks(radius)``: every bit position gets a non-zero vector of ``radius + 1`` bits,
   and for each non-zero vector v there is a mask of the positions with an odd inner product with
   v.  The vectors of at most ``radius`` positions span too little to leave every v out.
-* ``band_masks(bands, intact)``: the 64 bits are cut into bands, and there is a mask for every
-  choice of ``intact`` bands.  Differences in ``bands - intact`` bits leave one choice untouched.
+* ``line_masks(band, groups)``: each group of bits is cut into 15 bands, the points of the
+  projective space of dimension 3 over two elements, and there is a mask for each of its 35 lines
+  of three bands.  Nine untouched bands always hold a line, so 6 differences in a group, and
+  ``7 * groups - 1`` in all, leave one mask untouched.
 
 Either way no pair within the radius is missed.  What shares a key is verified by the number of
-differing bits.  Distinct fingerprints only are compared, so copies cost nothing; a bucket over a
+differing bits of the whole fingerprint.  Distinct fingerprints only are compared, so copies cost nothing; a bucket over a
 block is dealt out as pairs of chunks, and a block gives the links that connect its rows, never
 all pairs.  A pair that meets in several tables counts in the first.
 
 ``near_duplicates`` links fingerprints within ``radius`` bits.  ``deduplicate`` works at a Jaccard
-similarity of word shingles: the candidates' components are what is compared, text by text, by
-the exact similarity of their shingle sets, again in blocks.
+similarity of word shingles, which differ in 15 of 100 bits on average, far beyond a radius that
+masks can cover.  Bands grow with the logarithm of the corpus, so a text meets a bounded number of
+others by chance, and groups are added until the chance that a pair just at the similarity meets
+is at least :data:`RECALL`, by an exact count over the subsets of a group's bands.  Fingerprints
+of several words tell such pairs from chance ones; the components of the pairs that pass are then
+compared, text by text, by the exact similarity of their shingle sets, again in blocks.
 
 Words are split at ASCII white space after A-Z are lower-cased.  Null and empty texts have the
 fingerprint 0 and are linked like any other; texts shorter than a shingle have one shingle, the
@@ -25,8 +31,10 @@ whole sequence; texts without words are alike.  Repeated rows share a class.  Ot
 ignored or, in ``deduplicate``, kept; an empty table gives no rows.
 """
 
+import math
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +53,10 @@ SEED = 42
 BLOCK = 2048
 #: Words of a shingle and least similarity of ``deduplicate``.
 SHINGLE, SIMILARITY = 5, (4, 5)
-#: Of the 8 bands of each half of a 128-bit fingerprint, any two make a table: every pair within
-#: 6 bits of a half, so within 13 bits in all, meets.  Texts at the least similarity differ in
-#: 19 bits on average, with a deviation of 4, and are compared up to 36.
-BANDS, INTACT, WIDEST = 8, 2, 36
+#: Bands of a group; chance of a pair at the least similarity to meet; others a text meets by chance.
+POINTS, RECALL, CHANCE = 15, 0.96, 1024
+#: The pairs compared differ in so many deviations above the mean of texts at the least similarity.
+DEVIATIONS = 4.1
 #: Documents and characters compared exactly at a time.
 TEXTS, CHARACTERS = 512, 2_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -82,11 +90,22 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int.from_bytes(majority(b"".join([hashed(s, SEED) for s in shingles(text, shingle)]), 8), "big")
 
 
-def wide_fingerprint(text: str, shingle: int = SHINGLE) -> tuple[int, int]:
-    """The 128-bit fingerprint of one text, as two unsigned numbers."""
+def wide_fingerprint(text: str, words: int, shingle: int = SHINGLE) -> np.ndarray:
+    """A fingerprint of ``64 * words`` bits; words after the second mix the first two of each hash."""
     hashed = xxhash.xxh3_128_digest
-    bits = majority(b"".join([hashed(s, SEED) for s in shingles(text, shingle)]), 16)
-    return int.from_bytes(bits[:8], "big"), int.from_bytes(bits[8:], "big")
+    found = shingles(text, shingle)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(found), 8192):
+        pair = np.frombuffer(b"".join([hashed(s, SEED) for s in found[at : at + 8192]]), np.uint64).reshape(-1, 2)
+        rows = np.empty((len(pair), words), np.uint64)
+        rows[:, :2] = pair[:, :words]
+        for w in range(2, words):
+            h = pair[:, w & 1] + pair[:, 1 - (w & 1)] * np.uint64(2 * w + 1)
+            h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            rows[:, w] = h ^ h >> np.uint64(31)
+        ones += np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -111,11 +130,58 @@ def covering_masks(radius: int = 2, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i in range(bits) if ((i % n + 1) & v).bit_count() & 1) for v in range(1, n + 1)]
 
 
-def band_masks(bands: int = BANDS, intact: int = INTACT, bits: int = BITS) -> list[int]:
-    """The masks of every choice of ``intact`` bands."""
-    cuts = [bits * i // bands for i in range(bands + 1)]
-    each = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(chosen) for chosen in combinations(each, intact)]
+def lines() -> list[tuple[int, int, int]]:
+    """The lines of the projective space: three bands whose numbers, from 1, have the exclusive or 0."""
+    return [(i, j, i ^ j) for i in range(1, POINTS + 1) for j in range(i + 1, POINTS + 1) if i ^ j > j]
+
+
+def line_masks(band: int, groups: int) -> list[tuple[int, ...]]:
+    """The masks of the lines of every group, each a tuple of 64-bit words."""
+    words = -(-POINTS * band * groups // 64)
+    out = []
+    for g in range(groups):
+        for line in lines():
+            whole = sum(((1 << band) - 1) << (g * POINTS + i - 1) * band for i in line)
+            out.append(tuple(whole >> 64 * w & (1 << 64) - 1 for w in range(words)))
+    return out
+
+
+def differing(least: tuple[int, int] = SIMILARITY) -> float:
+    """The share of bits that differ, on average, between texts at that Jaccard similarity."""
+    part, whole = least
+    return math.acos(2 * part / (part + whole)) / math.pi
+
+
+@lru_cache
+def _holding() -> list[int]:
+    """By size: the sets of bands that hold a line."""
+    masks = [sum(1 << i - 1 for i in line) for line in lines()]
+    sets = np.arange(1 << POINTS)
+    held = np.zeros(len(sets), bool)
+    for m in masks:
+        held |= sets & m == m
+    return np.bincount(np.bitwise_count(sets)[held], minlength=POINTS + 1).tolist()
+
+
+def meeting(band: int, least: tuple[int, int] = SIMILARITY) -> float:
+    """The chance that two texts at a similarity share a key in a group."""
+    p = (1 - differing(least)) ** band
+    return sum(n * p**k * (1 - p) ** (POINTS - k) for k, n in enumerate(_holding()))
+
+
+def layout(n: int, recall: float = RECALL, chance: float = CHANCE) -> tuple[int, int]:
+    """``(band, groups)`` for so many texts: the narrowest bands that keep chance meetings bounded."""
+    for band in range(4, 21):
+        groups = math.ceil(math.log(1 - recall) / math.log(1 - meeting(band)))
+        if n * len(lines()) * groups <= chance * 2.0 ** (3 * band):
+            break
+    return band, groups
+
+
+def widest(bits: int, least: tuple[int, int] = SIMILARITY) -> int:
+    """The differing bits up to which two fingerprints are candidates for that similarity."""
+    share = differing(least)
+    return round(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
 
 def _signed(n: int) -> int:
@@ -156,50 +222,56 @@ def _cut_groups(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def collisions(distinct: DataFrame, tables: list[tuple[int, int]], within: int, block: int = BLOCK) -> DataFrame:
-    """``(src, dst)`` arrays of words: links that connect all fingerprints of at most ``within``
+def collisions(distinct: DataFrame, tables: list[tuple[int, ...]], within: int, block: int = BLOCK) -> DataFrame:
+    """``(src0, src1, .. dst0, dst1, ..)``: links that connect all fingerprints of at most ``within``
     differing bits that share a key in some table.
 
-    ``distinct`` has one or more long columns, the words of a fingerprint; a table is the number
-    of a word and a mask of it.
+    ``distinct`` has one or more long columns, the words of a fingerprint; a table is a tuple of
+    masks, one for each word.  A row of a bucket has the hash of the table and key, which is what
+    it is dealt by, the table and the chunk in one number, and the words.
     """
     words = distinct.columns
-    keys = [F.struct(F.lit(t).alias("t"), F.col(words[w]).bitwiseAND(F.lit(_signed(m))).alias("key")) for t, (w, m) in enumerate(tables)]
-    rows = distinct.select(*words, F.explode(F.array(*keys)).alias("x")).select("x.t", "x.key", *words)
-    full = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    full = staged(full.select("t", "key", F.ceil(F.col("n") / F.lit(block // 2)).cast("int").alias("chunks")), "full-buckets")
-    rows = rows.join(full, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64(F.lit("chunk"), *words), F.col("chunks").cast("long")).cast("int")
+    masked = [[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, masks, strict=True) if m] for masks in tables]
+    keys = F.array(*[F.xxhash64(F.lit(t), *parts) for t, parts in enumerate(masked)])
+    rows = distinct.select(*words, F.posexplode(keys).alias("t", "key"))
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    full = staged(full.select("key", F.ceil(F.col("n") / F.lit(block // 2)).cast("int").alias("chunks")), "full-buckets")
+    rows = rows.join(full, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    mine = F.pmod(F.xxhash64(F.lit("chunk"), *words), F.col("chunks").cast("long"))
     # a chunk meets every chunk: the pair is named by its two numbers, and the own chunk meets itself
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("t", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", *words)
-    order = ["t", "key", "a", "b"]
-    rows = rows.repartition(*order).sortWithinPartitions(*order)
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
+    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    of_pair = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    # which side of its pair of chunks a row is on: 0 both, 1 the first, 2 the second
+    rows = rows.select(F.when(F.col("chunks") > 1, pair).otherwise(F.col("key")).alias("bucket"), (F.col("t") * 4 + of_pair).alias("t"), *words)
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
 
     def compare(batches):
-        for whole in _cut_groups(batches, order):
+        for whole in _cut_groups(batches, ["bucket"]):
             n = whole.num_rows
-            t, key, a, b, mine = (whole.column(c).to_numpy() for c in (*order, "mine"))
+            bucket, packed = whole.column("bucket").to_numpy(), whole.column("t").to_numpy()
+            t, side = packed >> 2, packed & 3
             bits = np.stack([whole.column(w).to_numpy() for w in words]).view(np.uint64)
-            fresh = np.ones(n, bool)
-            fresh[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            group = np.cumsum(fresh)
             left, right = [], []
             first = np.arange(n)
             step = 0
             while len(first):
                 step += 1
                 first = first[first + step < n]
-                first = first[group[first] == group[first + step]]
+                first = first[bucket[first] == bucket[first + step]]
                 i, j = first, first + step
                 near = np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0) <= within
-                near &= (a[i] == b[i]) | (mine[i] != mine[j])  # between the two chunks of a pair
+                near &= (t[i] == t[j]) & ((side[i] == 0) | (side[i] != side[j]))  # between the two chunks of a pair
                 i, j = i[near], j[near]
                 if not len(i):
                     continue
-                new = np.ones(len(i), bool)
-                for k, (w, m) in enumerate(tables[:-1]):  # met before
-                    new &= (t[i] <= k) | ((bits[w, i] ^ bits[w, j]) & np.uint64(m) != 0)
+                new, apart = np.ones(len(i), bool), bits[:, i] ^ bits[:, j]
+                for k, masks in enumerate(tables[:-1]):  # met before
+                    other = np.zeros(len(i), bool)
+                    for w, m in enumerate(masks):
+                        if m:
+                            other |= apart[w] & np.uint64(m) != 0
+                    new &= (t[i] <= k) | other
                 left.append(i[new])
                 right.append(j[new])
             if left:
@@ -212,6 +284,21 @@ def collisions(distinct: DataFrame, tables: list[tuple[int, int]], within: int,
     return rows.mapInArrow(compare, ", ".join(f"{side}{w} long" for side in ("src", "dst") for w in range(len(words))))
 
 
+def bundled(links: DataFrame, rounds: int = 3) -> DataFrame:
+    """Fewer links ``(src, dst)``, of larger to smaller, with the same components.
+
+    A fingerprint has a link for every table and chunk at most; its partners are linked to the
+    smallest of them instead, which many fingerprints have in common.
+    """
+    for _ in range(rounds):
+        links = staged(links.distinct(), "bundled")
+        low = links.groupBy("src").agg(F.min("dst").alias("low"))
+        met = join_back(links, low, "src")
+        moved = met.where(F.col("dst") > F.col("low")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        links = moved.unionByName(low.select("src", F.col("low").alias("dst")))
+    return links.distinct()
+
+
 def bundled(links: DataFrame, rounds: int = 3) -> DataFrame:
     """Fewer links ``(src, dst)`` with the same components.
 
@@ -233,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marks = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = staged(marks.groupBy("bits").agg(F.min(id_col).alias("low")), "simhash-bits")
-    links = collisions(classes.select("bits"), [(0, m) for m in covering_masks(radius)], radius)
+    links = collisions(classes.select("bits"), [(m,) for m in covering_masks(radius)], radius)
     roots = star_components(bundled(links.select(F.greatest("src0", "dst0").alias("src"), F.least("src0", "dst0").alias("dst"))))
     classes = classes.join(roots.select(F.col("id").alias("bits"), F.col("component").alias("root")), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -303,17 +390,18 @@ def similar(members: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(compare, "src string, dst string")
 
 
-def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(id, digest, chars, b0, b1)``: md5, length and wide fingerprint of every text."""
+def _marks(docs: DataFrame, id_col: str, text_col: str, words: int, shingle: int) -> DataFrame:
+    """``(id, digest, chars, b0, b1, ..)``: md5, length and wide fingerprint of every text."""
+    names = [f"b{w}" for w in range(words)]
 
     def run(batches):
         for part in (p for batch in batches for p in slices(batch)):
-            bits = np.array([wide_fingerprint(t, shingle) for t in part.column(3).to_pylist()], np.uint64).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], [id_col, "digest", "chars", "b0", "b1"])
+            bits = np.stack([wide_fingerprint(t, words, shingle) for t in part.column(3).to_pylist()]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array(bits[:, w].copy()) for w in range(words)]], [id_col, "digest", "chars", *names])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), digest_of(text_col).alias("digest"), F.length(text).cast("long").alias("chars"), text.alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, digest string, chars long, b0 long, b1 long")
+    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, digest string, chars long, " + ", ".join(f"{n} long" for n in names))
 
 
 def digest_of(text_col: str) -> Column:
@@ -327,12 +415,14 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Groups are the components of the links between texts whose shingle sets have a Jaccard
     similarity of at least 0.8, among those that the tables connect.
     """
-    marks = _marks(docs, id_col, text_col, shingle)
-    node = F.xxhash64("b0", "b1")  # what shares a hash is compared exactly all the same
-    texts = staged(marks.groupBy("digest", "chars", "b0", "b1").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("rows")), "texts")
-    tables = [(w, m) for w in (0, 1) for m in band_masks()]
-    met = collisions(texts.select("b0", "b1").distinct(), tables, WIDEST)
-    ends = F.xxhash64("src0", "src1"), F.xxhash64("dst0", "dst1")
+    tables = line_masks(*layout(docs.count()))
+    words = len(tables[0])
+    names = [f"b{w}" for w in range(words)]
+    marks = _marks(docs, id_col, text_col, words, shingle)
+    node = F.xxhash64(*names)  # what shares a hash is compared exactly all the same
+    texts = staged(marks.groupBy("digest", "chars", *names).agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("rows")), "texts")
+    met = collisions(texts.select(*names).distinct(), tables, widest(64 * words))
+    ends = F.xxhash64(*[f"src{w}" for w in range(words)]), F.xxhash64(*[f"dst{w}" for w in range(words)])
     roots = star_components(bundled(met.select(F.greatest(*ends).alias("src"), F.least(*ends).alias("dst"))))
     roots = roots.select(F.col("id").alias("node"), F.col("component").alias("met"))
     grouped = texts.withColumn("node", node).join(roots, "node", "left").select("digest", "low", "chars", F.coalesce("met", "node").alias("group"))

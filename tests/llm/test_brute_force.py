@@ -79,21 +79,53 @@ def test_collisions_in_blocks_find_every_component(spark, block, radius):
         for _ in range(25):  # dense: every bucket outgrows a small block
             values.append(v ^ sum(1 << int(i) for i in rng.choice(64, int(rng.integers(0, 5)), replace=False)) if v else v)
     values = sorted({v - (1 << 64) if v >> 63 else v for v in values})
-    met = simhash.collisions(spark.createDataFrame([(v,) for v in values], "bits long"), [(0, m) for m in simhash.covering_masks(radius)], radius, block)
+    met = simhash.collisions(spark.createDataFrame([(v,) for v in values], "bits long"), [(m,) for m in simhash.covering_masks(radius)], radius, block)
     links = {(r["src0"], r["dst0"]) for r in met.collect()}
     far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
     assert components(values, lambda a, b: (a, b) in links or (b, a) in links) == components(values, lambda a, b: far(a, b) <= radius)
 
 
-def test_bands_meet_every_pair_within_six_bits():
+@pytest.mark.parametrize(("band", "groups"), [(4, 2), (5, 2), (7, 3)])
+def test_lines_meet_every_pair_within_the_radius(band, groups):
+    """Differences are put where they hit as many bands as they can, evenly over the groups."""
     rng = np.random.default_rng(1)
-    masks = simhash.band_masks()
-    assert len(masks) == 28
-    for _ in range(500):
-        d = sum(1 << int(i) for i in rng.choice(64, 6, replace=False))
+    masks = [sum(m << 64 * w for w, m in enumerate(t)) for t in simhash.line_masks(band, groups)]
+    assert len(masks) == 35 * groups and all(m.bit_count() == 3 * band for m in masks)
+    for _ in range(300):
+        hit = [(g, int(i)) for g in range(groups) for i in rng.choice(15, 7 if g else 6, replace=False)]
+        d = sum(1 << (g * 15 + i) * band + int(rng.integers(band)) for g, i in hit)
         assert any(not d & m for m in masks)
 
 
+def test_bands_widen_with_the_corpus():
+    for n in (1, 10**4, 10**6, 10**9, 10**12):
+        band, groups = simhash.layout(n)
+        assert n * 35 * groups <= simhash.CHANCE * 2 ** (3 * band) and 1 - (1 - simhash.meeting(band)) ** groups >= simhash.RECALL
+
+
+@pytest.mark.parametrize(("words", "n"), [(500, 10**5), (1000, 10**5), (1000, 10**6), (300, 10**3)])
+def test_recall_just_at_the_least_similarity(words, n):
+    """Made-up pairs of texts with a Jaccard similarity of 0.80 to 0.81, by the tables for n texts."""
+    rng = np.random.default_rng(words)
+    tables = np.array(simhash.line_masks(*simhash.layout(n)), np.uint64)
+    width, met, within = tables.shape[1], 0, 0
+    pairs = 200
+    for k in range(pairs):
+        a = [f"{k}-{x}" for x in rng.integers(0, 10**6, words)]
+        b = list(a)
+        whole = set(shingled(" ".join(a), 5))
+        for i in rng.permutation(words):
+            c = [*b[:i], "other", *b[i + 1 :]]
+            mine = set(shingled(" ".join(c), 5))
+            if 5 * len(whole & mine) < 4 * len(whole | mine):
+                break
+            b = c
+        apart = simhash.wide_fingerprint(" ".join(a), width) ^ simhash.wide_fingerprint(" ".join(b), width)
+        met += bool((apart & tables == 0).all(axis=1).any())
+        within += int(np.bitwise_count(apart).sum()) <= simhash.widest(64 * width)
+    assert met >= 0.93 * pairs and within == pairs
+
+
 def test_deduplicate_by_exact_similarity(spark):
     texts = near_copies(80, 3)
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, label string")

@@ -65,7 +65,7 @@ def test_covering_masks_meet_every_pair():
 
 def test_simhash_chain_of_two_bit_steps(spark):
     values = [0, 3, 15, 63, 1 << 40, (1 << 40) | 7 << 50, -1, -1 ^ 5]
-    met = simhash.collisions(spark.createDataFrame([(v,) for v in values], "bits long"), [(0, m) for m in simhash.covering_masks(2)], 2)
+    met = simhash.collisions(spark.createDataFrame([(v,) for v in values], "bits long"), [(m,) for m in simhash.covering_masks(2)], 2)
     links = met.toDF("src", "dst")
     from tessel.operators.components import star_components
 
