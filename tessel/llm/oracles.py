@@ -1,6 +1,7 @@
 """SQL twins, for DuckDB, of the corpus queries that SQL can express."""
 
-from tessel.llm import embdedup, urlfilter
+from tessel.functions.hashing import SPAN, uniform_sql
+from tessel.llm import embdedup, mixing, urlfilter
 
 #: Base32 of a SHA-1: five hex digits are four signs.
 OP8 = """
@@ -80,4 +81,31 @@ SELECT page_id, host, path, rule, coalesce(fit.said, met.said, 'allow') AS verdi
 FROM tok LEFT JOIN fit USING (k) LEFT JOIN met ON met.url = tok.url AND met.place = 1
 """
 
-ORACLES = {"op7_url_filter": OP7, "op8_warc": OP8, "op9_embedding_dedup": OP9}
+_HEX = "CAST('0x' || substr(h, {at}, 8) AS BIGINT)"
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS s, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+     r AS (SELECT *, length(s) AS n, {", ".join(f"{_HEX.format(at=8 * i + 1)} AS h{i + 1}" for i in range(4))} FROM d),
+     c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN n = 0 OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+     t AS (SELECT *, substr(s, 1, a) AS p, substr(s, a + 1, b - a) AS m, substr(s, b + 1) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(s) AS restored_sha256
+FROM t
+"""
+
+#: The source at which the rate stops rising is the first, by bound over weight, that isn't bounded.
+OP13 = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS size FROM documents),
+     s AS (SELECT source, sum(size)::BIGINT AS words, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+     o AS (SELECT *, row_number() OVER w AS pos, sum(3 * words) OVER w - 3 * words AS bounded, sum(weight) OVER () - sum(weight) OVER w + weight AS rest
+           FROM s WINDOW w AS (ORDER BY 3.0::DOUBLE * words / weight, source ROWS UNBOUNDED PRECEDING)),
+     q AS (SELECT *, ((SELECT sum(words) FROM s) - bounded)::DOUBLE / rest AS rate FROM o),
+     r AS (SELECT coalesce(arg_min(rate, pos) FILTER (3 * words > rate * weight), 0) AS rate FROM q),
+     t AS (SELECT s.source, words, least(3.0::DOUBLE * words, r.rate * weight) AS target,
+           {uniform_sql(13, "(s.source IS NULL)::INT", "coalesce(s.source, '')")} / {SPAN} AS u FROM s, r),
+     k AS (SELECT d.*, words, target, u, CASE WHEN words > 0 THEN target / words ELSE 0 END AS c,
+           row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) - 1 AS i FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, words AS source_size, target, CAST(least(floor((i + 1) * c + u) - floor(i * c + u), 3) * size AS BIGINT) AS taken FROM k
+"""
+
+ORACLES = {"op7_url_filter": OP7, "op8_warc": OP8, "op9_embedding_dedup": OP9, "op11_fill_in_middle": OP11, "op13_mixing": OP13}
