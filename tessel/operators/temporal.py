@@ -68,20 +68,21 @@ def decayed_sums(rows: DataFrame, decay: float, keys: list[str], order: str, val
     The step ``s -> decay * s + value`` is an affine map, and maps compose: a key's rows are cut
     into blocks, a window sums within each, and the sums of the blocks are carried on in the same
     way with the decay of a whole block.  A block is as long as powers of the decay stay well
-    within a double, so a key with most rows is spread over its blocks.
+    within a double, so a key with most rows is spread over its blocks.  A decay below 1e-150
+    counts as 0.
     """
-    if decay == 0:
+    if abs(decay) < 1e-150:
         return rows.withColumn(name, F.col(value).cast("double"))
-    width = max(1, min(1024, int(100 / max(abs(math.log10(abs(decay))), 1e-9))))
+    width = max(2, min(1024, int(100 / max(abs(math.log10(abs(decay))), 1e-9))))
     placed = staged(place_within(rows, keys, order, name="__p"), "decayed")
     placed = placed.withColumn("__b", F.floor(F.col("__p") / width)).withColumn("__k", F.col("__p") % width)
     power = lambda k: F.pow(F.lit(float(decay)), k)
     inside = F.sum(F.col(value) * power(-F.col("__k"))).over(W.partitionBy(*keys, "__b").orderBy("__k"))
     summed = staged(placed.withColumn("__s", inside * power(F.col("__k"))), "decayed")
-    ends = summed.where(F.col("__k") == width - 1).select(*keys, "__b", F.col("__s").alias("__v"))
+    ends = summed.where(F.col("__k") == width - 1).select(*keys, F.col("__b").alias("__o"), F.col("__s").alias("__v"))
     if ends.isEmpty():
         return summed.withColumn(name, F.col("__s")).drop("__p", "__b", "__k", "__s")
-    before = decayed_sums(ends, decay**width, keys, "__b", "__v", "__carry").select(*keys, (F.col("__b") + 1).alias("__b"), "__carry")
+    before = decayed_sums(ends, decay**width, keys, "__o", "__v", "__carry").select(*keys, (F.col("__o") + 1).alias("__b"), "__carry")
     carried = F.coalesce("__carry", F.lit(0.0)) * power(F.col("__k") + 1)
     return summed.join(before, [*keys, "__b"], "left").withColumn(name, F.col("__s") + carried).drop("__p", "__b", "__k", "__s", "__carry")
 
