@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tessel.functions.joins import join_back
 from tessel.functions.vectors import add, bound, dot, gelu, linear, scale, sigmoid, vector_max
 from tessel.operators.layers import Matrix, layer_norm
-from tessel.operators.propagate import powers, scatter, with_both, with_source, zeros
+from tessel.operators.propagate import AGGREGATES, powers, scatter, with_both, with_source, zeros
+from tessel.plans.staging import cut
 
 Affine = tuple[Matrix, list[float] | None]
 
@@ -109,10 +110,16 @@ def encoder(nodes, edges, layers: list[dict], heads=1):
     out = nodes.select("id", "x")
     for w in layers:
         attended = transformer(out, edges, w["query"], w["key"], w["value"], heads, False, w["root"], w.get("beta"))
-        out = _settled(out.join(attended, "id"), F.col("h"), w)
+        out = step(_settled(out.join(attended, "id"), F.col("h"), w), w is layers[-1])
     return out.withColumnRenamed("x", "h")
 
 
+def step(out: DataFrame, last: bool) -> DataFrame:
+    """A layer's nodes, checkpointed unless they are the result: a layer names its input several
+    times, and without the cut a plan would grow as the power of its layers."""
+    return out if last else cut(out)
+
+
 def heat(nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], weights: dict, size: int, heads=1, attr="attr") -> dict[str, DataFrame]:
     """Additive attention of typed nodes and relations; ``(id, h)`` for each node type.
 
@@ -147,6 +154,88 @@ def heat(nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFram
     return last
 
 
+def rgat(nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], weights: dict, size: int, heads=1, attr="attr") -> dict[str, DataFrame]:
+    """Dot attention of typed nodes within each relation; ``(id, h)`` for each node type.
+
+    ``weights`` has, by node type, ``query``, ``output`` (affine) and maybe ``root``; by relation,
+    ``key`` and ``value``, maps of the source, and maybe ``edge``, a map of the edge's vector that
+    both are shifted by.  What arrives is summed over relations before the output map.
+    """
+    width = heads * size
+    out = {t: n.select("id", "x", zeros(width).alias("sum")) for t, n in nodes.items()}
+    for name, rel in edges.items():
+        a, _, b = name
+        met = with_source(rel, nodes[a]).join(nodes[b].select(F.col("id").alias("dst"), linear(F.col("x"), weights["query"][b]).alias("q")), "dst")
+        shift = linear(F.col(attr), weights["edge"][name]) if weights.get("edge") else zeros(width)
+        met = met.select("dst", "q", linear(F.col("xs"), weights["key"][name]).alias("k"), linear(F.col("xs"), weights["value"][name]).alias("v"), shift.alias("e"))
+        met = met.select("dst", "q", add(F.col("k"), F.col("e")).alias("k"), add(F.col("v"), F.col("e")).alias("v"))
+        scores = [dot(part(F.col("q"), h, size), part(F.col("k"), h, size)) / math.sqrt(size) for h in range(heads)]
+        got = attend_heads(met, scores, [part(F.col("v"), h, size) for h in range(heads)], nodes[b].select("id"), size)
+        out[b] = out[b].join(got, "id").select("id", "x", add(F.col("sum"), F.col("m")).alias("sum"))
+    last = {}
+    for t, df in out.items():
+        h = linear(F.col("sum"), *weights["output"][t])
+        last[t] = df.select("id", (add(h, linear(F.col("x"), weights["root"][t])) if weights.get("root") else h).alias("h"))
+    return last
+
+
+def _product(a: Matrix, b: Matrix) -> Matrix:
+    return [[sum(x * y for x, y in zip(row, col, strict=True)) for col in zip(*b, strict=True)] for row in a]
+
+
+def hgt(nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], weights: dict, size: int, heads=1) -> dict[str, DataFrame]:
+    """``rgat`` whose keys and values are maps by node type, then by relation (``relation_key`` and
+    ``relation_value``); the two maps of a relation are multiplied beforehand."""
+    of = {m: {k: _product(weights[f"relation_{m}"][k], weights[m][k[0]]) for k in edges} for m in ("key", "value")}
+    return rgat(nodes, edges, {**weights, **of, "edge": None}, size, heads)
+
+
+def supergat(nodes, edges, weight: Matrix, left: Matrix, right: Matrix, heads=1, concat=True, kind="MX", slope=0.2, loops=True, bias: list[float] | None = None):
+    """Attention by a leaky additive score (``MX``) or the scaled dot product (``SD``) of mapped ends.
+
+    ``left`` and ``right`` have a row for each head; with ``loops``, self-loops are renewed.
+    """
+    size = len(weight) // heads
+    plain = edges.select("src", "dst")
+    if loops:
+        plain = plain.where("src <> dst").unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    mapped = nodes.select("id", linear(F.col("x"), weight).alias("x"))
+    met = with_both(plain, mapped)
+    scores = []
+    for h in range(heads):
+        s, d = part(F.col("xs"), h, size), part(F.col("xd"), h, size)
+        raw = dot(s, vector(left[h])) + dot(d, vector(right[h])) if kind == "MX" else dot(s, d) / math.sqrt(size)
+        scores.append(F.greatest(raw, slope * raw) if kind == "MX" else raw)
+    out = attend_heads(met, scores, [part(F.col("xs"), h, size) for h in range(heads)], nodes.select("id"), size)
+    h = merged(F.col("m"), heads, size, concat)
+    return out.select("id", (add(h, vector(bias)) if bias else h).alias("h"))
+
+
+def general(nodes, edges, message: Affine, root: Affine | None = None, how="sum", attention: Matrix | None = None, heads=1, directed=True, l2_normalize=False):
+    """The aggregate of a map of both ends (``directed``) or of the source, weighed by each head's
+    softmax if there is ``attention``, plus the root map or the node itself, normed if wanted."""
+    width = len(message[0])
+    size = width // heads
+    met = with_both(edges.select("src", "dst"), nodes)
+    ends = F.concat("xs", "xd") if directed else F.col("xs")
+    rows = met.select("dst", linear(ends, *message).alias("v"), (linear(ends, attention) if attention else zeros(heads)).alias("s"))
+    if attention is None:
+        out = scatter(rows, F.col("v"), nodes.select("id", "x"), width, how)
+    elif how == "max":
+        top = rows.groupBy("dst").agg(vector_max(F.col("s"), heads).alias("__top"))
+        rows = join_back(rows, top, "dst").withColumn("e", F.zip_with("s", "__top", lambda a, b: F.exp(a - b)))
+        total = rows.groupBy("dst").agg(AGGREGATES["sum"](F.col("e"), heads).alias("__sum"))
+        rows = join_back(rows, total, "dst")
+        weighed = F.concat(*[scale(part(F.col("v"), h, size), F.col("e")[h] / F.col("__sum")[h]) for h in range(heads)])
+        out = scatter(rows, weighed, nodes.select("id", "x"), width, "max")
+    else:  # weights of a head sum to 1, so the mean over them is the sum
+        out = attend_heads(rows, [F.col("s")[h] for h in range(heads)], [part(F.col("v"), h, size) for h in range(heads)], nodes.select("id", "x"), size)
+    h = add(F.col("m"), linear(F.col("x"), *root) if root else F.col("x"))
+    if l2_normalize:
+        h = bound(h, lambda v: scale(v, 1 / F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))))
+    return out.select("id", h.alias("h"))
+
+
 def dna(nodes, edges, history: list[str], query: Affine, key: Affine, value: Affine, out: Affine, heads=1):
     """Attention to every step of the source's history, then over in-edges by the best step's score.
 
@@ -199,7 +288,7 @@ def hop_encoder(nodes, edges, width: int, places: Matrix, layers: list[dict], he
                 own.append(mixed([part(F.col(f"{d}_value"), h, size) for d in names], scores))
             seen.append(layer_norm(add(F.col(c), bound(F.concat(*own), lambda v: linear(v, *w["out"])))).alias(c))
         out = out.select("id", "x", *seen)
-        out = out.select("id", "x", *[layer_norm(add(F.col(c), feed_forward(F.col(c), w["up"], w["down"]))).alias(c) for c in names])
+        out = step(out.select("id", "x", *[layer_norm(add(F.col(c), feed_forward(F.col(c), w["up"], w["down"]))).alias(c) for c in names]), w is layers[-1])
     mean = scale(reduce(add, [F.col(c) for c in names]), F.lit(1 / len(names)))
     return out.select("id", layer_norm(add(mean, F.col("x"))).alias("h"))
 
@@ -216,7 +305,7 @@ def group_reversible(nodes, edges, width: int, chosen: list):
     ys = []
     for g, layer in enumerate(chosen):
         moved = layer(out.select("id", F.col("y").alias("x")), edges).withColumnRenamed("h", "__h")
-        out = out.join(moved, "id").withColumn("y", add(groups[g], F.col("__h"))).withColumn(f"y{g}", F.col("y")).drop("__h")
+        out = step(out.join(moved, "id").withColumn("y", add(groups[g], F.col("__h"))).withColumn(f"y{g}", F.col("y")).drop("__h"), g == n - 1)
         ys.append(f"y{g}")
     return out.select("id", F.concat(*ys).alias("h"))
 
@@ -229,7 +318,7 @@ def group_inverse(nodes, edges, width: int, chosen: list):
     for g in reversed(range(n)):
         running = part(F.col("x"), g - 1, size) if g else reduce(add, [F.col(f"x{i}") for i in range(1, n)])
         moved = chosen[g](out.select("id", running.alias("x")), edges).withColumnRenamed("h", "__h")
-        out = out.join(moved, "id").withColumn(f"x{g}", F.zip_with(part(F.col("x"), g, size), "__h", lambda a, b: a - b)).drop("__h")
+        out = step(out.join(moved, "id").withColumn(f"x{g}", F.zip_with(part(F.col("x"), g, size), "__h", lambda a, b: a - b)).drop("__h"), g == 0)
     return out.select("id", F.concat(*[f"x{g}" for g in range(n)]).alias("h"))
 
 
@@ -256,5 +345,5 @@ def tgat_encoder(nodes, edges, layers: list[dict], heads=1, now: Column | str =
     out = nodes.select("id", "x")
     for w in layers:
         moved = tgat(out, edges, *[w[k] for k in ("query", "key", "value", "time", "frequency", "phase", "output")], w.get("root"), heads, now)
-        out = _settled(out.join(moved, "id"), F.col("h"), w)
+        out = step(_settled(out.join(moved, "id"), F.col("h"), w), w is layers[-1])
     return out.withColumnRenamed("x", "h")

@@ -365,31 +365,6 @@ def agnn(nodes, edges, width, beta=1.0):
     return _out(attend(met, score, F.col("xs"), nodes, width), F.col("m"))
 
 
-def gatv2(nodes, edges, width, source: Matrix, target: Matrix, attention: list[float]):
-    """Attention by a . tanh(W source + W destination), one head."""
-    met = with_both(edges.select("src", "dst"), nodes)
-    value = linear(F.col("xs"), source)
-    score = dot(F.transform(add(value, linear(F.col("xd"), target)), F.tanh), F.lit([float(a) for a in attention]))
-    return _out(attend(met, score, value, nodes, len(source)), F.col("m"))
-
-
-def transformer(nodes, edges, width, query: Matrix, key: Matrix, value: Matrix, root: Matrix | None = None):
-    """Scaled dot-product attention over in-edges, plus root; one head."""
-    met = with_both(edges.select("src", "dst"), nodes)
-    score = dot(linear(F.col("xd"), query), linear(F.col("xs"), key)) / math.sqrt(len(query))
-    out = attend(met, score, linear(F.col("xs"), value), nodes, len(value))
-    return _out(out, add(F.col("m"), linear(F.col("x"), root)) if root else F.col("m"))
-
-
-def supergat(nodes, edges, width, weight: Matrix, left: list[float], right: list[float], slope=0.2):
-    """Mixed attention: additive score times the sigmoid of the dot product; loops renewed."""
-    plain = edges.select("src", "dst").where("src <> dst").unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")))
-    met = with_both(plain, nodes)
-    s, d = linear(F.col("xs"), weight), linear(F.col("xd"), weight)
-    raw = (dot(s, F.lit([float(a) for a in left])) + dot(d, F.lit([float(a) for a in right]))) * sigmoid(dot(s, d))
-    return _out(attend(met, F.when(raw > 0, raw).otherwise(slope * raw), s, nodes, len(weight)), F.col("m"))
-
-
 def fagcn(nodes, edges, width, gate: list[float], eps=0.1):
     """(1 - eps) attention by tanh of a gate on both ends, plus eps own."""
     met = with_both(edges.select("src", "dst"), nodes)
@@ -424,15 +399,6 @@ def gen(nodes, edges, width, weight: Matrix, root: Matrix, beta=1.0):
     return _out(attend(met, score, value, nodes, len(weight)), add(F.col("m"), linear(F.col("x"), root)))
 
 
-def general(nodes, edges, width, weight: Matrix, root: Matrix, how="sum", l2_normalize=False):
-    """The aggregate of L(source) plus root, normed if wanted; one head without attention."""
-    met = with_source(edges.select("src", "dst"), nodes)
-    h = add(F.col("m"), linear(F.col("x"), root))
-    if l2_normalize:
-        h = scale(h, 1 / F.greatest(F.sqrt(dot(h, h)), F.lit(1e-12)))
-    return _out(scatter(met, linear(F.col("xs"), weight), nodes, len(weight), how), h)
-
-
 def point_transformer(nodes, edges, width, query: Matrix, key: Matrix, value: Matrix, position: Matrix, pos="pos"):
     """Attention over position-shifted values."""
     met = with_both(edges.select("src", "dst"), nodes)
@@ -477,23 +443,6 @@ def semantic(nodes, relations: dict[str, DataFrame], width, weights: dict[str, M
     return _out(out, mixed)
 
 
-def relational_attention(nodes, relations: dict[str, DataFrame], width, weights: dict[str, dict], root: Matrix):
-    """Dot attention within each relation, summed over relations, plus root.
-
-    A relation's weights are its ``query``, ``key`` and ``value`` maps; typed layers give each
-    relation those of its end types.
-    """
-    out, h = nodes, linear(F.col("x"), root)
-    for i, (name, edges) in enumerate(relations.items()):
-        w = weights[name]
-        met = with_both(edges.select("src", "dst"), nodes)
-        score = dot(linear(F.col("xd"), w["query"]), linear(F.col("xs"), w["key"])) / math.sqrt(len(w["query"]))
-        part = attend(met, score, linear(F.col("xs"), w["value"]), nodes.select("id"), len(root))
-        out = out.join(part.select("id", F.col("m").alias(f"r{i}")), "id")
-        h = add(h, F.col(f"r{i}"))
-    return _out(out, h)
-
-
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
     """A vector less its mean, over its deviation."""
 
@@ -504,13 +453,6 @@ def layer_norm(x: Column, eps: float = 1e-5) -> Column:
     return bound(centred, lambda c: bound(F.sqrt(dot(c, c) / F.size(c) + eps), lambda d: F.transform(c, lambda a: a / d)))
 
 
-def encoder(nodes, edges, width, query: Matrix, key: Matrix, value: Matrix, up: tuple, down: tuple):
-    """Attention and a feed-forward network, each with a residual and a layer norm."""
-    attended = transformer(nodes, edges, width, query, key, value).join(nodes, "id")
-    one = attended.select("id", layer_norm(add(F.col("x"), F.col("h"))).alias("x"))
-    return _out(one, layer_norm(add(F.col("x"), linear(F.transform(linear(F.col("x"), *up), gelu), *down))))
-
-
 def by_relation(nodes: dict[str, DataFrame], edges: dict, width: int, chosen: dict) -> dict:
     """One layer for each relation, not merged: ``chosen[relation](nodes, edges, width)``.
 

@@ -47,21 +47,6 @@ def memory_update(memory: DataFrame, messages: DataFrame, cell: dict, size: int)
     return met.select("id", F.when(F.col("msg").isNull(), F.col("x")).otherwise(stepped).alias("x"), F.coalesce("__t", "t").alias("t"))
 
 
-def tgat(nodes, edges, width, query, key, value, frequency, phase, now: int, unit: float = 1e6):
-    """Attention over in-edges whose keys and values carry the encoded age of the edge."""
-    import math
-
-    from tessel.functions.vectors import dot, linear
-    from tessel.operators.layers import attend
-    from tessel.operators.propagate import with_both
-
-    met = with_both(edges.select("src", "dst", "t"), nodes)
-    aged = F.concat("xs", time_encode((F.lit(now) - F.col("t")) / unit, frequency, phase))
-    zero = time_encode(F.lit(0.0), frequency, phase)
-    score = dot(linear(F.concat(F.col("xd"), zero), query), linear(aged, key)) / math.sqrt(len(query))
-    return attend(met, score, linear(aged, value), nodes, len(value)).select("id", F.col("m").alias("h"))
-
-
 def decayed_sums(rows: DataFrame, decay: float, keys: list[str], order: str, value: str = "value", name: str = "state") -> DataFrame:
     """``rows`` with the sum of a key's values so far, each multiplied by ``decay`` for every row since.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessel.functions.vectors import ERFC
 from tessel.functions.hashing import SPAN, uniform_sql  # noqa: F401
 from tessel.operators import features, layers, losses, metrics, partition, sparse, temporal
+from tessel.operators import attention as attended_heads
 from tessel.operators.propagate import pool, propagate
 from tessel.plans import graphs as g
 from tessel.plans.graphs import WIDTH
@@ -219,17 +220,12 @@ def attended(name: str, score: str, value: list[str], h: list[str], f) -> None:
 
 _COS = f"{dotted(XS, XD)} / greatest(sqrt({dotted(XS, XS)}) * sqrt({dotted(XD, XD)}), 1e-8)"
 attended("agnn", f"2.0 * {_COS}", XS, M, lambda n, e: layers.agnn(n, e, WIDTH, 2.0))
-attended("gatv2", dotted([f"tanh({c})" for c in plus(lin(XS, W1), lin(XD, W2))], row(3)), lin(XS, W1), M, lambda n, e: layers.gatv2(n, e, WIDTH, W1, W2, row(3)))
-attended("attention_dot", f"{dotted(lin(XD, W1), lin(XS, W2))} / sqrt(3.0)", lin(XS, W3), plus(M, lin(X, W1)), lambda n, e: layers.transformer(n, e, WIDTH, W1, W2, W3, W1))
+attended("gatv2", dotted([f"tanh({c})" for c in plus(lin(XS, W1), lin(XD, W2))], row(3)), lin(XS, W1), M, lambda n, e: attended_heads.gatv2(n, e, W1, W2, [row(3)]))
+attended("attention_dot", f"{dotted(lin(XD, W1), lin(XS, W2))} / sqrt(3.0)", lin(XS, W3), plus(M, lin(X, W1)), lambda n, e: attended_heads.transformer(n, e, (W1, None), (W2, None), (W3, None), root=(W1, None)))
 attended("fagcn", f"tanh({dotted(XD + XS, row(6))})", XS, plus(times(M, 0.9), times(X, 0.1)), lambda n, e: layers.fagcn(n, e, WIDTH, row(6)))
 attended("fa", f"tanh({dotted(XS, row(3))} + {dotted(XD, row(3, 1))})", lin(XS, W1), plus(times(M, 0.9), times(X, 0.1)), lambda n, e: layers.faconv(n, e, WIDTH, W1, row(3), row(3, 1)))
 attended("gen", f"({' + '.join(lin(XS, W1))}) / 3.0", lin(XS, W1), plus(M, lin(X, W2)), lambda n, e: layers.gen(n, e, WIDTH, W1, W2))
 attended("feast", dotted(plus(XS, times(XD, -1)), row(3)), lin(XS, W1), plus(M, lin(X, W2)), lambda n, e: layers.feast(n, e, WIDTH, [W1], [row(3)], W2))
-_LOOPED = "looped AS (SELECT src, dst FROM handoff WHERE src <> dst UNION ALL SELECT id, id FROM users)"
-_RAW = f"({dotted(lin(XS, W1), row(3))} + {dotted(lin(XD, W1), row(3, 1))}) * {SIGM.format(dotted(lin(XS, W1), lin(XD, W1)))}"
-layer("supergat", f"SELECT id, {shown(M)} " + ONE.format(attention(f"CASE WHEN {_RAW} > 0 THEN {_RAW} ELSE 0.2 * {_RAW} END", lin(XS, W1), edges="looped")), more=_LOOPED)(lambda n, e: layers.supergat(n, e, WIDTH, W1, row(3), row(3, 1)))
-_NORM2 = plus(M, lin(X, W2))
-layer("general", f"SELECT id, {shown([f'({c}) / greatest(sqrt({dotted(_NORM2, _NORM2)}), 1e-12)' for c in _NORM2])} " + ONE.format(edgewise(lin(XS, W1))))(lambda n, e: layers.general(n, e, WIDTH, W1, W2, l2_normalize=True))
 layer("directed", f"SELECT id, {shown(plus(times(cols('a.m'), 0.5), times(cols('b.m'), 0.5), lin(X, W1)))} FROM feat JOIN ({agg_sql('feat')}) a USING (id) JOIN ({agg_sql('feat', edges='turned')}) b USING (id)",
       more="turned AS (SELECT dst AS src, src AS dst FROM handoff)")(
     lambda n, e: layers.directed(n, e, WIDTH, lambda a, b: propagate(a, b, WIDTH).select("id", F.col("m").alias("h")), 0.5, W1))
@@ -246,10 +242,6 @@ _PARTS = [lin(X, W3), cols("a.m"), cols("b.m")]
 _SE = [f"exp({dotted(p, row(3))})" for p in _PARTS]
 layer("semantic_mix", f"SELECT id, {shown([f'({c}) / ({chr(43).join(_SE)})' for c in plus(*[times(p, w) for p, w in zip(_PARTS, _SE, strict=True)])])} FROM feat JOIN ({agg_sql('fe', 'mean', edges='evens')}) a USING (id) JOIN ({agg_sql('fo', 'mean', edges='odds')}) b USING (id)",
       more=_HALVES + f"fe AS (SELECT id, {named(lin(X, W1), 'x')} FROM feat), fo AS (SELECT id, {named(lin(X, W2), 'x')} FROM feat)")(lambda n, e: layers.semantic(n, _two(e), WIDTH, {"even": W1, "odd": W2}, W3, row(3)))
-_DOT = lambda a, b: f"{dotted(lin(XD, a), lin(XS, b))} / sqrt(3.0)"
-layer("rel_attention", f"SELECT id, {shown(plus(lin(X, W3), cols('a.m'), cols('b.m')))} FROM feat JOIN ({attention(_DOT(W1, W2), lin(XS, W3), edges='evens')}) a USING (id) JOIN ({attention(_DOT(W2, W3), lin(XS, W1), edges='odds')}) b USING (id)", more=_HALVES.rstrip(", "))(
-    lambda n, e: layers.relational_attention(n, _two(e), WIDTH, {"even": {"query": W1, "key": W2, "value": W3}, "odd": {"query": W2, "key": W3, "value": W1}}, W3))
-
 _CELL = {k: weight(3, 3, i) for i, k in enumerate(("ir", "iz", "in", "hr", "hz", "hn"))}
 
 def gru_sql(x: list[str], h: list[str], cell: dict | None = None) -> list[str]:
@@ -282,15 +274,6 @@ over_edges("pointnet", lin(XS + _SHIFT, weight(3, 5)), plus(M, lin(X, W1)), lamb
 _DELTA = lin(_SHIFT, weight(3, 2))
 attended("point_transformer", " + ".join(plus(lin(XD, W1), times(lin(XS, W2), -1), _DELTA)), plus(lin(XS, W3), _DELTA), M,
          lambda n, e: layers.point_transformer(n.withColumn("pos", F.slice("x", 1, 2)), e, WIDTH, W1, W2, W3, weight(3, 2)))
-_FED = plus(X, lin([gelu_sql(c) for c in lin(X, weight(6, 3))], weight(3, 6)))
-layer("encoder", f"SELECT id, {shown(norm_sql(cols('f')))} FROM fed",
-      more=f"normed AS (SELECT id, {named(norm_sql(plus(X, M)), 'x')} " + ONE.format(attention(_DOT(W1, W2), lin(XS, W3))) + f"), fed AS (SELECT id, {named(_FED, 'f')} FROM normed)")(
-    lambda n, e: layers.encoder(n, e, WIDTH, W1, W2, W3, (weight(6, 3), None), (weight(3, 6), None)))
-_AGE = "((1700000000000000 - e.t) / 1e6)"
-_AGED = XS + [f"cos({_AGE} * 1e-6)", f"cos({_AGE} * 1e-7 + 0.5)"]
-attended("tgat", f"{dotted(lin(XD + ['cos(0.0)', 'cos(0.5)'], weight(3, 5)), lin(_AGED, weight(3, 5, 1)))} / sqrt(3.0)", lin(_AGED, weight(3, 5, 2)), M,
-         lambda n, e: temporal.tgat(n, e, WIDTH, weight(3, 5), weight(3, 5, 1), weight(3, 5, 2), [1e-6, 1e-7], [0.0, 0.5], 1_700_000_000_000_000))
-
 
 # sparse algebra
 
