@@ -1,12 +1,15 @@
 """Feature normalisers and deterministic splits."""
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessel.functions.hashing import uniform
-from tessel.functions.ordering import with_position
+from tessel.functions.ordering import place_within, with_position
 from tessel.functions.vectors import items
+from tessel.operators.sampling import uniform_negatives
 
 
 def normalize_rows(nodes: DataFrame, column: str = "x", eps: float = 1e-12) -> DataFrame:
@@ -64,6 +67,25 @@ def split_links(edges: DataFrame, val: float | int, test: float | int, seed: int
     return keyed.join(parts, ["a", "b"]).drop("a", "b")
 
 
+def split_negatives(edges: DataFrame, links: DataFrame, total: int, ratio: float | int, splits: tuple[str, ...] = ("val", "test"), seed: int = 0) -> DataFrame:
+    """``(part, q, src, dst, label, slot)``: each chosen split's links and its drawn negatives.
+
+    A split of n links has ``floor(n * ratio)`` negatives: every link, in the order of its draw,
+    gives one before any gives another.  ``splits`` with ``train`` gives negatives for training
+    too.  A negative is no edge of the whole graph.
+    """
+    asked = links.where(F.col("part").isin(*splits)).select("part", F.col("e_id").alias("q"), "src", "dst")
+    counts = {r["part"]: int(r["n"] * ratio) for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each split
+    drawn = place_within(asked.withColumn("__u", uniform(seed + 2, F.col("q"))), ["part"], "__u", "q", name="__k").drop("__u")
+    sizes = {r["part"]: r["n"] for r in drawn.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = uniform_negatives(edges, drawn.select("q", "src", "dst"), max(1, math.ceil(ratio)), total, seed)
+    wanted, size = F.lit(0), F.lit(1)
+    for name, n in counts.items():
+        wanted, size = F.when(F.col("part") == name, n).otherwise(wanted), F.when(F.col("part") == name, sizes[name]).otherwise(size)
+    kept = found.join(drawn.select("q", "part", "__k"), "q").where((F.col("label") == 1) | ((F.col("slot") - 1) * size + F.col("__k") < wanted))
+    return kept.select("part", "q", "src", "dst", "label", "slot")
+
+
 def link_split(edges: DataFrame, val: float | int, test: float | int, seed: int = 0, undirected: bool = False, disjoint: float | int = 0.0, val_in_test: bool = True, reverse: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(links, messages)``: which edges each split is asked about, and which it may pass messages over.
 

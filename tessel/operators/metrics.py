@@ -33,11 +33,13 @@ def hits(scored: DataFrame, k: int, filtered: bool = False) -> DataFrame:
 
 
 def build_metric(name: str):
-    """A metric by name: ``accuracy``, ``mrr``, ``hits@k`` and their filtered forms."""
+    """A metric by name: ``accuracy``, ``binary_accuracy``, ``mrr``, ``hits@k`` and the filtered forms of ranks."""
     filtered, _, base = name.rpartition("filtered_")
     kept = name.startswith("filtered_")
     if base == "accuracy":
         return accuracy
+    if base == "binary_accuracy":
+        return lambda df: accuracy(df, binary=True)
     if base == "mrr":
         return lambda df: mrr(df, kept)
     if base.startswith("hits@"):

@@ -109,6 +109,30 @@ def union_batch(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return shifted, moved
 
 
+def typed_batch(nodes: dict[str, DataFrame], edges: dict) -> tuple[dict, dict]:
+    """The disjoint union of many typed graphs: each type's ids are shifted by the nodes of that
+    type in the graphs before, and a relation's ends by those of its end types.
+
+    Tables are ``nodes[type](graph_id, id, …)`` and ``edges[relation](graph_id, src, dst, …)``; a
+    graph without nodes of a type has no edge to one.
+    """
+    first = {k: graph_pointers(n).select("graph_id", "first") for k, n in nodes.items()}
+    shifted = {k: n.join(first[k], "graph_id").withColumn("id", F.col("id") + F.col("first")).drop("first") for k, n in nodes.items()}
+    moved = {}
+    for (a, name, b), e in edges.items():
+        ends = e.join(first[a].withColumnRenamed("first", "__a"), "graph_id").join(first[b].withColumnRenamed("first", "__b"), "graph_id")
+        moved[(a, name, b)] = ends.withColumn("src", F.col("src") + F.col("__a")).withColumn("dst", F.col("dst") + F.col("__b")).drop("__a", "__b")
+    return shifted, moved
+
+
+def sample_batch(nodes: DataFrame, edges: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``union_batch`` of sampled graphs, with ``samples(graph_id, seed, …)``: each record's seed,
+    an id within its own graph, is shifted along; its label and names stay."""
+    shifted, moved = union_batch(nodes, edges)
+    first = graph_pointers(nodes).select("graph_id", "first")
+    return shifted, moved, samples.join(first, "graph_id").withColumn("seed", F.col("seed") + F.col("first")).drop("first")
+
+
 def without_supervision(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """The edges that equal no supervised ``(src, dst)`` pair, all parallel copies gone."""
     return edges.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_anti")

@@ -1,6 +1,6 @@
 """All graph queries by name, with their SQL twins."""
 
-from tessel.plans import layer_queries, numeric_queries, sampling_queries, structure_queries  # noqa: F401
+from tessel.plans import layer_queries, numeric_queries, sampling_queries, structure_queries, table_queries  # noqa: F401
 from tessel.plans.registry import ORACLES, QUERIES
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, NumericType
 
+from tessel.functions.joins import join_back
 from tessel.functions.ordering import with_position
 from tessel.model import GraphError, PropertyGraph
 
@@ -78,12 +79,38 @@ def from_edges(edges: DataFrame, nodes: int | None = None) -> PropertyGraph:
     return PropertyGraph.homogeneous(edges.sparkSession.range(nodes if nodes is not None else most + 1), edges)
 
 
-def from_pairs(spark: SparkSession, pairs: list, nodes: int | None = None) -> PropertyGraph:
-    """A graph of a short list: rows of two, or two rows; two of two are two rows."""
+def from_pairs(spark: SparkSession, pairs: list, nodes: int | None = None, node_data: dict[str, list] | None = None, edge_data: dict[str, list] | None = None) -> PropertyGraph:
+    """A graph of a short list: rows of two, or two rows; two of two are two rows.
+
+    ``node_data`` and ``edge_data`` are columns of as many values as there are nodes and pairs; a
+    value may be a number or a list of numbers.
+    """
     if len(pairs) == 2 and len(pairs[0]) == len(pairs[1]):
         pairs = list(zip(*pairs, strict=True))
-    rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(pairs)]
-    return from_edges(spark.createDataFrame(rows, "e_id long, src long, dst long"), nodes)
+    node_data, edge_data = node_data or {}, edge_data or {}
+    if any(len(v) != len(pairs) for v in edge_data.values()):
+        raise GraphError("edge data must have a value for each pair")
+    known = {len(v) for v in node_data.values()} | ({nodes} if nodes is not None else set())
+    if len(known) > 1:
+        raise GraphError("node data must have a value for each node")
+    rows = [(i, int(a), int(b), *[_value(v[i]) for v in edge_data.values()]) for i, (a, b) in enumerate(pairs)]
+    graph = from_edges(spark.createDataFrame(rows, ", ".join(["e_id long, src long, dst long", *[f"`{k}` {_kind(v)}" for k, v in edge_data.items()]])), next(iter(known), None))
+    if not node_data:
+        return graph
+    n = next(iter(known))
+    table = spark.createDataFrame([(i, *[_value(v[i]) for v in node_data.values()]) for i in range(n)], ", ".join(["id long", *[f"`{k}` {_kind(v)}" for k, v in node_data.items()]]))
+    return PropertyGraph.homogeneous(table, graph.edge_table())
+
+
+def _value(v):
+    """A number as it is, a list as doubles."""
+    return [float(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+
+def _kind(values: list) -> str:
+    if any(isinstance(v, (list, tuple)) for v in values):
+        return "array<double>"
+    return "long" if all(isinstance(v, int) for v in values) else "double"
 
 
 def write_edge_list(graph: PropertyGraph, path: str, delimiter: str = ",") -> None:
@@ -121,7 +148,7 @@ def write_dataset(nodes: DataFrame, edges: DataFrame, path: str, splits: dict[st
     """Many graphs, tables with ``graph_id``, with a manifest of consecutive splits."""
     nodes.repartition("graph_id").sortWithinPartitions("graph_id").write.mode("overwrite").parquet(f"{path}/nodes")
     edges.repartition("graph_id").sortWithinPartitions("graph_id").write.mode("overwrite").parquet(f"{path}/edges")
-    manifest = {"name": name, "version": version, "splits": splits}
+    manifest = checked_manifest({"name": name, "version": version, "splits": splits})
     nodes.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
 
@@ -131,7 +158,7 @@ def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> tu
     nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
     if split is None:
         return nodes, edges
-    splits = json.loads(spark.read.text(f"{path}/manifest").first()["value"])["splits"]
+    splits = checked_manifest(json.loads(spark.read.text(f"{path}/manifest").first()["value"]))["splits"]
     if split not in splits:
         raise GraphError(f"no split {split!r}")
     first = 0
@@ -143,52 +170,49 @@ def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> tu
     return nodes.where(inside), edges.where(inside)
 
 
-def fingerprint(manifest: dict) -> str:
-    """The SHA-256 of a manifest."""
-    import hashlib
+#: Fields of a manifest and what each must be.
+MANIFEST = {"name": str, "version": str, "splits": dict}
 
-    return hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
-
-
-class Catalog:
-    """Manifests and readers by name; one name can't stand for two contents."""
-
-    def __init__(self):
-        self._known: dict[str, tuple[str, dict, object]] = {}
 
-    def register(self, name: str, manifest: dict, reader=None) -> None:
-        """Add a data set."""
-        mark = fingerprint(manifest)
-        if self._known.get(name, (mark,))[0] != mark:
-            raise GraphError(f"{name!r} is registered with another content")
-        self._known[name] = (mark, manifest, reader)
+def checked_manifest(found: dict) -> dict:
+    """A manifest with all its fields, of the right kinds and sizes; anything else is refused."""
+    if not isinstance(found, dict):
+        raise GraphError("a manifest must be a mapping")
+    for field, kind in MANIFEST.items():
+        if field not in found:
+            raise GraphError(f"the manifest has no {field!r}")
+        if not isinstance(found[field], kind) or not found[field]:
+            raise GraphError(f"the manifest's {field!r} must be a {kind.__name__} that isn't empty")
+    for name, n in found["splits"].items():
+        if not isinstance(n, int) or isinstance(n, bool) or n < 0:
+            raise GraphError(f"the size of split {name!r} must be a whole number")
+    return dict(found)
 
-    def get(self, name: str) -> dict:
-        """A data set's manifest."""
-        return self._known[name][1]
 
-    def load(self, name: str, *args):
-        """What the registered reader returns."""
-        return self._known[name][2](*args)
+def fingerprint(manifest: dict) -> str:
+    """The SHA-256 of a manifest."""
+    import hashlib
 
-    def names(self) -> list[str]:
-        """All names."""
-        return sorted(self._known)
+    return hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
 
 
-def from_indicator_tables(adjacency: DataFrame, indicator: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def from_indicator_tables(adjacency: DataFrame, indicator: DataFrame, labels: DataFrame, node_attributes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(nodes, edges, graphs)`` of a collection given by node pairs, each node's graph and each graph's label.
 
-    Nodes ``indicator(node, graph_id)``; pairs ``adjacency(src, dst)`` in node numbers; labels
-    ``(graph_id, label)`` become dense numbers by ascending value.
+    Nodes ``indicator(node, graph_id)``; pairs ``adjacency(src, dst, …)`` in node numbers, whose
+    other columns are edge attributes; ``node_attributes(node, …)`` are joined to the nodes;
+    labels ``(graph_id, label)`` become dense numbers by ascending value.
     """
     first = indicator.groupBy("graph_id").agg(F.min("node").alias("first"))
-    nodes = indicator.join(first, "graph_id").select("graph_id", (F.col("node") - F.col("first")).alias("id"), "node")
+    nodes = join_back(indicator, first, "graph_id").select("graph_id", (F.col("node") - F.col("first")).alias("id"), "node")
     at = nodes.select(F.col("node").alias("src"), "graph_id", F.col("id").alias("__a"))
     to = nodes.select(F.col("node").alias("dst"), F.col("id").alias("__b"))
-    edges = adjacency.join(at, "src").join(to, "dst").select("graph_id", F.col("__a").alias("src"), F.col("__b").alias("dst"))
+    more = [c for c in adjacency.columns if c not in ("src", "dst")]
+    edges = adjacency.join(at, "src").join(to, "dst").select("graph_id", F.col("__a").alias("src"), F.col("__b").alias("dst"), *more)
+    if node_attributes is not None:
+        nodes = nodes.join(node_attributes, "node", "left")
     dense = with_position(labels.select("label").distinct(), "label", name="y")
-    return nodes.select("graph_id", "id"), edges, labels.join(dense, "label").select("graph_id", "y")
+    return nodes.drop("node"), edges, labels.join(dense, "label").select("graph_id", "y")
 
 
 def from_object(spark: SparkSession, graph) -> PropertyGraph:
