@@ -93,18 +93,20 @@ def from_pairs(spark: SparkSession, pairs: list, nodes: int | None = None, node_
     known = {len(v) for v in node_data.values()} | ({nodes} if nodes is not None else set())
     if len(known) > 1:
         raise GraphError("node data must have a value for each node")
-    rows = [(i, int(a), int(b), *[_value(v[i]) for v in edge_data.values()]) for i, (a, b) in enumerate(pairs)]
+    edge_data, node_data = ({k: _typed(v) for k, v in data.items()} for data in (edge_data, node_data))
+    rows = [(i, int(a), int(b), *[v[i] for v in edge_data.values()]) for i, (a, b) in enumerate(pairs)]
     graph = from_edges(spark.createDataFrame(rows, ", ".join(["e_id long, src long, dst long", *[f"`{k}` {_kind(v)}" for k, v in edge_data.items()]])), next(iter(known), None))
     if not node_data:
         return graph
     n = next(iter(known))
-    table = spark.createDataFrame([(i, *[_value(v[i]) for v in node_data.values()]) for i in range(n)], ", ".join(["id long", *[f"`{k}` {_kind(v)}" for k, v in node_data.items()]]))
+    table = spark.createDataFrame([(i, *[v[i] for v in node_data.values()]) for i in range(n)], ", ".join(["id long", *[f"`{k}` {_kind(v)}" for k, v in node_data.items()]]))
     return PropertyGraph.homogeneous(table, graph.edge_table())
 
 
-def _value(v):
-    """A number as it is, a list as doubles."""
-    return [float(x) for x in v] if isinstance(v, (list, tuple)) else v
+def _typed(values: list) -> list:
+    """The values of a column as Spark takes them: all longs, all doubles or lists of doubles."""
+    kind = _kind(values)
+    return [[float(x) for x in v] if kind == "array<double>" else int(v) if kind == "long" else float(v) for v in values]
 
 
 def _kind(values: list) -> str:

@@ -23,16 +23,19 @@ class DecayedMemory(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state, at, n = self.memory.get() if self.memory.exists() else (0.0, None, 0)
+        floor = timerValues.getCurrentWatermarkInMs() * 1000
         for frame in rows:
-            frame = frame.sort_values(["at", "value"])
+            frame = frame[frame["at"].dt.as_unit("us").astype("int64") >= floor].sort_values(["at", "value"])
             for t, value in zip(frame["at"], frame["value"], strict=True):
-                now = t.value // 1000
+                now = pd.Timestamp(t).value // 1000
                 if at is None or now >= at:
                     state = (state * 0.5 ** ((now - at) / 1e6 / self.half_life) if at is not None else 0.0) + value
                     at = now
                 else:  # within the watermark, but after a later one
                     state += value * 0.5 ** ((at - now) / 1e6 / self.half_life)
                 n += 1
+        if at is None:
+            return
         self.memory.update((float(state), int(at), int(n)))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -51,7 +54,8 @@ class DecayedMemory(StatefulProcessor):
 def node_memory(events: DataFrame, late: str = "2 days", half_life: float = 86_400.0, idle: float = 7 * 86_400.0) -> DataFrame:
     """``(id, t, state, n, ended)``: a row for each batch of a node's events and one when its memory ends.
 
-    ``events(id, at, value)`` is a stream.  Rows older than the watermark are dropped; a node's
+    ``events(id, at, value)`` is a stream.  Rows older than the watermark are dropped, here by the
+    watermark of the batch they come in (the engine's own filter is a batch behind); a node's
     state is three numbers, and it is freed once the watermark is ``idle`` seconds past its
     latest event, so what the stream holds is bounded by the nodes of that span.  A node's events
     of one batch meet in its task, in slices.
