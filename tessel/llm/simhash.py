@@ -49,12 +49,16 @@ from tessel.plans.staging import staged
 
 BITS = 64
 SEED = 42
-#: Distinct fingerprints compared at a time.
-BLOCK = 2048
+#: Distinct fingerprints compared at a time, about; of so many one tells the sizes of buckets.
+BLOCK, DRAWN = 2048, 16
+#: Bits of a table's number.
+TABLE_BITS = 12
 #: Words of a shingle and least similarity of ``deduplicate``.
 SHINGLE, SIMILARITY = 5, (4, 5)
 #: Bands of a group; chance of a pair at the least similarity to meet; others a text meets by chance.
 POINTS, RECALL, CHANCE = 15, 0.96, 1024
+#: Words of a fingerprint at least: so wide, chance pairs lie far beyond the similar ones.
+WORDS = 3
 #: The pairs compared differ in so many deviations above the mean of texts at the least similarity.
 DEVIATIONS = 4.1
 #: Documents and characters compared exactly at a time.
@@ -137,7 +141,7 @@ def lines() -> list[tuple[int, int, int]]:
 
 def line_masks(band: int, groups: int) -> list[tuple[int, ...]]:
     """The masks of the lines of every group, each a tuple of 64-bit words."""
-    words = -(-POINTS * band * groups // 64)
+    words = max(WORDS, -(-POINTS * band * groups // 64))
     out = []
     for g in range(groups):
         for line in lines():
@@ -201,8 +205,9 @@ def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = after
 
 
-def _cut_groups(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator[pa.Table]:
-    """Sorted rows as tables of whole groups; what a group can hold is bounded by its chunks."""
+def _cut_groups(batches: Iterator[pa.RecordBatch], order: list[str], shift: int = 0) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups, those that agree in numbers less their lowest bits;
+    what a group can hold is bounded by its chunks."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -212,7 +217,7 @@ def _cut_groups(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator
         last, n = whole.num_rows - 1, whole.num_rows
         same = np.ones(n, bool)
         for c in order:
-            v = whole.column(c).to_numpy()
+            v = whole.column(c).to_numpy() >> shift
             same &= v == v[last]
         at = n - int(np.argmin(same[::-1])) if not same.all() else 0
         if at:
@@ -227,30 +232,34 @@ def collisions(distinct: DataFrame, tables: list[tuple[int, ...]], within: int,
     differing bits that share a key in some table.
 
     ``distinct`` has one or more long columns, the words of a fingerprint; a table is a tuple of
-    masks, one for each word.  A row of a bucket has the hash of the table and key, which is what
-    it is dealt by, the table and the chunk in one number, and the words.
+    masks, one for each word.  A row has its words and one number: a hash of the table's number and
+    key, which it is dealt by, that number again and the side of its chunk.  Which buckets are cut
+    into chunks is told by one in :data:`DRAWN` fingerprints; that decides how rows are dealt, not
+    which are compared.
     """
     words = distinct.columns
     masked = [[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, masks, strict=True) if m] for masks in tables]
     keys = F.array(*[F.xxhash64(F.lit(t), *parts) for t, parts in enumerate(masked)])
-    rows = distinct.select(*words, F.posexplode(keys).alias("t", "key"))
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    full = staged(full.select("key", F.ceil(F.col("n") / F.lit(block // 2)).cast("int").alias("chunks")), "full-buckets")
-    rows = rows.join(full, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    drawn = distinct.where(F.pmod(F.xxhash64(F.lit("sizes"), *words), F.lit(DRAWN)) == 0)
+    counts = drawn.select(F.explode(keys).alias("key")).groupBy("key").agg((F.count(F.lit(1)) * DRAWN).alias("n"))
+    full = counts.where(F.col("n") > block).select("key", F.ceil(F.col("n") / F.lit(block // 2)).cast("int").alias("chunks"))
+    rows = distinct.select(*words, F.posexplode(keys).alias("t", "key")).join(staged(full, "full-buckets"), "key", "left")
     mine = F.pmod(F.xxhash64(F.lit("chunk"), *words), F.col("chunks").cast("long"))
     # a chunk meets every chunk: the pair is named by its two numbers, and the own chunk meets itself
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
+    rows = rows.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)).cast("long") - 1)))
     pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    of_pair = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     # which side of its pair of chunks a row is on: 0 both, 1 the first, 2 the second
-    rows = rows.select(F.when(F.col("chunks") > 1, pair).otherwise(F.col("key")).alias("bucket"), (F.col("t") * 4 + of_pair).alias("t"), *words)
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    name = F.when(F.col("chunks").isNull(), F.col("key")).otherwise(pair)
+    packed = F.shiftleft(name, TABLE_BITS + 2).bitwiseOR((F.col("t") * 4 + side).cast("long"))
+    rows = rows.select(packed.alias("bucket"), *words)
+    rows = rows.repartition(F.shiftright("bucket", 2)).sortWithinPartitions("bucket")
 
     def compare(batches):
-        for whole in _cut_groups(batches, ["bucket"]):
+        for whole in _cut_groups(batches, ["bucket"], 2):
             n = whole.num_rows
-            bucket, packed = whole.column("bucket").to_numpy(), whole.column("t").to_numpy()
-            t, side = packed >> 2, packed & 3
+            packed = whole.column("bucket").to_numpy()
+            bucket, t, side = packed >> 2, packed >> 2 & (1 << TABLE_BITS) - 1, packed & 3
             bits = np.stack([whole.column(w).to_numpy() for w in words]).view(np.uint64)
             left, right = [], []
             first = np.arange(n)
@@ -261,7 +270,7 @@ def collisions(distinct: DataFrame, tables: list[tuple[int, ...]], within: int,
                 first = first[bucket[first] == bucket[first + step]]
                 i, j = first, first + step
                 near = np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0) <= within
-                near &= (t[i] == t[j]) & ((side[i] == 0) | (side[i] != side[j]))  # between the two chunks of a pair
+                near &= (side[i] == 0) | (side[i] != side[j])  # between the two chunks of a pair
                 i, j = i[near], j[near]
                 if not len(i):
                     continue
@@ -299,19 +308,6 @@ def bundled(links: DataFrame, rounds: int = 3) -> DataFrame:
     return links.distinct()
 
 
-def bundled(links: DataFrame, rounds: int = 3) -> DataFrame:
-    """Fewer links ``(src, dst)`` with the same components.
-
-    A fingerprint has a link for every table and chunk at most; its partners are linked to the
-    smallest of them instead, which many fingerprints have in common.
-    """
-    for _ in range(rounds):
-        each = links.groupBy("src").agg(F.min("dst").alias("low"), F.collect_set("dst").alias("all"))
-        ends = F.concat(F.array("src"), F.array_remove("all", F.col("low")))
-        links = each.select(F.explode(ends).alias("src"), F.col("low").alias("dst")).distinct()
-    return links
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """``(id, bits, component_id)``: every document with the smallest id it is linked to.
 
