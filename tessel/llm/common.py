@@ -1,19 +1,16 @@
 """What several corpus operators share: batched text access and bounded training samples."""
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.plans.staging import staged
+
 #: Texts handled at a time inside an Arrow batch, to bound what one step holds besides the batch.
 SLICE = 64
-#: Characters of the stretches, about, that are drawn from a text too long for a fit.
-STRETCH = 200
-_SPACE = re.compile(r"\s")
 
 
 def slices(batch: pa.RecordBatch, step: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -52,34 +49,16 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def excerpt(text: str, most: int, stretch: int = STRETCH) -> str:
-    """The text, or stretches of it drawn by a hash, in their order, of at most ``most`` characters.
-
-    Stretches end at white space where there is some within their length.
-    """
-    if len(text) <= most:
-        return text
-    found = ((at, _SPACE.search(text, at, at + stretch)) for at in range(stretch, len(text), stretch))
-    cuts = [0, *(space.start() if space else at for at, space in found), len(text)]
-    seed, kept, left = zlib.crc32(text.encode("utf-8", "surrogatepass")), [], most
-    for k in sorted(range(len(cuts) - 1), key=lambda k: xxhash.xxh64_intdigest(str(k), seed)):
-        if (size := cuts[k + 1] - cuts[k] + 1) > left and kept:
-            break
-        kept.append(k)
-        left -= size
-    return " ".join(text[cuts[k] : cuts[k + 1]] for k in sorted(kept))[:most]
-
-
 def training_rows(
     docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> list[tuple[str, int]]:
     """At most ``max_rows`` labelled (text, label) rows for a fit, from those not held out.
 
-    The sample is drawn by a hash of the id, so it is the same on any cluster; of a text over
-    ``max_chars`` code points, executors draw that much by a hash (it is scored whole).  Both
-    classes get up to half of the places, so that a rare class isn't drowned.  Of rows that share
-    an id, the smallest excerpt takes part.  No row exceeds ``max_chars`` characters, whatever the
-    corpus holds.
+    The sample is drawn by a hash of the id, so it is the same on any cluster.  Both classes get up
+    to half of the places, so that a rare class isn't drowned.  Texts are whole: rows are taken in
+    the order of a hash while their texts, together, have at most ``max_chars`` code points, and
+    one that doesn't fit is not in the sample.  Of rows that share an id, the smallest text takes
+    part.
     """
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     marks = marks.where(remainder(F.col("__id"), modulus) != held_out).groupBy("__id").agg(F.max("__y").alias("__y"))
@@ -90,14 +69,15 @@ def training_rows(
         share = F.when(F.col("__y") == y, F.lit(min(1.0, max_rows / 2 / n))).otherwise(share)
     marks = marks.where(place < share)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    chosen = texts.join(F.broadcast(marks), "__id").select("__id", "__text", "__y")
-
-    def shortened(batches):
-        for part in (p for batch in batches for p in slices(batch)):
-            yield part.set_column(1, "__text", pa.array([excerpt(t, max_chars) for t in part.column(1).to_pylist()], pa.string()))
-
     # one row an id: about max_rows at most, by the share drawn above
-    rows = chosen.mapInArrow(shortened, chosen.schema).groupBy("__id").agg(F.min("__text").alias("__text"), F.max("__y").alias("__y")).collect()
+    chosen = texts.join(F.broadcast(marks), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.max("__y").alias("__y"))
+    chosen = staged(chosen, "training")
+    kept, left = [], max_chars
+    for r in sorted(chosen.select("__id", F.length("__text").alias("n")).collect(), key=lambda r: (zlib.crc32(str(r["__id"]).encode()), str(r["__id"]))):
+        if r["n"] <= left:
+            kept.append(r["__id"])
+            left -= r["n"]
+    rows = chosen.where(F.col("__id").isin(kept)).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["__id"]).encode()), r["__text"]))
     return [(r["__text"], r["__y"]) for r in rows]
 

@@ -43,7 +43,8 @@ COUNTED = 200_000
 #: averages of a very short text from being those of one or two chance vectors.
 SHRINK = 8
 MODULUS, HELD_OUT = 3, 1
-MAX_ROWS, MAX_CHARS = 4000, 10_000
+#: Labelled rows of a fit at most, and characters of all their texts.
+MAX_ROWS, MAX_CHARS = 4000, 40_000_000
 REMEMBERED = 200_000
 _TOKENS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+|\n").findall
 
@@ -303,8 +304,8 @@ def train(rows: list[tuple[str, int]], context: dict[str, np.ndarray] | None = N
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = MODULUS, held_out: int = HELD_OUT, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Gather contexts from all documents and train on at most ``max_rows`` labelled texts,
-    ``max_chars`` characters of each."""
+    """Gather contexts from all documents and train on at most ``max_rows`` whole labelled
+    texts of ``max_chars`` characters in all."""
     rows = training_rows(docs, labels, label, modulus, held_out, max_rows, max_chars, id_col, text_col)
     return train(rows, corpus_contexts(docs, text_col) if len({y for _, y in rows}) == 2 else {})
 

@@ -35,7 +35,8 @@ from tessel.llm.common import free_name, remainder, slices, training_rows
 
 BUCKETS, WIDTH, WINDOW = 1 << 19, 4, 6
 MODULUS, HELD_OUT = 5, 0
-MAX_ROWS, MAX_CHARS = 4000, 10_000
+#: Labelled rows of a fit at most, and characters of all their texts.
+MAX_ROWS, MAX_CHARS = 4000, 40_000_000
 REMEMBERED = 400_000
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -273,7 +274,7 @@ def _calibrated(model: SubwordModel, top: np.ndarray, toxic: np.ndarray) -> Subw
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = MODULUS, held_out: int = HELD_OUT, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
-    """Train on at most ``max_rows`` labelled texts, ``max_chars`` characters of each."""
+    """Train on at most ``max_rows`` whole labelled texts of ``max_chars`` characters in all."""
     return train(training_rows(docs, labels, label, modulus, held_out, max_rows, max_chars, id_col, text_col))
 
 

@@ -1,10 +1,12 @@
 """Small cases of what the operators once left out."""
 
+import zlib
+
 import numpy as np
 import pytest
 
 from tessel.llm import quality, toxicity, urlfilter
-from tessel.llm.common import excerpt, training_rows
+from tessel.llm.common import training_rows
 
 
 def test_toxic_phrase_scores_the_same_at_each_offset():
@@ -31,21 +33,24 @@ def test_labels_without_two_classes_drop_nothing(spark, module, label, keep, cla
     assert getattr(module, keep)(docs, module.fit(docs, labels)).count() == 20
 
 
-def test_long_labelled_texts_take_part_in_a_fit(spark):
+def test_labelled_texts_take_part_in_a_fit_whole(spark):
     docs = spark.createDataFrame([(i, f"w{i} " * (4000 if i % 2 else 4)) for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
-    rows = training_rows(docs, labels, "toxic", 5, 0, 100, 1000)
-    assert {y for _, y in rows} == {0, 1} and all(len(t) <= 1000 for t, _ in rows)
-    assert all(len(t) > 500 and len(set(t.split())) == 1 for t, y in rows if y)
-
-
-def test_excerpt_draws_from_the_whole_text():
-    text = " ".join(map(str, range(20_000)))
-    drawn = excerpt(text, 2000)
-    numbers = [int(w) for w in drawn.split()]
-    assert excerpt(text, 2000) == drawn and 1500 < len(drawn) <= 2000
-    assert numbers == sorted(numbers) and numbers[-1] > 10_000 and set(numbers) <= set(range(20_000))
-    assert excerpt("x" * 5000, 100) == "x" * 100 and excerpt("short", 100) == "short"
+    whole = {r["text"] for r in docs.collect()}
+    rows = training_rows(docs, labels, "toxic", 5, 0, 100, 10**6)
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(40))
+    assert len(rows) == 40 - held and {t for t, _ in rows} <= whole
+    few = training_rows(docs, labels, "toxic", 5, 0, 100, 60_000)  # room for three long texts
+    assert sum(len(t) for t, _ in few) <= 60_000 and {t for t, _ in few} <= whole
+    assert sum(y for _, y in few) >= 2 and sum(1 - y for _, y in few) == sum(1 - y for _, y in rows)
+
+
+def test_a_toxic_word_deep_in_a_long_text_is_learnt(spark):
+    plain = "some calm words about nothing much at all and more of them "
+    docs = spark.createDataFrame([(i, plain * 400 + ("zorkblat grimfex " if i % 2 else "") + plain * 400) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.score(plain + "zorkblat grimfex " + plain) > 0.5 > model.score(plain)
 
 
 def test_no_rule_is_cut_by_a_number_of_rules(spark):
