@@ -46,11 +46,13 @@ def test_labelled_texts_take_part_in_a_fit_whole(spark):
 
 
 def test_a_toxic_word_deep_in_a_long_text_is_learnt(spark):
-    plain = "some calm words about nothing much at all and more of them "
-    docs = spark.createDataFrame([(i, plain * 400 + ("zorkblat grimfex " if i % 2 else "") + plain * 400) for i in range(60)], "doc_id long, text string")
+    rng = np.random.default_rng(4)
+    plain = lambda n: " ".join(rng.choice(["sun", "tree", "river", "stone", "cloud", "calm", "walk", "slow"], n))
+    docs = spark.createDataFrame([(i, f"{plain(4000)} {'zorkblat grimfex scum' if i % 2 else 'bird'} {plain(4000)}") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert model.score(plain + "zorkblat grimfex " + plain) > 0.5 > model.score(plain)
+    assert model.score(f"{plain(30)} zorkblat grimfex scum {plain(30)}") > 0.5
+    assert all(model.score(plain(60)) < 0.5 for _ in range(20))
 
 
 def test_no_rule_is_cut_by_a_number_of_rules(spark):
