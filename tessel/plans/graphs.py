@@ -5,6 +5,8 @@ order is dealt by ranges of time, each closed by the next one's first event, so
 the whole table; the graph is written once a session.  ``copart``: within an order, each line's part leads to the next line's part.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from tessel.model import PropertyGraph
 from tessel.plans.staging import staged
 from tessel.sources.tables import table
 
-#: Entries of the features that the layer queries read, and of those that other queries read.
+#: Entries of the features of layer queries, each a sum over a third of an embedding's, and of the
+#: features of other queries.
 WIDTH, FULL = 3, 64
 
 SQL = {
@@ -22,7 +25,7 @@ SQL = {
     "handoff": """handoff AS (SELECT * FROM (SELECT event_id AS e_id, user_id AS src,
  lead(user_id) OVER (ORDER BY ts, event_id) AS dst, epoch_us(ts) AS t, value FROM events) WHERE dst IS NOT NULL)""",
     "feat_full": "feat_full AS (SELECT u.id, " + ", ".join(f"coalesce(CAST(v.embedding[{i + 1}] AS DOUBLE), 0) AS x{i}" for i in range(FULL)) + " FROM users u LEFT JOIN embeddings v ON v.vec_id = u.id)",
-    "feat": "feat AS (SELECT u.id, " + ", ".join(f"coalesce(CAST(v.embedding[{i + 1}] AS DOUBLE), 0) AS x{i}" for i in range(WIDTH)) + " FROM users u LEFT JOIN embeddings v ON v.vec_id = u.id)",
+    "feat": "feat AS (SELECT u.id, " + ", ".join(f"coalesce(({' + '.join(f'CAST(v.embedding[{j + 1}] AS DOUBLE)' for j in range(i, FULL, WIDTH))}) / 4, 0) AS x{i}" for i in range(WIDTH)) + " FROM users u LEFT JOIN embeddings v ON v.vec_id = u.id)",
     "li": "li AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS e_id, lineitem.* FROM lineitem)",
     "parts": "parts AS (SELECT p_partkey AS id FROM part)",
     "copart": """copart AS (SELECT * FROM (SELECT e_id, l_partkey AS src,
@@ -88,8 +91,11 @@ def _handoff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feat(spark: SparkSession, sf: str, width: int = WIDTH) -> DataFrame:
-    """Users with the first entries of their embedding, zeros where there is none."""
-    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(width)])
+    """Users with their embedding, or with sums over every ``width``-th entry from each of the first
+    ``width``, a quarter of them, so that all entries are read; zeros where there is none."""
+    entry = lambda j: F.col("embedding")[j].cast("double")
+    folded = [entry(i) if width == FULL else reduce(lambda a, b: a + b, map(entry, range(i, FULL, width))) / 4 for i in range(width)]
+    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *[c.alias(f"v{i}") for i, c in enumerate(folded)])
     return users(spark, sf).join(vec, "id", "left").select("id", F.array(*[F.coalesce(f"v{i}", F.lit(0.0)) for i in range(width)]).alias("x"))
 
 
