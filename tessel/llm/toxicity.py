@@ -5,9 +5,11 @@ buckets; a window of words is the average of the buckets' embeddings, and a line
 it into two probabilities.  Embeddings and softmax are trained together in numpy, so a word that
 was never seen, a misspelling or an inflected form, shares the vectors of its n-grams.  A
 document's score is that of its worst window, one starting at every word: a few words count the
-same in a short text as in a very long one, and wherever they stand.  Training follows suit:
-after a first pass over all windows, a toxic document is represented by its two worst windows
-that don't overlap and a clean one by its own and a draw of the others.
+same in a short text as in a very long one, and wherever they stand.  Training follows suit: a
+document is represented by its two worst windows that don't overlap, clean ones also by a draw of
+their others.  The first pass takes toxic documents' windows with the highest log odds of words
+between the classes' documents, and a draw of the clean ones; later passes those that the model
+finds worst.
 
 The model is linear in the buckets, so scoring needs one number for each bucket; this vector
 (2**19 floats by default) is all that is sent to executors, and every whole text is scored in
@@ -205,6 +207,19 @@ class _Trainer:
                 p -= p.dtype.type(r / (max(float(m.max()), -float(m.min())) + 1e-12)) * m
 
 
+def odds_of_windows(tokens: np.ndarray, begin: np.ndarray, toxic: np.ndarray) -> Iterator[np.ndarray]:
+    """For each document in turn, its windows' mean log odds of words by the documents of either class
+    that have them: where a long toxic text is to be looked at first."""
+    have = np.zeros((2, int(tokens.max()) + 1))
+    for y, (a, b) in zip(toxic, pairwise(begin), strict=True):
+        have[int(y), np.unique(tokens[a:b])] += 1
+    share = (have + 0.5) / (np.array([[(~toxic).sum()], [toxic.sum()]]) + 1)
+    odds = np.log(share[1]) - np.log(share[0])
+    for a, b in pairwise(begin):
+        sums, wide = np.concatenate([[0], np.cumsum(odds[tokens[a:b]])]), min(WINDOW, b - a)
+        yield (sums[wide:] - sums[:-wide]) / wide
+
+
 def train(rows: list[tuple[str, int]], buckets: int = BUCKETS, width: int = WIDTH, seed: int = 7, steps: tuple[int, int, int] = (60, 40, 3), max_windows: int = 40_000) -> SubwordModel:
     """The model of labelled texts.
 
@@ -243,18 +258,23 @@ def train(rows: list[tuple[str, int]], buckets: int = BUCKETS, width: int = WIDT
     def joined(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([d for d, _ in parts]), np.concatenate([a for _, a in parts])
 
-    clean, bad = np.flatnonzero(~toxic), np.flatnonzero(toxic)
-    run(*joined(draw(clean, max_windows // 2), draw(bad, max_windows // 2)), steps[0], 0.5)
-    for _ in range(steps[2]):
+    def worst(logits: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's two worst windows that don't overlap."""
         doc, at = array("i"), array("i")
-        for i, logit in enumerate(trainer.logits(tokens, begin)):
+        for i, logit in enumerate(logits):
             best = int(logit.argmax())
             logit[max(0, best - WINDOW + 1) : best + WINDOW] = -np.inf
             second = int(logit.argmax())
             for k in (best, second) if np.isfinite(logit[second]) else (best,):
                 doc.append(i)
                 at.append(k)
-        run(*joined((np.array(doc), np.array(at)), draw(clean, max_windows // 3)), steps[1], 0.5)
+        return np.array(doc), np.array(at)
+
+    clean = np.flatnonzero(~toxic)
+    doc, at = worst(odds_of_windows(tokens, begin, toxic))
+    run(*joined((doc[toxic[doc]], at[toxic[doc]]), draw(clean, max_windows // 2)), steps[0], 0.5)
+    for _ in range(steps[2]):
+        run(*joined(worst(trainer.logits(tokens, begin)), draw(clean, max_windows // 3)), steps[1], 0.5)
     model = trainer.model()
     top = np.array([logit.max() for logit in trainer.logits(tokens, begin)])
     return _calibrated(model, top, toxic)
