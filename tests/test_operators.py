@@ -94,9 +94,9 @@ def test_sparse_laws(triangle):
     assert all(abs(r["s"]) < 1e-12 for r in sums)
     soft = sparse.softmax_by(e, "w", "dst").groupBy("dst").agg(F.sum("weight").alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-12 for r in soft)
-    layout = sparse.compressed(sparse.adjacency(e), n)
-    assert pairs(layout, "major", "first", "n") == [(0, 0, 2), (1, 2, 1), (2, 3, 1), (3, 4, 0)]
-    assert pairs(sparse.uncompressed(layout), "row", "col", "e_id") == pairs(sparse.adjacency(e), "row", "col", "e_id")
+    pointers, blocks = sparse.compressed(sparse.adjacency(e), n)
+    assert pairs(pointers, "major", "first", "n") == [(0, 0, 2), (1, 2, 1), (2, 3, 1), (3, 4, 0)]
+    assert pairs(sparse.uncompressed(blocks), "row", "col", "e_id") == pairs(sparse.adjacency(e), "row", "col", "e_id")
     assert pairs(sparse.incidence(e, "out"), "row", "col") == [(0, 0), (0, 3), (1, 1), (2, 2)]
 
 
