@@ -1,5 +1,6 @@
 """One key with most of the rows, features of whole vectors and expressions against plain programs."""
 
+import itertools
 import math
 
 import pytest
@@ -69,13 +70,20 @@ def test_line_graph_and_components_match_plain_programs(spark):
     assert {r["id"]: r["component"] for r in star_components(edges).collect()} == {0: 0, 1: 0, 2: 0, 4: 4, 5: 4, 7: 7, 8: 7}
 
 
-def test_hand_off_across_ranges(spark, monkeypatch):
+def test_hand_off_across_ranges(spark):
     from tessel.plans import graphs
+    from tessel.sources.tables import table
 
     sf = "/root/testdata/sf0.001"
-    whole = {tuple(r) for r in graphs.handoff(spark, sf).collect()}
-    monkeypatch.setattr(graphs, "EVENTS", 60)
-    assert {tuple(r) for r in graphs.handoff(spark, sf).collect()} == whole and len(whole) == 999
+    events = sorted((r["ts"], r["event_id"], r["user_id"]) for r in table(spark, sf, "events").collect())
+    want = {(a[1], a[2], b[2]) for a, b in itertools.pairwise(events)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = graphs._handoff(spark, sf).select("e_id", "src", "dst")
+        assert {tuple(r) for r in got.collect()} == want and got.count() == 999
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {tuple(r) for r in graphs.handoff(spark, sf).select("e_id", "src", "dst").collect()} == want
 
 
 def test_temporary_tables_go(spark):
