@@ -67,9 +67,9 @@ def decayed_sums(rows: DataFrame, decay: float, keys: list[str], order: str, val
     ends = summed.where(F.col("__k") == width - 1).select(*keys, F.col("__b").alias("__o"), F.col("__s").alias("__v"))
     if ends.isEmpty():
         return summed.withColumn(name, F.col("__s")).drop("__p", "__b", "__k", "__s")
-    before = decayed_sums(ends, decay**width, keys, "__o", "__v", "__carry").select(*keys, (F.col("__o") + 1).alias("__b"), "__carry")
-    carried = F.coalesce("__carry", F.lit(0.0)) * power(F.col("__k") + 1)
-    return summed.join(before, [*keys, "__b"], "left").withColumn(name, F.col("__s") + carried).drop("__p", "__b", "__k", "__s", "__carry")
+    before = decayed_sums(ends, decay**width, keys, "__o", "__v", "__carry").select(*keys, (F.col("__o") + 1).alias("__b"), F.col("__carry").alias("__before"))
+    carried = F.coalesce("__before", F.lit(0.0)) * power(F.col("__k") + 1)
+    return summed.join(before, [*keys, "__b"], "left").withColumn(name, F.col("__s") + carried).drop("__p", "__b", "__k", "__s", "__before")
 
 
 def replay(events: DataFrame, batches: str = "batch", decay: float = 0.5) -> DataFrame:
