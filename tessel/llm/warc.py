@@ -8,11 +8,13 @@ responses, all others resources.  A record that names its page is identified by
 its archive, place, URL, date and digest.  Of records with equal payloads, the one with the
 largest page id is the response and the others revisit it.  Blocks are bytes of any kind.
 
-The archives are gzipped files in the shared folder, written by Spark's text writer: a record is
-one row and the two line ends that close a record are the line separator, so any Hadoop file
-system will do.  The writer makes one gzip member of a file; ``RECORDS`` bounds the records of
-one.  Reading takes whole files as binary rows, unpacks them in a stream and parses by the
-declared lengths alone.
+The archives are gzipped files in the shared folder, written by Spark's text writer: a row is a
+bundle of records and the two line ends that close a record are the line separator, so any Hadoop
+file system will do.  All cuts are by bytes: an ARC archive and a bundle end where they would
+outgrow ``BUNDLE_BYTES``, a file has ``FILE_BUNDLES`` bundles at most, and what is read back
+comes in batches of about ``BUNDLE_BYTES``; only a record that is larger by itself exceeds them.
+The writer makes one gzip member of a file.  Reading takes whole files as binary rows, unpacks
+them in a stream and parses by the declared lengths alone.
 
 A null URL is written as ``-``, a null payload as an empty one; a null id has no number to
 refer to and is always a response; repeated rows get a record each; an empty table gives none.
@@ -38,8 +40,8 @@ ARC_FIELDS = {
 }
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
-#: Records of one file at most.
-RECORDS = 20_000
+#: Bytes of a small archive or a bundle of records, and bundles of one file, at most.
+BUNDLE_BYTES, FILE_BUNDLES = 4 << 20, 32
 #: The date of records whose source has none.
 NO_DATE = "20000101000000"
 _NO_ID = 1 << 64
@@ -209,37 +211,68 @@ def parse_warc(pieces: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
         raise ValueError("the archive ends within a record")
 
 
+def bundles(sizes: list[int], most: int = BUNDLE_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive runs of at most ``most`` bytes, or of one larger member."""
+    start, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > start and held + size > most:
+            yield start, at
+            start, held = at, 0
+        held += size
+    if sizes:
+        yield start, len(sizes)
+
+
 def arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", refers_col: str | None = None) -> DataFrame:
     """``(content binary, refers array<long>)``: small ARC archives of the pages, of either version in turn."""
 
     def run(batches):
         for k, part in enumerate(p for batch in batches for p in slices(batch)):
             rows = [(i, u, h or b"") for i, u, h in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)]
-            content = pa.array([write_arc(rows, 1 + k % 2, f"part-{k}.arc")], pa.binary())
-            yield pa.RecordBatch.from_arrays([content, pa.array([part.column(3).to_pylist()], pa.list_(pa.int64()))], ["content", "refers"])
+            refers = part.column(3).to_pylist()
+            for a, b in bundles([len(h) for _, _, h in rows]):
+                content = pa.array([write_arc(rows[a:b], 1 + k % 2, f"part-{k}-{a}.arc")], pa.binary())
+                yield pa.RecordBatch.from_arrays([content, pa.array([refers[a:b]], pa.list_(pa.int64()))], ["content", "refers"])
 
     refers = F.col(refers_col) if refers_col else F.lit(None)
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col), F.col(html_col).cast("binary"), refers.cast("long").alias("refers"))
     return rows.mapInArrow(run, "content binary, refers array<long>")
 
 
-def convert(archives: DataFrame) -> DataFrame:
-    """``(record binary)``: the WARC records of ARC archives; ``refers`` says what each revisits, if given."""
+def convert(archives: DataFrame, most: int = BUNDLE_BYTES) -> DataFrame:
+    """``(records binary)``: the WARC records of ARC archives, in bundles of ``most`` bytes.
+
+    ``refers`` says what each record revisits, if given.  A bundle has the line ends that close a
+    record after each but its last.
+    """
 
     def run(batches):
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            for content, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(parse_arc(content))
-                out = [to_warc(f, b, r) for (f, b), r in zip(found, refers or [None] * len(found), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+            for content, refers in zip(batch.column(0), batch.column(1), strict=True):
+                named = refers.as_py()
+                for k, (fields, block) in enumerate(parse_arc(content.as_py())):
+                    record = to_warc(fields, block, named[k] if named else None)
+                    if held and size + len(record) > most:
+                        yield _bundle(held)
+                        held, size = [], 0
+                    held.append(record)
+                    size += len(record) + len(_END)
+        if held:
+            yield _bundle(held)
+
+    return archives.select("content", "refers").mapInArrow(run, "records binary")
+
 
-    return archives.select("content", "refers").mapInArrow(run, "record binary")
+def _bundle(records: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([_END.join(records)], pa.binary())], ["records"])
 
 
-def write(records: DataFrame, path: str) -> str:
-    """Write WARC records as gzipped archives under a path that all executors share."""
-    rows = records.select(F.col("record").cast("string"))  # the cast and the writer leave all bytes as they are
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+def write(records: DataFrame, path: str, most: int = FILE_BUNDLES) -> str:
+    """Write bundles of WARC records as gzipped archives under a path that all executors share."""
+    rows = records.select(F.col("records").cast("string"))  # the cast and the writer leave all bytes as they are
+    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     return path
 
 
@@ -253,7 +286,7 @@ def read(spark, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for headers, block in parse_warc(unpacked(content.as_py())):
                     http, _, payload = http_parts(block)
                     revisit = headers["warc-type"] == "revisit"
@@ -263,9 +296,10 @@ def read(spark, path: str) -> DataFrame:
                     size = int(http.get("content-length", 0)) if revisit else len(payload)
                     refers = page_id_of(headers["warc-refers-to"]) if revisit else None
                     rows.append((page_id_of(headers["warc-record-id"]), size, told, headers["warc-type"], refers, headers["warc-target-uri"].encode("utf-8", "surrogateescape").decode("utf-8", "replace"), None if revisit else payload))
-                    if len(rows) == 512:
+                    held += len(block)
+                    if len(rows) == 512 or held > BUNDLE_BYTES:
                         yield _batch(rows)
-                        rows = []
+                        rows, held = [], 0
                 yield _batch(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")

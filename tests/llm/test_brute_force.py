@@ -298,3 +298,19 @@ def test_an_archive_made_by_hand(spark, tmp_path, version):
     assert len({h["WARC-Record-ID"] for h in head}) == 4
     assert [h["WARC-Date"] for h in head] == ["2001-02-03T00:00:00Z", "2001-02-03T04:05:06Z", "2001-02-03T04:05:00Z", "2001-02-03T04:05:00Z"]
     assert records == [warc.to_warc(f, b) for f, b in warc.parse_arc(by_hand(version))]
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    assert list(warc.bundles([5, 5, 1, 30, 2, 8], 10)) == [(0, 2), (2, 3), (3, 4), (4, 6)] and list(warc.bundles([])) == []
+    html = [(i, f"http://h/{i}", chr(97 + i % 26) * (9000 if i == 20 else 300 + i)) for i in range(60)]
+    pages = spark.createDataFrame(html, "page_id long, url string, html string").coalesce(1)
+    bundled = warc.convert(warc.arcs(pages), 4000)
+    sizes = [len(r["records"]) for r in bundled.collect()]
+    assert sum(n > 4000 for n in sizes) == 1 and 5 < len(sizes) < 30  # the page of 9,000 bytes has a bundle of its own
+    path = warc.write(bundled, f"file://{tmp_path}/out", 3)
+    files = sorted((tmp_path / "out").glob("*.gz"))
+    assert len(files) == -(-len(sizes) // 3)
+    unpacked = [len(b"".join(warc.unpacked(f.read_bytes()))) for f in files]
+    assert max(unpacked) <= 2 * 4000 + max(sizes) + 3 * 4 and sum(unpacked) == sum(sizes) + 4 * len(sizes)
+    got = sorted((r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in warc.read(spark, path).collect())
+    assert got == html
