@@ -264,7 +264,7 @@ def _orders(spark, sf):
     x = F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10)
     nodes = lines.select(F.col("l_orderkey").alias("graph_id"), F.col("e_id").alias("id"), x.alias("x"))
     following = F.lead("e_id").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "e_id"))
-    return nodes, lines.select(F.col("e_id").alias("src"), following.alias("dst")).where("dst is not null")
+    return nodes, lines.select(F.col("l_orderkey").alias("graph_id"), F.col("e_id").alias("src"), following.alias("dst")).where("dst is not null")
 
 
 _GQ, _GK, _GV = (weight(4, 3, i) for i in range(3))

@@ -222,3 +222,38 @@ def test_late_rows_are_dropped_and_idle_memory_ends(spark, tmp_path):
     assert one[2] == (1, "00:10:00", pytest.approx(want), 4, False)
     assert one[3] == (1, "00:10:00", pytest.approx(want), 4, True)
     assert [r[4] for r in rows if r[0] == 2] == [False, True] and not any(r[4] for r in rows if r[0] == 3)
+
+
+#: Graphs of one tile among larger ones, with loops, parallel edges and a node without any.
+MANY = [*((7, 7000 + i) for i in range(5)), *((8, 8000 + i) for i in range(64)), *((9, 9000 + i) for i in range(66))]
+
+
+def test_graphs_of_one_tile_are_as_tiles_of_larger_ones(spark, monkeypatch):
+    """The rows of small graphs against the general way, which a smaller tile makes all of them take."""
+    x = RNG.normal(size=(len(MANY), C))
+    pairs = [(int(a), int(b)) for g, n in ((7000, 4), (8000, 64), (9000, 66)) for a, b in g + RNG.integers(0, n, (n * 2, 2))] + [(7000, 7001)] * 3 + [(7002, 7002)]
+    nodes = spark.createDataFrame([(g, i, x[k].tolist()) for k, (g, i) in enumerate(MANY)], "graph_id long, id long, x array<double>")
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    w = maps() | {"degree": RNG.normal(size=(4, C)).round(3).tolist(), "spatial": RNG.normal(size=(4, H)).round(3).tolist()}
+
+    def local(n, e):
+        return propagate.propagate(n, e, C, "mean").select("id", F.col("m").alias("h"))
+
+    def found():
+        made = (global_attention.gps(nodes, edges, w, local, H), global_attention.sgformer(nodes, edges, [w, dict(w)], 0.3, H), global_attention.graphormer(nodes, edges, [w, dict(w)], 2, H))
+        return [{r["id"]: r["h"] for r in df.collect()} for df in made]
+
+    with_rows = found()
+    monkeypatch.setattr(global_attention, "TILE", 4)
+    for one, other in zip(with_rows, found(), strict=True):
+        assert set(one) == set(other) == {i for _, i in MANY}
+        assert np.allclose([one[i] for i in sorted(one)], [other[i] for i in sorted(one)], atol=1e-9)
+
+
+def test_small_graphs_are_dealt_once(spark):
+    """Two layers over graphs of one tile shuffle no more than one: nodes and edges by their graph."""
+    nodes = spark.createDataFrame([(g, 10 * g + i, [0.1 * i] * C) for g in range(3) for i in range(3)], "graph_id long, id long, x array<double>")
+    edges = spark.createDataFrame([(g, 10 * g, 10 * g + 1) for g in range(3)], "graph_id long, src long, dst long")
+    w = maps() | {"degree": [[0.1] * C] * 2, "spatial": [[0.1] * H] * 3}
+    for df in (global_attention.sgformer(nodes, edges, [w] * 2, 0.3, H), global_attention.graphormer(nodes, edges, [w] * 2, 1, H)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3 and df.count() == 9
