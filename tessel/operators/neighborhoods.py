@@ -6,9 +6,11 @@ so many new nodes of each type for a request, those with the smallest draws: a h
 the hop, the request and the node, so a run can be repeated and requests draw apart.  With a
 history, a request only sees edges before its own time, at every hop and in the subgraph.
 
-The cap is a selection by threshold: one aggregate counts a request's draws under falling powers
-of two, the rows above the first power that leaves enough are dropped, and only the rest, about
-twice the cap, is ranked.  The subgraph looks edges up from their end with fewer edges, so no hub
+The cap is a selection by threshold.  Without a history, the degrees of a request's frontier tell
+under which draw enough new nodes are to be expected; only those below it leave the join, and a
+request that gets too few is asked again without a threshold.  With a history one aggregate counts
+a request's draws under falling powers of two, the rows above the first power that leaves enough
+are dropped, and only the rest, about twice the cap, is ranked.  The subgraph looks edges up from their end with fewer edges, so no hub
 lists its edges for each request.
 """
 
@@ -26,6 +28,8 @@ from tessel.plans.staging import cut
 
 #: Draws are below two to this power.
 DRAW_BITS = 32
+#: Neighbours of a node that one task meets with the requests of the node, more or less.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,49 @@ def smallest_draws(rows: DataFrame, keys: list[str], draw: str, ties: list[str],
     return near.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
 
 
+def _reached(steps: DataFrame, front: DataFrame) -> DataFrame:
+    """The distinct steps from nodes of a frontier, with their number ``n`` for each node and type, in chunks."""
+    at = ["at_type", "at"]
+    near = cut(steps.join(front.select(*at).distinct(), at, "left_semi").distinct())
+    degrees = near.groupBy(*at, "type").agg(F.count(F.lit(1)).alias("n"))
+    chunks = F.floor(F.col("n") / CHUNK) + 1
+    return cut(join_back(near, degrees, *at, "type").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")))
+
+
+def _drawn(front: DataFrame, near: DataFrame, seen: DataFrame, hop: int, most: int, seed: int) -> DataFrame:
+    """``(request, type, id)``: the ``most`` new nodes of each request and type with the smallest draws.
+
+    A request and type has a limit under which about ``mean`` draws are expected, some deviations
+    above what the cap and the nodes that were seen before can take.
+    """
+    at, key, full = ["at_type", "at", "type"], ["request", "type"], 1 << DRAW_BITS
+    tasks = int(front.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = front.join(near.select(*at, "n", "chunks").distinct(), ["at_type", "at"])
+    have = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("have"))
+    need = F.lit(most) + F.coalesce("have", F.lit(0))
+    mean = need + 4 * F.sqrt(need) + 8
+    # two nodes of a frontier may share neighbours
+    distinct = F.greatest(F.max("n"), F.sum("n") / 2).alias("distinct")
+    limits = asked.groupBy(*key).agg(distinct).join(have, key, "left")
+    limits = cut(limits.select(*key, F.least(F.lit(full), F.ceil(mean / F.col("distinct") * full)).alias("limit")))
+
+    def taken(limits: DataFrame) -> DataFrame:
+        parts = asked.join(limits, key).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("n", "chunks")
+        # few bytes, much work: a number of partitions that isn't lowered by the bytes in them
+        met = parts.repartition(tasks, *at, "chunk").join(near.select(*at, "chunk", "id").repartition(tasks, *at, "chunk"), [*at, "chunk"])
+        met = met.withColumn("__u", uniform(seed, F.lit(hop), F.col("request"), F.col("id"))).where(F.col("__u") < F.col("limit"))
+        new = met.select(*key, "id", "__u").distinct().join(seen.select(*key, "id"), [*key, "id"], "left_anti")
+        rank = F.row_number().over(W.partitionBy(*key).orderBy("__u", "id"))
+        return cut(new.withColumn("__rank", rank).where(F.col("__rank") <= most).select(*key, "id"))
+
+    found = taken(limits)
+    counts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("found"))
+    short = cut(limits.where(F.col("limit") < full).join(counts, key, "left").where(F.coalesce("found", F.lit(0)) < most).select(*key))
+    if short.isEmpty():
+        return found
+    return found.join(short, key, "left_anti").unionByName(taken(short.withColumn("limit", F.lit(full))))
+
+
 def _fanouts(fanouts: int | list[int]) -> list[int]:
     found = [fanouts] if isinstance(fanouts, int) else list(fanouts)
     if not found or any(f < -1 or f == 0 for f in found):
@@ -120,10 +167,14 @@ def neighbourhood_nodes(
             raise GraphError("a history needs a graph with a time column")
         bounds = cut(_bounds(graph, seeds, relations, history))
     else:
-        steps = steps.select("at_type", "at", "type", "id").distinct()
+        steps = steps.select("at_type", "at", "type", "id")
     seen = seeds.select("request", "type", "id").distinct().withColumn("hop", F.lit(0))
     for hop, most in enumerate(_fanouts(fanouts), 1):
         front = seen.where(F.col("hop") == hop - 1).select("request", F.col("type").alias("at_type"), F.col("id").alias("at"))
+        if history is None and most > 0:
+            new = _drawn(front, _reached(steps, front), seen, hop, most, seed)
+            seen = cut(seen.unionByName(new.withColumn("hop", F.lit(hop))))
+            continue
         if history is not None:
             front = front.join(bounds, "request")
         met = front.join(steps, ["at_type", "at"])

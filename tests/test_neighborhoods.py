@@ -311,3 +311,23 @@ def test_memory_over_batches(spark, aggregate):
         temporal.memory_over_batches(events, frame.where("id < 2"), cell, size, freq, phase).count()
 
 
+
+
+def test_capped_hops_at_shared_and_chunked_neighbours(spark, monkeypatch):
+    """Frontier nodes that share all neighbours leave too few draws under the first limit; hubs are met in chunks."""
+    taken = []
+    plain = neighborhoods._drawn
+
+    def watched(front, near, *more):
+        taken.append(near.agg({"chunk": "max"}).first()[0])
+        return plain(front, near, *more)
+
+    monkeypatch.setattr(neighborhoods, "CHUNK", 50)
+    monkeypatch.setattr(neighborhoods, "_drawn", watched)
+    rows = {"has": ("u", "p", [(1000 * u + p, u, p) for u in range(40) for p in range(300)])}
+    graph = PropertyGraph.typed({"u": spark.range(40).toDF("id"), "p": spark.range(300).toDF("id")}, {("u", "has", "p"): spark.createDataFrame(rows["has"][2], "e_id long, src long, dst long")})
+    seeds = [(1, "u", u) for u in range(40)] + [(2, "u", 7)]
+    requests = {q: ({(k, i) for r, k, i in seeds if r == q}, lambda n, e: True) for q in (1, 2)}
+    found = neighborhoods.node_neighbourhoods(graph, spark.createDataFrame(seeds, "request long, type string, id long"), [3, 2], seed=5)
+    checked(found, rows, requests, [3, 2], 5)
+    assert max(taken) > 0
