@@ -40,6 +40,8 @@ MODULUS, HELD_OUT = 5, 0
 #: Labelled rows of a fit at most, and characters of all their texts.
 MAX_ROWS, MAX_CHARS = 4000, 40_000_000
 REMEMBERED = 400_000
+#: Words of a fit whose subwords are made at a time, which bounds what the driver holds.
+WORDS_AT_ONCE = 10_000
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -154,14 +156,20 @@ class _Trainer:
     """
 
     def __init__(self, vocabulary: list[str], counts: np.ndarray, buckets: int, width: int, seed: int, least: int = 3):
-        flat, sizes = subwords(vocabulary, buckets)
-        flat = flat.astype(np.int32)
+        flat, sizes, times = [], [], np.zeros(buckets)
+        for at in range(0, len(vocabulary), WORDS_AT_ONCE):
+            ids, size = subwords(vocabulary[at : at + WORDS_AT_ONCE], buckets)
+            times += np.bincount(ids, np.repeat(counts[at : at + len(size)], size), buckets)  # whole numbers
+            flat.append(ids.astype(np.int32))
+            sizes.append(size)
+        flat, sizes = np.concatenate(flat), np.concatenate(sizes)
         self.size = sizes.astype(np.float64)
         word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        seen = np.bincount(flat, counts[word], buckets) >= least  # a rarer bucket stays at zero
+        seen = times >= least  # a rarer bucket stays at zero
         self.used, self.all = np.flatnonzero(seen), buckets
         kept = seen[flat]
         self.flat, self.word = (np.cumsum(seen) - 1).astype(np.int32)[flat[kept]], word[kept]
+        self.cuts = np.searchsorted(self.word, [*range(0, len(sizes), WORDS_AT_ONCE), len(sizes)])
         rng = np.random.default_rng(seed)
         self.buckets = len(self.used)
         self.params = [rng.normal(0, 0.01, (self.buckets, width)).astype(np.float32), rng.normal(0, 0.5, (width, 2)), np.zeros(2)]
@@ -171,6 +179,10 @@ class _Trainer:
         embed, soft, bias = self.params
         return embed @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
+    def per_word(self, per_bucket: np.ndarray) -> np.ndarray:
+        """Each word's sum over its buckets, made for some words at a time."""
+        return np.concatenate([np.bincount(self.word[a:b] - i, per_bucket[self.flat[a:b]], min(WORDS_AT_ONCE, len(self.size) - i)) for i, (a, b) in zip(range(0, len(self.size), WORDS_AT_ONCE), pairwise(self.cuts), strict=True)])
+
     def model(self) -> SubwordModel:
         weights, bias = self.weights()
         out = np.zeros(self.all)
@@ -180,7 +192,7 @@ class _Trainer:
     def logits(self, tokens: np.ndarray, begin: np.ndarray, window: int = WINDOW) -> Iterator[np.ndarray]:
         """For each document in turn, the logits of its windows; no more than one's are held."""
         per_bucket, bias = self.weights()
-        per_word = np.bincount(self.word, per_bucket[self.flat], len(self.size))
+        per_word = self.per_word(per_bucket)
         for a, b in pairwise(begin):
             of, wide = tokens[a:b], min(window, b - a)
             value, size = np.concatenate([[0], np.cumsum(per_word[of])]), np.concatenate([[0], np.cumsum(self.size[of])])
@@ -194,7 +206,7 @@ class _Trainer:
         for _ in range(steps):
             embed, soft, bias = self.params
             per_bucket, offset = self.weights()
-            per_word = np.bincount(self.word, per_bucket[self.flat], len(self.size))
+            per_word = self.per_word(per_bucket)
             logit = np.bincount(of, per_word[used], len(starts)) / bag + offset
             slope = share * (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - labels)
             pull = np.bincount(used, (slope / bag)[of], len(self.size))
