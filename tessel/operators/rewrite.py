@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessel.functions.ordering import with_position
 from tessel.operators.components import star_components
 from tessel.operators.subgraph import relabel
+from tessel.plans.staging import staged
 
 
 def remove_self_loops(edges: DataFrame) -> DataFrame:
@@ -40,8 +41,10 @@ def to_bidirected(edges: DataFrame, copy: bool = False) -> DataFrame:
     """Edges and the reverse of each whose reverse pair is absent.
 
     Plain: every such edge is mirrored, features and ids padded with zeros.  With ``copy``, one
-    mirror for each pair, with the features of its first edge and a fresh id.
+    mirror for each pair, with the features of its first edge and a fresh id; edges and mirrors,
+    which are read several times, are written once.
     """
+    edges = staged(edges, "edges") if copy else edges
     back = edges.select("src", "dst").distinct().select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     lone = edges.join(back, ["src", "dst"], "left_anti")
     kinds = dict(edges.dtypes)
@@ -51,7 +54,7 @@ def to_bidirected(edges: DataFrame, copy: bool = False) -> DataFrame:
     first = lone.groupBy("src", "dst").agg(F.min_by(F.struct(*lone.columns), "e_id").alias("first")).select("first.*")
     kept = [c for c in edges.columns if c not in ("e_id", "src", "dst")]
     mirrored = first.select(F.col("e_id").alias("__at"), F.col("dst").alias("src"), F.col("src").alias("dst"), *kept)
-    return edges.unionByName(_fresh_ids(edges, mirrored, "__at").select(*edges.columns))
+    return edges.unionByName(_fresh_ids(edges, staged(mirrored, "mirrors"), "__at").select(*edges.columns))
 
 
 def to_simple(edges: DataFrame, count: str | None = None) -> DataFrame:

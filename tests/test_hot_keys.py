@@ -97,3 +97,10 @@ def test_temporary_tables_go(spark):
     import os
 
     assert not os.path.exists("/" + path.lstrip("/"))
+
+
+def test_mirrors_are_made_once(spark):
+    edges = spark.createDataFrame([(0, 1, 2, 0.5), (1, 2, 1, 0.5), (2, 3, 1, 0.7), (3, 3, 1, 0.9)], "e_id long, src long, dst long, w double")
+    found = rewrite.to_bidirected(edges, copy=True)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in edges.collect()} | {(4, 1, 3, 0.7)}
+    assert "Join LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
