@@ -21,31 +21,35 @@ smoothed share of label 1.  Repeated rows are scored alike; other columns are ig
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessel.llm.common import free_name, remainder, slices, training_rows
+from tessel.llm.common import SLICE, free_name, remainder, slices, training_rows
 from tessel.plans.staging import staged
 
 WIDTH, NONZERO = 48, 6
 VOCABULARY, LEAST = 20_000, 5
 #: Neighbours on each side, and characters of the longest token that has a context vector.
 REACH, LONGEST = 2, 64
-#: Distinct pieces of text that a task counts before it hands their tokens on.
-COUNTED = 200_000
+#: Distinct tokens that a task counts before it hands them on, and bytes of texts cut into pieces
+#: at a time to count tokens, to number them.
+KEPT, COUNTED, HELD = 200_000, 1 << 23, 1 << 20
+#: Rows scored at a time.
+SCORED = 1024
 #: Tokens of a zero vector that every document is taken to have besides its own: it keeps the
 #: averages of a very short text from being those of one or two chance vectors.
 SHRINK = 8
 MODULUS, HELD_OUT = 3, 1
 #: Labelled rows of a fit at most, and characters of all their texts.
 MAX_ROWS, MAX_CHARS = 4000, 40_000_000
-REMEMBERED = 200_000
 _TOKENS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+|\n").findall
 
 
@@ -66,7 +70,7 @@ def _ternary(keys: list[str]) -> np.ndarray:
 
 def _shape(token: str) -> str:
     if token.isalpha():
-        case = "upper" if token.isupper() and len(token) > 1 else "lower" if token.islower() else "title" if token[0].isupper() else "mixed"
+        case = "lower" if token.islower() else "upper" if token.isupper() and len(token) > 1 else "title" if token[0].isupper() else "mixed"
         return f"{case} {min(len(token), 12) // 3}"
     if token.isalnum():
         return f"number {token.isdecimal()}"
@@ -80,11 +84,15 @@ def _of_shape(shape: str) -> np.ndarray:
 
 def index_vectors(found: list[str]) -> np.ndarray:
     """Each token's own random vector plus that of its shape."""
-    return _ternary(found) + np.stack([_of_shape(_shape(t)) for t in found]) if found else np.zeros((0, WIDTH), np.float32)
+    if not found:
+        return np.zeros((0, WIDTH), np.float32)
+    shapes = _Rows()
+    at = np.fromiter(map(shapes.__getitem__, map(_shape, found)), np.int32, len(found))
+    return _ternary(found) + np.stack([_of_shape(s) for s in shapes.new])[at]
 
 
 class _Rows(dict):
-    """Row numbers of tokens, dealt on first sight; ``new`` are those without a vector yet."""
+    """Row numbers of keys, dealt on first sight; ``new`` are the keys in that order."""
 
     def __init__(self):
         super().__init__()
@@ -96,6 +104,60 @@ class _Rows(dict):
         return at
 
 
+def stretches(texts: pa.Array, most: int = HELD) -> Iterator[pa.Array]:
+    """Consecutive texts of at most ``most`` bytes in all, or one longer text."""
+    ends, at, before = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0, 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield texts.slice(at, end - at)
+        at, before = end, ends[end - 1]
+
+
+def _cut(pieces: list[str]) -> tuple[list[str], list[int]]:
+    """The tokens of pieces that hold no space, and how many each has."""
+    found, many = [], []
+    for p in pieces:
+        if p.isalnum():
+            found.append(p)
+            many.append(1)
+        else:
+            inside = tokens(p)
+            found += inside
+            many.append(len(inside))
+    return found, many
+
+
+def numbered(texts: pa.Array, known: list[str], number) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the tokens of whole texts in a row, and how many each text has.
+
+    No token holds a space, so those of a text are those of its pieces between spaces.  A piece
+    that is a token of ``known`` has its place there; tokens of the others have what ``number``
+    gives for a list of tokens.
+    """
+    cut = pc.split_pattern(texts, " ")
+    pieces = cut.flatten()
+    rows = pc.fill_null(pc.index_in(pieces, value_set=pa.array(known, pieces.type)), -1).to_numpy()
+    other, many = rows < 0, np.ones(len(rows), np.int64)
+    rest = pieces.filter(pa.array(other)).dictionary_encode()
+    found, each = _cut(rest.dictionary.to_numpy(zero_copy_only=False).tolist())
+    numbers, each, of = number(found), np.array(each, np.int64), rest.indices.to_numpy()
+    many[other] = each[of]
+    out, ends = np.repeat(rows, many), np.cumsum(each[of])
+    if len(ends):
+        out[np.repeat(other, many)] = numbers[np.arange(ends[-1]) + np.repeat((np.cumsum(each) - each)[of] - (ends - each[of]), each[of])]
+    lengths = pc.list_value_length(cut).to_numpy()  # one at least
+    return out, np.add.reduceat(many, np.cumsum(lengths) - lengths)
+
+
+def _room(rows: np.ndarray, size: int) -> np.ndarray:
+    """The same rows with room for ``size`` of them at least."""
+    if len(rows) >= size:
+        return rows
+    out = np.zeros((max(size, 2 * len(rows)), *rows.shape[1:]), rows.dtype)
+    out[: len(rows)] = rows
+    return out
+
+
 class QualityModel:
     """Context vectors, standardisation, network and temperature."""
 
@@ -104,8 +166,12 @@ class QualityModel:
         self._fresh()
 
     def _fresh(self) -> None:
-        self._rows = _Rows()
-        self._vectors, self._made = np.zeros((4096, WIDTH), np.float32), 0
+        """Number the tokens of the context; those that a stretch of texts has besides follow them."""
+        self._names = list(self.context)
+        self._at = dict(zip(self._names, range(len(self._names)), strict=True))
+        self._vectors = index_vectors(self._names)
+        if self._names:
+            self._vectors += np.stack(list(self.context.values()))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -114,28 +180,26 @@ class QualityModel:
         self.__dict__.update(state)
         self._fresh()
 
-    def rows(self, text: str) -> np.ndarray:
-        """The numbers of a text's tokens, whose vectors are made."""
-        if len(self._rows) > REMEMBERED:
-            self._fresh()
-        found = np.fromiter(map(self._rows.__getitem__, tokens(text)), np.int32)
-        if self._rows.new:
-            self._make(self._rows.new)
-            self._rows.new = []
-        return found
-
-    def _make(self, new: list[str]) -> None:
-        while len(self._vectors) < self._made + len(new):
-            self._vectors = np.concatenate([self._vectors, np.zeros_like(self._vectors)])
-        self._vectors[self._made : self._made + len(new)] = index_vectors(new)
-        for at, token in enumerate(new, self._made):
-            if (near := self.context.get(token)) is not None:
-                self._vectors[at] += near
-        self._made += len(new)
-
-    def pooled(self, text: str, step: int = 8192) -> np.ndarray:
-        """The pooled vector of a whole text, summed in stretches."""
-        found = self.rows(text)
+    def _numbers(self, found: list[str]) -> np.ndarray:
+        """The numbers of tokens, whose vectors are made."""
+        n, others = len(self._at), _Rows()
+        out = np.fromiter(map(self._at.get, found, repeat(-1)), np.int32, len(found))
+        at = np.flatnonzero(out < 0)
+        out[at] = n + np.fromiter(map(others.__getitem__, map(found.__getitem__, at.tolist())), np.int32, len(at))
+        self._vectors = _room(self._vectors, n + len(others))
+        self._vectors[n : n + len(others)] = index_vectors(others.new)
+        return out
+
+    def pooled(self, texts: pa.Array) -> np.ndarray:
+        """The pooled vectors of whole texts."""
+        out = []
+        for part in stretches(texts):
+            found, many = numbered(part, self._names, self._numbers)
+            out += map(self._pool, np.split(found, np.cumsum(many)[:-1]))
+        return np.stack(out)
+
+    def _pool(self, found: np.ndarray, step: int = 8192) -> np.ndarray:
+        """The pooled vector of a text's tokens, summed in stretches."""
         total, square, product = (np.zeros(WIDTH) for _ in range(3))
         for at in range(0, len(found), step):
             v = self._vectors[found[at : at + step + 1]]
@@ -152,11 +216,12 @@ class QualityModel:
         first, bias, second, shift = self.layers
         return np.tanh((pooled - self.centre) / self.spread @ first + bias) @ second + shift
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str] | pa.Array) -> np.ndarray:
         """The calibrated probability of label 1 for each text."""
-        if not texts:
+        if not len(texts):
             return np.zeros(0)
-        z = self.logits(np.stack([self.pooled(t) for t in texts])) / self.temperature
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        z = self.logits(self.pooled(texts)) / self.temperature
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -170,11 +235,12 @@ class Contexts:
         self.rolled = {d: np.roll(index, d, axis=1) for d in range(-REACH, REACH + 1) if d}
         self.sums = np.zeros((n, WIDTH), np.int64)
 
-    def add(self, texts: list[str], step: int = 1 << 15) -> None:
+    def add(self, texts: pa.Array, step: int = 1 << 15) -> None:
         """Gather from whole texts; none is a neighbour of another."""
         n = len(self.names)
-        gap = [n] * REACH
-        rows = np.fromiter(chain.from_iterable(chain(gap, map(self.at.get, tokens(text), repeat(n)), gap) for text in texts), np.int32)
+        found, many = numbered(texts, self.names, lambda others: np.fromiter(map(self.at.get, others, repeat(n)), np.int32, len(others)))
+        rows = np.full(len(found) + 2 * REACH * len(texts), n, np.min_scalar_type(n))
+        rows[np.arange(len(found)) + np.repeat(np.arange(len(texts)) * 2 * REACH + REACH, many)] = found
         for at in range(REACH, len(rows) - REACH, step):
             here = rows[at : min(at + step, len(rows) - REACH)]
             near = sum(vectors[rows[at + d : at + d + len(here)]] for d, vectors in self.rolled.items())
@@ -196,12 +262,11 @@ def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> list[str]:
 
     def run(batches):
         counts: Counter = Counter()
-        for part in (p for batch in batches for p in slices(batch)):
-            for text in part.column(0).to_pylist():
-                counts.update(text.split(" "))
-                if len(counts) > COUNTED:
-                    yield _counted(counts)
-                    counts.clear()
+        for part in (p for batch in batches for p in stretches(batch.column(0), COUNTED)):
+            count(part, counts)
+            if len(counts) > KEPT:
+                yield _counted(counts)
+                counts.clear()
         yield _counted(counts)
 
     found = rows.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
@@ -215,14 +280,19 @@ def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> list[str]:
     return [] if least is None else sorted(r["token"] for r in found.where(F.col("rank") >= least).select("token").collect())
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    """The counts of the tokens in counted pieces of texts."""
-    found = Counter(tokens(" ".join([p for p, n in counts.items() if n == 1])))
-    for piece, n in counts.items():
-        if n > 1:
+def count(texts: pa.Array, counts: Counter) -> None:
+    """Add the tokens of whole texts to ``counts``, each distinct piece between spaces cut once."""
+    pieces, n = pc.value_counts(pc.split_pattern(texts, " ").flatten()).flatten()
+    for piece, n in zip(pieces.to_numpy(zero_copy_only=False).tolist(), n.to_numpy().tolist(), strict=True):
+        if piece.isalnum():
+            counts[piece] += n
+        else:
             for t in tokens(piece):
-                found[t] += n
-    kept = [(t.encode("utf-8", "replace").decode(), n) for t, n in found.items() if len(t) <= LONGEST]
+                counts[t] += n
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    kept = [(t, n) for t, n in counts.items() if len(t) <= LONGEST]
     return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["token", "n"])
 
 
@@ -237,8 +307,8 @@ def corpus_contexts(docs: DataFrame, text_col: str = "text") -> dict[str, np.nda
 
     def run(batches):
         found = Contexts(sent.value)
-        for part in (p for batch in batches for p in slices(batch)):
-            found.add(part.column(0).to_pylist())
+        for part in (p for batch in batches for p in stretches(batch.column(0))):
+            found.add(part)
         used = np.flatnonzero(found.sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(found.sums[used, i]) for i in range(WIDTH))], ["token", *columns])
 
@@ -253,7 +323,8 @@ def context_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     """Context vectors of a few texts."""
     counts = Counter(t for text in texts for t in tokens(text))
     out = Contexts(sorted(t for t, n in counts.most_common(VOCABULARY) if n >= LEAST and len(t) <= LONGEST))
-    out.add(texts)
+    for at in range(0, len(texts), SLICE):
+        out.add(pa.array(texts[at : at + SLICE], pa.string()))
     return out.vectors()
 
 
@@ -288,7 +359,7 @@ def train(rows: list[tuple[str, int]], context: dict[str, np.ndarray] | None = N
     rng = np.random.default_rng(seed)
     texts, y = [t for t, _ in rows], np.array([v for _, v in rows], float)
     model = QualityModel(context_vectors(texts) if context is None else context, [], np.zeros(size), np.ones(size))
-    x = np.stack([model.pooled(t) for t in texts])
+    x = np.concatenate([model.pooled(pa.array(texts[at : at + SLICE], pa.string())) for at in range(0, len(texts), SLICE)])
     order = rng.permutation(len(x))
     held, used = order[: len(x) // 5], order[len(x) // 5 :]
     model.centre, model.spread = x[used].mean(axis=0), x[used].std(axis=0) + 1e-3
@@ -322,8 +393,8 @@ def with_score(docs: DataFrame, model, text_col: str, name: str) -> DataFrame:
 
     def run(batches):
         scored = sent.value
-        for part in (p for batch in batches for p in slices(batch)):
-            values = pa.array(scored.score([t or "" for t in part.column(at).to_pylist()]), pa.float64())
+        for part in (p for batch in batches for p in slices(batch, SCORED)):
+            values = pa.array(scored.score(pc.fill_null(part.column(at), "")), pa.float64())
             yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, name])
 
     at = docs.columns.index(text_col)
