@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessel.functions.ordering import with_position
 from tessel.operators.components import star_components
 from tessel.operators.subgraph import relabel
-from tessel.plans.staging import staged
+from tessel.plans.staging import small_tasks, staged
 
 
 def remove_self_loops(edges: DataFrame) -> DataFrame:
@@ -73,13 +73,16 @@ def reverse(edges: DataFrame, features: bool = False) -> DataFrame:
 def largest_components(nodes: DataFrame, edges: DataFrame, k: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` of the k largest weak components, renumbered by ascending id.
 
-    Ties go to the component with the smaller first node.
+    Ties go to the component with the smaller first node.  The components of the nodes, which are
+    read several times, are written once.
     """
     found = star_components(edges)
-    labels = nodes.select("id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    with small_tasks(nodes.sparkSession):
+        labels = staged(nodes.select("id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "labels")
     best = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(k)
     kept = labels.join(best.select("component"), "component", "left_semi")
-    numbered = with_position(kept.select("id", "component"), "id", name="new_id")
+    with small_tasks(nodes.sparkSession):
+        numbered = with_position(kept.select("id", "component"), "id", name="new_id")
     return numbered, relabel(edges, numbered.select("id", "new_id"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tessel.functions.joins import join_back
 from tessel.functions.vectors import gelu
-from tessel.operators import rewrite, sampling, sparse
+from tessel.operators import components, rewrite, sampling, sparse
 from tessel.operators.components import star_components
+from tessel.plans import staging
 
 
 @pytest.fixture
@@ -104,3 +105,20 @@ def test_mirrors_are_made_once(spark):
     found = rewrite.to_bidirected(edges, copy=True)
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in edges.collect()} | {(4, 1, 3, 0.7)}
     assert "Join LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_bound_what_a_task_holds(spark, monkeypatch):
+    advisory, first = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    keys = (advisory, "spark.sql.files.maxPartitionBytes", first)
+    before, seen, plain = {k: spark.conf.get(k, None) for k in keys}, [], components._contracted
+    monkeypatch.setattr(components, "_contracted", lambda links: seen.append([spark.conf.get(k) for k in keys]) or plain(links))
+    monkeypatch.setattr(staging, "TASK_ROWS", 1)
+    edges = spark.createDataFrame([(i, i, i + 1) for i in range(600)], "e_id long, src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(700)], "id long")
+    got = [(r["id"], r["component"], r["new_id"]) for r in rewrite.largest_components(nodes, edges, 1)[0].orderBy("id").collect()]
+    assert got == [(i, 0, i) for i in range(601)]
+    assert seen and all(int(a[:-1]) <= staging.TASK_BYTES >= int(b[:-1]) and int(n) >= 600 for a, b, n in seen)
+    assert {k: spark.conf.get(k, None) for k in keys} == before
+    with pytest.raises(KeyError), staging.small_tasks(spark):
+        raise KeyError
+    assert {k: spark.conf.get(k, None) for k in keys} == before
