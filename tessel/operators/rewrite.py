@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessel.functions.ordering import with_position
 from tessel.operators.components import star_components
 from tessel.operators.subgraph import relabel
-from tessel.plans.staging import small_tasks, staged
+from tessel.plans.staging import UNKNOWN, small_tasks, staged
 
 
 def remove_self_loops(edges: DataFrame) -> DataFrame:
@@ -76,8 +76,8 @@ def largest_components(nodes: DataFrame, edges: DataFrame, k: int = 1) -> tuple[
     Ties go to the component with the smaller first node.  The components of the nodes, which are
     read several times, are written once.
     """
-    found = star_components(edges)
-    with small_tasks(nodes.sparkSession):
+    with small_tasks(nodes.sparkSession, partitions=UNKNOWN):
+        found = star_components(edges)
         labels = staged(nodes.select("id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "labels")
     best = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(k)
     kept = labels.join(best.select("component"), "component", "left_semi")

@@ -9,6 +9,7 @@ from tessel.operators.components import star_components
 from tessel.plans import graphs as g
 from tessel.plans.graphs import with_views as views
 from tessel.plans.registry import query
+from tessel.plans.staging import UNKNOWN, small_tasks
 
 PICK = [3, 5, 8, 3, 13]
 LISTED = ", ".join(map(str, sorted(set(PICK))))
@@ -182,7 +183,8 @@ reach AS (SELECT b AS id, b AS c FROM links UNION SELECT w.b, r.c FROM reach r J
 def components(spark, sf):
     t = g.table
     links = t(spark, sf, "orders").join(t(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return star_components(links.select(F.col("o_custkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")))
+    with small_tasks(spark, partitions=UNKNOWN):
+        return star_components(links.select(F.col("o_custkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")))
 
 
 @query("components_top2", "WITH RECURSIVE " + _LINKS + """, comp AS (SELECT id, min(c) AS component FROM reach GROUP BY id),
