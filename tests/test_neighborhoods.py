@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import ordering
 from tessel.model import GraphError, PropertyGraph
-from tessel.operators import neighborhoods, sampling, sparse, temporal, traverse
+from tessel.operators import history, neighborhoods, sampling, sparse, temporal, traverse
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +70,38 @@ def test_history_without_a_key(spark, hub, many_tasks, strict, window, last):
     assert all(found[q] == past(rows, t, strict, window, last) for q, t in asked)
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_stretches_of_a_window(spark, many_tasks, monkeypatch, strict):
+    monkeypatch.setattr(history, "STRETCH_BITS", 2)
+    monkeypatch.setattr(history, "TASK_ROWS", 40)
+    rng = random.Random(7)
+    rows = [(i, f"n{i % 3}", rng.choice([50, 50, rng.randrange(-200, 400), None])) for i in range(400)]
+    asked = [(i, rng.choice([50, 90, rng.randrange(-200, 500), None])) for i in range(150)]
+    edges, events = spark.createDataFrame(rows, "e_id long, tag string, t long"), spark.createDataFrame(asked, "q long, t long")
+    for window in (0, 40):
+        found = history.events_within(edges, events, window, strict)
+        want = [(q, e, tag, t) for e, tag, t in rows for q, u in asked if t is not None and u is not None and t >= u - window and (t < u if strict else t <= u)]
+        assert found.columns == ["q", "e_id", "tag", "t"]
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+        assert found.rdd.getNumPartitions() == 10
+
+
+def test_window_rows_are_written_as_repetitions(spark, tmp_path):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:  # large tables aren't broadcast
+        spark.conf.set(key, "-1")
+    edges = spark.range(500).select(F.col("id").alias("e_id"), (F.col("id") * 7).alias("t"))
+    events = spark.range(20_000).select((F.col("id") * 7919 % 1_000_003).alias("q"), (3500 + F.col("id") % 3500).alias("t"))
+    found = history.events_within(edges, events, 3500).select("q", "e_id")
+    found.write.option("parquet.dictionary.page.size", "8192").parquet(str(tmp_path / "found"))  # as one of 1 MB is to larger tables
+    for key in keys:
+        spark.conf.unset(key)
+    written = sum(p.stat().st_size for p in (tmp_path / "found").glob("*.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "found")).count()
+    assert rows == sum(500 - math.ceil(i % 3500 / 7) for i in range(20_000))
+    assert written < rows
+
+
 def test_history_of_a_hub(spark, hub, many_tasks):
     rows, edges = hub
     events = edges.where("e_id % 7 = 0").select(F.col("e_id").alias("q"), "src", "dst", "t")
