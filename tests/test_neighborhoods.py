@@ -84,6 +84,7 @@ def test_stretches_of_a_window(spark, many_tasks, monkeypatch, strict):
         assert found.columns == ["q", "e_id", "tag", "t"]
         assert sorted(tuple(r) for r in found.collect()) == sorted(want)
         assert found.rdd.getNumPartitions() == 10
+        assert "Coalesce 10" in found._jdf.queryExecution().executedPlan().toString()  # lists of one pair are buffered at once
 
 
 def test_window_rows_are_written_as_repetitions(spark, tmp_path):
