@@ -6,8 +6,8 @@ each tile of its graph once, and an expression over the tile gives a softmax sta
 its largest score, the sum and the weighted vector, which are then merged like any aggregate.  A
 graph with more nodes than a bound is an error, as its work grows with the square.
 
-A graph of one tile is a single row with its nodes and its edges in arrays, and its layers are
-expressions over the row: its rows are dealt once, by graph, however many layers there are.  Edges
+A graph of one tile is a single row with its nodes and its edges in arrays, dealt once, by graph,
+however many layers there are; :mod:`tessel.operators.tiles` works on batches of such rows.  Edges
 may have a ``graph_id``; without one they are joined to their source's.
 
 Distances for Graphormer come from a breadth-first search that is bit-parallel: a word has a bit
@@ -17,6 +17,7 @@ for each of 64 seeds, a tile, and a round is one bitwise aggregate over the edge
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from tessel.functions.joins import join_back
 from tessel.functions.ordering import place_within
 from tessel.functions.vectors import add, bound, dot, linear, scale
 from tessel.model import GraphError
+from tessel.operators import tiles
 from tessel.operators.attention import feed_forward, part, vector
 from tessel.operators.layers import layer_norm
 from tessel.operators.propagate import propagate, zeros
@@ -120,9 +122,8 @@ def distances(placed: DataFrame, edges: DataFrame, most: int) -> DataFrame:
 def parted(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
     """The graphs of one tile as rows, and the nodes and edges of all larger ones, if there are any.
 
-    A row has ``graph_id``, ``ids`` in their order, ``xs`` and ``into``, each node's incoming edges
-    as ``(a, n)``, the source's place and the number of parallel edges.  Refuses graphs of more
-    than ``most`` nodes.
+    A row has ``graph_id``, ``ids`` in their order, ``xs`` and ``links``, ``(src, dst, n)`` with the number
+    of parallel edges.  Refuses graphs of more than ``most`` nodes.
     """
     nodes = nodes.where("graph_id is not null")
     counts = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
@@ -139,108 +140,11 @@ def parted(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> tuple[DataFr
     cells = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("cells"))  # TILE nodes
     pairs = edges.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
     links = pairs.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "n")).alias("links"))  # a tile's pairs
-    rows = cells.join(links, "graph_id", "left").select("graph_id", F.col("cells.id").alias("ids"), F.col("cells.x").alias("xs"), "links")
-
-    none = F.array().cast("array<struct<src:bigint,dst:bigint,n:bigint>>")
-
-    def incoming(ids: Column) -> Column:
-        """Each node's incoming edges; what a lambda names often is bound, so that it is worked out once a row."""
-
-        def place(id: Column) -> Column:
-            return (F.array_position(ids, id) - 1).cast("int")
-
-        placed = F.transform(F.coalesce("links", none), lambda e: F.struct(place(e["src"]).alias("a"), place(e["dst"]).alias("b"), e["n"].alias("n")))
-        return bound(placed, lambda links: F.transform(ids, lambda _, i: F.transform(F.filter(links, lambda e: e["b"] == i), lambda e: F.struct(e["a"].alias("a"), e["n"].alias("n")))))
-
-    into = bound(F.col("ids"), incoming)
-    return rows.select("graph_id", "ids", "xs", into.alias("into")), rest
-
-
-def _met(rows: DataFrame, x: str, w: dict, heads: int, spatial: list[list[float]] | None = None) -> DataFrame:
-    """``rows`` with ``ms``, attention over the vectors of the array ``x`` within each row, through ``out``.
-
-    With ``spatial``, ``near`` has for each node and each distance the bits of the nodes at it.
-    """
-    size = len(w["query"][0]) // heads
-
-    def mapped(of: str) -> Column:
-        return F.transform(x, lambda v: linear(v, *w[of]))
-
-    def head(q: Column, ks: Column, vs: Column, near: Column | None, h: int) -> Column:
-        at = range(h * size, (h + 1) * size)
-
-        def score(k: Column, j: Column) -> Column:
-            out = reduce(lambda a, b: a + b, [q[c] * k[c] for c in at]) / math.sqrt(size)
-            return out if spatial is None else out + _bias(j, near, [row[h] for row in spatial])
-
-        def total(v: Column) -> Column:
-            return F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
-
-        def blend(e: Column) -> Column:
-            return bound(total(e), lambda t: F.array(*[total(F.zip_with(e, vs, lambda a, v: a * v[c])) / t for c in at]))  # noqa: B023
-
-        scores = F.transform(ks, score)
-        return bound(scores, lambda s: bound(F.array_max(s), lambda top: bound(F.transform(s, lambda v: F.exp(v - top)), blend)))
-
-    def out(q: Column, ks: Column, vs: Column, near: Column | None) -> Column:
-        return bound(F.concat(*[head(q, ks, vs, near, h) for h in range(heads)]), lambda m: linear(m, *w["out"]))
-
-    def met(ks: Column, vs: Column) -> Column:
-        if spatial is None:
-            return F.transform(mapped("query"), lambda q: out(q, ks, vs, None))
-        return F.zip_with(mapped("query"), "near", lambda q, near: out(q, ks, vs, near))
-
-    return rows.withColumn("ms", bound(mapped("key"), lambda ks: bound(mapped("value"), lambda vs: met(ks, vs))))
-
-
-def _settled_rows(rows: DataFrame, more: str, w: dict) -> DataFrame:
-    """``rows`` with ``xs`` settled around the array ``more``."""
-    one = F.zip_with("xs", more, lambda x, m: layer_norm(add(x, m)))
-    rows = rows.withColumn("xs", F.transform(one, lambda x: layer_norm(add(x, feed_forward(x, w["up"], w["down"])))))
-    return rows.drop(more)
-
-
-def _nodes_of(rows: DataFrame, *columns: str) -> DataFrame:
-    """A node of each row again: ``id`` and the named arrays' entries, under names less their last letter."""
-    cells = F.arrays_zip("ids", *columns)
-    out = rows.select("graph_id", F.explode(cells).alias("c"))
-    return out.select("graph_id", F.col("c.ids").alias("id"), *[F.col(f"c.{c}").alias(c[:-1]) for c in columns])
-
-
-def _row_distances(rows: DataFrame, most: int) -> DataFrame:
-    """``rows`` with ``near``: for each node and distance up to ``most``, edges both ways, the bits of the nodes at it."""
-    none = F.lit(0).cast("long")
-
-    def power(i: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), i)
-
-    def union(bits: Column) -> Column:
-        return F.aggregate(bits, none, lambda a, b: a.bitwiseOR(b))
-
-    def bit(bits: Column, i: Column) -> Column:
-        return F.call_function("getbit", bits, i) == 1
-
-    def beside(back: Column) -> Column:
-        """An edge's source lies next to its target and the other way round."""
-        return F.transform(back, lambda b, i: b.bitwiseOR(union(F.transform(back, lambda c, j: F.when(bit(c, i), power(j)).otherwise(none)))))
-
-    def reached(beside: Column) -> Column:
-        near = F.transform("ids", lambda _, i: F.array(power(i)))
-        for d in range(1, most + 1):
-
-            def step(near: Column) -> Column:
-                moved = union(F.transform(beside, lambda c, j: F.when(bit(near[d - 1], j), c).otherwise(none)))  # noqa: B023
-                return F.concat(near, F.array(moved.bitwiseAND(F.bitwise_not(union(near)))))
-
-            near = F.transform(near, step)
-        return near
-
-    back = F.transform("into", lambda into: union(F.transform(into, lambda e: power(e["a"]))))
-    return rows.withColumn("near", bound(back, lambda b: bound(beside(b), reached)))
+    return cells.join(links, "graph_id", "left").select("graph_id", F.col("cells.id").alias("ids"), F.col("cells.x").alias("xs"), "links"), rest
 
 
 def _settled(df: DataFrame, more: Column, w: dict) -> DataFrame:
-    one = df.select("graph_id", "id", "tile", "bit", layer_norm(add(F.col("x"), more)).alias("x"))
+    one = df.select(*[c for c in ("graph_id", "id", "tile", "bit") if c in df.columns], layer_norm(add(F.col("x"), more)).alias("x"))
     return one.withColumn("x", layer_norm(add(F.col("x"), feed_forward(F.col("x"), w["up"], w["down"]))))
 
 
@@ -248,10 +152,10 @@ def gps(nodes: DataFrame, edges: DataFrame, w: dict, local, heads: int = 1, most
     """A local layer ``local(nodes, edges)`` and attention within the graph, added to the node and settled."""
     rows, rest = parted(nodes, edges, most)
     near = local(nodes.select("id", "x"), edges.drop("graph_id"))
-    met = _nodes_of(_met(rows.drop("into"), "xs", w, heads), "xs", "ms").withColumn("tile", F.lit(0)).withColumn("bit", F.lit(0))
+    met = tiles.over(rows.drop("links"), len(w["query"][0][0]), ["x", "m"], lambda x, links, more: [x, tiles.attended(x, w, heads)])
     if rest is not None:
         placed = placed_nodes(rest[0], most)
-        met = met.unionByName(placed.join(attended(placed, F.col("x"), w, heads), "id"))
+        met = met.unionByName(placed.join(attended(placed, F.col("x"), w, heads), "id").select("id", "x", "m"))
     return _settled(met.join(near.select("id", "h"), "id"), add(F.col("h"), F.col("m")), w).select("id", F.col("x").alias("h"))
 
 
@@ -262,20 +166,13 @@ def sgformer(nodes: DataFrame, edges: DataFrame, layers: list[dict], alpha: floa
     def mixed(near: Column, m: Column, w: dict) -> Column:
         return bound(add(scale(near, F.lit(float(alpha))), scale(m, F.lit(1.0 - alpha))), lambda v: linear(v, *w["mix"]))
 
-    for w in layers:
-        width = len(w["local"][0])
-
-        def mean(into: Column, ls: Column) -> Column:
-            def entry(c: int) -> Column:
-                return F.aggregate(into, F.lit(0.0), lambda t, e: t + ls[e["a"]][c] * e["n"])
-
-            n = F.aggregate(into, F.lit(0).cast("long"), lambda t, e: t + e["n"])
-            return F.when(F.size(into) == 0, zeros(width)).otherwise(bound(n, lambda n: F.array(*[entry(c) / n for c in range(width)])))  # noqa: B023
+    def stack(x, links, more):
+        for w in layers:
+            near = tiles.mean(tiles.affine(x, *w["local"]), links)
+            x = tiles.settled(x, tiles.affine(alpha * near + (1.0 - alpha) * tiles.attended(x, w, heads), *w["mix"]), w)
+        return [x]
 
-        local = F.transform("xs", lambda x: linear(x, *w["local"]))  # noqa: B023
-        more = bound(local, lambda ls: F.zip_with("into", "ms", lambda into, m: mixed(mean(into, ls), m, w)))  # noqa: B023
-        rows = _settled_rows(_met(rows, "xs", w, heads).withColumn("more", more).drop("ms"), "more", w)
-    found = _nodes_of(rows, "xs")
+    found = tiles.over(rows, len(layers[0]["query"][0][0]), ["x"], stack)
     if rest is not None:
         out, edges = placed_nodes(rest[0], most), rest[1]
         for w in layers:
@@ -283,7 +180,7 @@ def sgformer(nodes: DataFrame, edges: DataFrame, layers: list[dict], alpha: floa
             far = attended(out, F.col("x"), w, heads)
             out = _settled(out.join(near, "id").join(far, "id"), mixed(F.col("near"), F.col("m"), w), w)
             out = out if w is layers[-1] else cut(out)
-        found = found.unionByName(out.select(*found.columns))
+        found = found.unionByName(out.select("id", "x"))
     return found.select("id", F.col("x").alias("h"))
 
 
@@ -298,14 +195,16 @@ def graphormer(nodes: DataFrame, edges: DataFrame, layers: list[dict], max_dista
         last = len(w["degree"]) - 1
         return reduce(lambda rest, k: F.when(degree == k, vector(w["degree"][k])).otherwise(rest), range(last), vector(w["degree"][last]))
 
+    def stack(x, links, more):
+        degree, far = (links.sum(-1) + more).astype(int), tiles.distances(links, max_distance)
+        for w in layers:
+            vectors, spatial = np.array(w["degree"], float), np.array(w["spatial"], float)
+            hidden = x + vectors[np.minimum(degree, len(vectors) - 1)]
+            x = tiles.settled(x, tiles.attended(hidden, w, heads, spatial[np.minimum(far, len(spatial) - 1)]), w)
+        return [x]
+
     rows, rest = parted(nodes, edges, most)
-    rows = _row_distances(rows, max_distance)
-    degrees = F.transform("into", lambda into: F.aggregate(into, F.lit(0).cast("long"), lambda t, e: t + e["n"]))
-    rows = rows.withColumn("degrees", degrees).drop("into")
-    for w in layers:
-        rows = rows.withColumn("hs", F.zip_with("xs", "degrees", lambda x, d: add(x, shift(d, w))))  # noqa: B023
-        rows = _settled_rows(_met(rows, "hs", w, heads, w["spatial"]).drop("hs"), "ms", w)
-    found = _nodes_of(rows, "xs")
+    found = tiles.over(rows, len(layers[0]["query"][0][0]), ["x"], stack)
     if rest is not None:
         placed, edges = placed_nodes(rest[0], most), rest[1]
         near = staged(distances(placed, edges, max_distance), "graph-distances")
@@ -315,5 +214,5 @@ def graphormer(nodes: DataFrame, edges: DataFrame, layers: list[dict], max_dista
             far = attended(out, add(F.col("x"), shift(F.col("degree"), w)), w, heads, near, w["spatial"])
             settled = _settled(out.join(far, "id"), F.col("m"), w)
             out = settled if i == len(layers) - 1 else cut(settled.join(out.select("id", "degree"), "id"))
-        found = found.unionByName(out.select(*found.columns))
+        found = found.unionByName(out.select("id", "x"))
     return found.select("id", F.col("x").alias("h"))

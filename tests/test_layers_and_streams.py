@@ -257,3 +257,28 @@ def test_small_graphs_are_dealt_once(spark):
     w = maps() | {"degree": [[0.1] * C] * 2, "spatial": [[0.1] * H] * 3}
     for df in (global_attention.sgformer(nodes, edges, [w] * 2, 0.3, H), global_attention.graphormer(nodes, edges, [w] * 2, 1, H)):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3 and df.count() == 9
+
+
+def test_small_graphs_are_worked_on_in_batches(spark):
+    """No expression is worked out for each entry of a row's arrays; what one graph lacks leaves the others as they are."""
+    x = {10: [0.1, 0.4, -0.2, 0.3], 11: [0.5, 0.2, 0.1, -0.4], 12: [0.3, 0.3, 0.9, 0.2]}
+    more = {20: [0.7, None, 0.1, 0.2], 21: [0.1, 0.2, 0.3, 0.4], 30: None, 40: [1.0, 2.0, 0.5, 0.1]}
+    known = [(1, i, v) for i, v in x.items()]
+    edges = [(1, 10, 11), (1, 10, 11), (1, 12, 11), (1, 11, 11), (1, 99, 12)]  # 99 is no node
+    w = maps() | {"degree": RNG.normal(size=(4, C)).round(3).tolist(), "spatial": RNG.normal(size=(3, H)).round(3).tolist()}
+    near = np.array([[0, 1, 2], [1, 0, 1], [2, 1, 0]])
+    want, plain = np.array(list(x.values())), np.array(list(x.values()))
+    for _ in range(2):
+        hidden = want + np.array(w["degree"])[[0, 3, 1]]
+        q, k, v = (ap(hidden, w[n]).reshape(3, H, C // H) for n in ("query", "key", "value"))
+        score = np.einsum("nhd,mhd->hnm", q, k) / math.sqrt(C // H) + np.moveaxis(np.array(w["spatial"])[near], -1, 0)
+        want = settled(want, ap(np.einsum("hnm,mhd->nhd", softmax(score), v).reshape(3, C), w["out"]), w)
+    for nodes in (known, known + [(i // 10, i, v) for i, v in more.items()]):
+        frames = spark.createDataFrame(nodes, "graph_id long, id long, x array<double>"), spark.createDataFrame(edges, "graph_id long, src long, dst long")
+        df = global_attention.graphormer(*frames, [w, dict(w)], 1, H)
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in text and "lambda" not in text.split("MapInArrow")[0]
+        got = {r["id"]: r["h"] for r in df.collect()}
+        assert set(got) == {i for _, i, _ in nodes}
+        assert np.allclose([got[i] for i in x], want, atol=1e-5)
+    assert got[21] == [None] * C and None not in got[40] and not np.allclose(want, plain)
