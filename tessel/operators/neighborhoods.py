@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessel.functions.batches import gathered
+from tessel.functions.draws import draws_below
 from tessel.functions.hashing import uniform
 from tessel.functions.joins import join_back
 from tessel.model import GraphError, PropertyGraph, Relation
@@ -28,8 +30,8 @@ from tessel.plans.staging import cut
 
 #: Draws are below two to this power.
 DRAW_BITS = 32
-#: Neighbours of a node that one task meets with the requests of the node, more or less.
-CHUNK = 4096
+#: Neighbours of a node, and requests of it, that meet in one row at most.
+CHUNK, ASKERS = 4096, 256
 
 
 @dataclass(frozen=True)
@@ -60,12 +62,13 @@ def smallest_draws(rows: DataFrame, keys: list[str], draw: str, ties: list[str],
 
 
 def _reached(steps: DataFrame, front: DataFrame) -> DataFrame:
-    """The distinct steps from nodes of a frontier, with their number ``n`` for each node and type, in chunks."""
+    """``(at_type, at, type, chunk, ids)``: the steps from nodes of a frontier, in chunks; dealt by their start.
+
+    A step that comes twice is mostly left out here, and its draw later.
+    """
     at = ["at_type", "at"]
-    near = cut(steps.join(front.select(*at).distinct(), at, "left_semi").distinct())
-    degrees = near.groupBy(*at, "type").agg(F.count(F.lit(1)).alias("n"))
-    chunks = F.floor(F.col("n") / CHUNK) + 1
-    return cut(join_back(near, degrees, *at, "type").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")))
+    near = steps.repartition(*at).join(front.select(*at).distinct(), at, "left_semi")
+    return cut(gathered(near, [*at, "type"], "id", CHUNK, "ids", "id").withColumn("chunk", F.monotonically_increasing_id()))
 
 
 def _drawn(front: DataFrame, near: DataFrame, seen: DataFrame, hop: int, most: int, seed: int) -> DataFrame:
@@ -76,7 +79,8 @@ def _drawn(front: DataFrame, near: DataFrame, seen: DataFrame, hop: int, most: i
     """
     at, key, full = ["at_type", "at", "type"], ["request", "type"], 1 << DRAW_BITS
     tasks = int(front.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = front.join(near.select(*at, "n", "chunks").distinct(), ["at_type", "at"])
+    degrees = near.groupBy(*at).agg(F.sum(F.size("ids")).alias("n"))
+    asked = front.join(degrees, ["at_type", "at"])
     have = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("have"))
     need = F.lit(most) + F.coalesce("have", F.lit(0))
     mean = need + 4 * F.sqrt(need) + 8
@@ -86,11 +90,11 @@ def _drawn(front: DataFrame, near: DataFrame, seen: DataFrame, hop: int, most: i
     limits = cut(limits.select(*key, F.least(F.lit(full), F.ceil(mean / F.col("distinct") * full)).alias("limit")))
 
     def taken(limits: DataFrame) -> DataFrame:
-        parts = asked.join(limits, key).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("n", "chunks")
+        parts = asked.drop("n").join(limits, key).repartition(*at)
+        blocks = gathered(parts, at, "request", ASKERS, "askers", "request", "limit").join(near, at)
         # few bytes, much work: a number of partitions that isn't lowered by the bytes in them
-        met = parts.repartition(tasks, *at, "chunk").join(near.select(*at, "chunk", "id").repartition(tasks, *at, "chunk"), [*at, "chunk"])
-        met = met.withColumn("__u", uniform(seed, F.lit(hop), F.col("request"), F.col("id"))).where(F.col("__u") < F.col("limit"))
-        new = met.select(*key, "id", "__u").distinct().join(seen.select(*key, "id"), [*key, "id"], "left_anti")
+        met = draws_below(blocks.repartition(tasks, "chunk", F.col("askers")[0]["request"]), seed, hop)
+        new = met.distinct().join(seen.select(*key, "id"), [*key, "id"], "left_anti")
         rank = F.row_number().over(W.partitionBy(*key).orderBy("__u", "id"))
         return cut(new.withColumn("__rank", rank).where(F.col("__rank") <= most).select(*key, "id"))
 
@@ -109,16 +113,18 @@ def _fanouts(fanouts: int | list[int]) -> list[int]:
     return found
 
 
-def _steps(graph: PropertyGraph, relations: list[Relation]) -> DataFrame:
-    """``(at_type, at, type, id[, t, rel, p])``: every edge from either end."""
+def _steps(graph: PropertyGraph, relations: list[Relation], starts: set[str] | None = None) -> DataFrame | None:
+    """``(at_type, at, type, id[, t, rel, p])``: every edge from either end, or from ends of the types ``starts``; None if there are none."""
     parts = []
     timed = [graph.time] if graph.time else []
     for i, k in enumerate(relations):
         e, (a, _, b) = graph.edges[k], k
         more = [F.col(c).alias("t") for c in timed]
         for at_type, at, to_type, to in ((a, "src", b, "dst"), (b, "dst", a, "src")):
+            if starts is not None and at_type not in starts:
+                continue
             parts.append(e.select(F.lit(at_type).alias("at_type"), F.col(at).alias("at"), F.lit(to_type).alias("type"), F.col(to).alias("id"), F.lit(i).alias("rel"), *more, "e_id"))
-    out = parts[0]
+    out = parts[0] if parts else None
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
@@ -161,16 +167,19 @@ def neighbourhood_nodes(
     them if not given.  A history needs a graph with a time column and seeds with ``t``.
     """
     relations = list(graph.edges) if relations is None else relations
-    steps = _steps(graph, relations)
     if history is not None:
         if graph.time is None:
             raise GraphError("a history needs a graph with a time column")
-        bounds = cut(_bounds(graph, seeds, relations, history))
-    else:
-        steps = steps.select("at_type", "at", "type", "id")
+        steps, bounds = _steps(graph, relations), cut(_bounds(graph, seeds, relations, history))
     seen = seeds.select("request", "type", "id").distinct().withColumn("hop", F.lit(0))
     for hop, most in enumerate(_fanouts(fanouts), 1):
         front = seen.where(F.col("hop") == hop - 1).select("request", F.col("type").alias("at_type"), F.col("id").alias("at"))
+        if history is None:
+            # a row for each type: relations that no node of the frontier can walk aren't read
+            steps = _steps(graph, relations, {r["at_type"] for r in front.select("at_type").distinct().collect()})
+            if steps is None:
+                break
+            steps = steps.select("at_type", "at", "type", "id")
         if history is None and most > 0:
             new = _drawn(front, _reached(steps, front), seen, hop, most, seed)
             seen = cut(seen.unionByName(new.withColumn("hop", F.lit(hop))))

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tessel.functions.batches import starts
 from tessel.functions.vectors import ERFC
 
 #: Pairs of nodes of a stack.
@@ -98,17 +99,13 @@ def _column(x: np.ndarray, nulls: bool) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.reshape(-1), from_pandas=nulls))
 
 
-def _starts(lists: pa.ListArray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
-
-
 def _linked(batch: pa.RecordBatch, start: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, ...]:
     """``(target, source, n)`` of the batch's edges, ends as numbers of nodes in the batch, a source of no node -1."""
     links = batch.column("links")
     cells = links.flatten()
     graphs = len(batch)
     codes = pa.concat_arrays([ids, cells.field("src"), cells.field("dst")]).dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
-    of = np.repeat(np.arange(graphs), np.diff(_starts(links)))
+    of = np.repeat(np.arange(graphs), np.diff(starts(links)))
     nodes = codes[: len(ids)] * graphs + np.repeat(np.arange(graphs), np.diff(start))
     order = np.argsort(nodes, kind="stable")
     ranked = nodes[order]
@@ -136,7 +133,7 @@ def over(rows: DataFrame, width: int, names: list[str], layers: Layers) -> DataF
             ids = batch.column("ids").flatten()
             vectors = batch.column("xs").flatten()
             x, nulls = _vectors(vectors, width), bool(vectors.null_count or vectors.flatten().null_count)
-            start = _starts(batch.column("ids"))
+            start = starts(batch.column("ids"))
             sizes = np.diff(start)
             local = np.arange(len(ids)) - np.repeat(start[:-1], sizes)
             if linked:

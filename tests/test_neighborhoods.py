@@ -1,13 +1,17 @@
 """Seeded neighbourhoods, history, negatives, walks, rows of matrices and memories: plain programs and hubs."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.functions import ordering
+from tessel.functions import draws, ordering
+from tessel.functions.batches import gathered
 from tessel.model import GraphError, PropertyGraph
 from tessel.operators import history, neighborhoods, sampling, sparse, temporal, traverse
 
@@ -364,3 +368,37 @@ def test_capped_hops_at_shared_and_chunked_neighbours(spark, monkeypatch):
     found = neighborhoods.node_neighbourhoods(graph, spark.createDataFrame(seeds, "request long, type string, id long"), [3, 2], seed=5)
     checked(found, rows, requests, [3, 2], 5)
     assert max(taken) > 0
+
+
+@pytest.mark.parametrize("many", [3, 1024])
+def test_draws_of_lists_are_those_of_md5(monkeypatch, many):
+    """Tables and pairs, numbers of any length and sign, null ids, and a seed too long for one block's layout."""
+    monkeypatch.setattr(draws, "MANY", many)
+    monkeypatch.setattr(draws, "PAIRS", 500)
+    rng = random.Random(1)
+    ids = [rng.choice([None, 0, 9, 10, 99, 100, -1, -10, 2**63 - 1, -(2**63) + 1, rng.randrange(10 ** rng.randrange(1, 18))]) for _ in range(400)]
+    asked = [rng.choice([0, 5, -7, 123, 99999, 10**12, 2**63 - 1]) for _ in range(60)]
+    start = np.array([rng.randrange(300) for _ in asked])
+    count, limits = 1 + start * 7 % 89, np.array([rng.choice([2**32, 2**31, 2**20]) for _ in asked])
+    for seed in (11, -5, 10**20):
+        got = sorted((int(u), int(i), int(d)) for parts in draws._below(seed, 2, asked, limits, start, count, draws._Ids(pa.array(ids, pa.int64()))) for u, i, d in zip(*parts, strict=True))
+        want = []
+        for u, q in enumerate(asked):
+            for i in range(start[u], start[u] + count[u]):
+                d = int(hashlib.md5("|".join(str(x) for x in (seed, 2, q, ids[i]) if x is not None).encode()).hexdigest()[:8], 16)
+                want += [(u, i, d)] if d < limits[u] else []
+        assert got == sorted(want)
+
+
+def test_lists_are_cut_and_repeated_rows_are_one(spark):
+    rows = [(k, t, i) for k in range(3) for t in "ab" for i in range(25) for _ in range(1 + i % 2)]
+    found = gathered(spark.createDataFrame(rows, "at long, type string, id long").repartition(2, "at"), ["at", "type"], "id", 10, "ids", "id").collect()
+    assert sorted(len(r["ids"]) for r in found) == [5] * 6 + [10] * 12
+    assert sorted((r["at"], r["type"], x["id"]) for r in found for x in r["ids"]) == sorted(set(rows))
+
+
+def test_capped_hops_read_only_what_their_frontier_can_walk(spark):
+    unread = spark.range(3).select(F.col("id").alias("e_id"), F.raise_error(F.lit("read")).cast("long").alias("src"), F.col("id").alias("dst"))
+    graph = PropertyGraph.typed({k: spark.range(9).toDF("id") for k in "upx"}, {("u", "has", "p"): spark.createDataFrame([(0, 1, 2), (1, 1, 3)], "e_id long, src long, dst long"), ("x", "far", "p"): unread})
+    nodes = neighborhoods.neighbourhood_nodes(graph, spark.createDataFrame([(7, "u", 1)], "request long, type string, id long"), [5], seed=1)
+    assert {(r["type"], r["id"], r["hop"]) for r in nodes.collect()} == {("u", 1, 0), ("p", 2, 1), ("p", 3, 1)}
