@@ -7,7 +7,8 @@ the hop, the request and the node, so a run can be repeated and requests draw ap
 history, a request only sees edges before its own time, at every hop and in the subgraph.
 
 The cap is a selection by threshold.  Without a history, the degrees of a request's frontier tell
-under which draw enough new nodes are to be expected; only those below it leave the join, and a
+under which draw enough new nodes are to be expected; only those below it leave the task that
+hashes the request's lists, and a
 request that gets too few is asked again without a threshold.  With a history one aggregate counts
 a request's draws under falling powers of two, the rows above the first power that leaves enough
 are dropped, and only the rest, about twice the cap, is ranked.  The subgraph looks edges up from their end with fewer edges, so no hub
